@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from prumo.llm.bpe import encode_corpus, spread
 from prumo.llm.packing import pack
+from prumo.llm.places import listing_addresses, read_addresses, same_places
 from prumo.llm.stuffing import page_measures
-from prumo.session import table
+from prumo.session import cut, table
 
 #: Tokens a training sequence holds.
 CAPACITY = 2048
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings and cache rows of one place."""
+    listings = listing_addresses(table(spark, sf_dir, "zap_dataset").select("id", "rua", "bairro", "cidade"))
+    cache = cut(read_addresses(table(spark, sf_dir, "geocoding_cache"), "place_id", "address"))
+    return same_places(cut(listings), cache).select(F.col("esquerda").alias("id"), F.col("direita").alias("place_id"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -30,5 +39,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_measures(pages).where("palavras_chave").select("doc_id").distinct()
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
