@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from prumo.llm.bpe import encode_corpus, spread
 from prumo.llm.packing import pack
 from prumo.llm.places import listing_addresses, read_addresses, same_places
+from prumo.llm.products import pairs, same_property
 from prumo.llm.stuffing import page_measures
 from prumo.session import cut, table
 
@@ -15,6 +16,12 @@ from prumo.session import cut, table
 CAPACITY = 2048
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of listings of one property."""
+    raw = table(spark, sf_dir, "zap_dataset").select("id", "titulo", "tipo_imovel", "url", "preco", "area_m2", "quartos", "banheiros", "vagas", "bairro", "cidade", "rua")
+    return pairs(same_property(raw))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Listings and cache rows of one place."""
     listings = listing_addresses(table(spark, sf_dir, "zap_dataset").select("id", "rua", "bairro", "cidade"))
@@ -39,5 +46,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_measures(pages).where("palavras_chave").select("doc_id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
