@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +35,25 @@ def make_session(app: str = "prumo", master: str | None = None, **conf: str) ->
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application: their Python need not find it by itself."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        folder = tempfile.mkdtemp(prefix="prumo-code-")
+        _own_dirs.append(folder)
+        with zipfile.ZipFile(archive := f"{folder}/prumo.zip", "w") as z:
+            for f in sorted(package.rglob("*.py")):
+                z.write(f, f"prumo/{f.relative_to(package)}")
+        sc.addPyFile(archive)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
