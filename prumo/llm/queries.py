@@ -10,12 +10,23 @@ from prumo.llm.packing import pack
 from prumo.llm.places import listing_addresses, read_addresses, same_places
 from prumo.llm.products import pairs, same_property
 from prumo.llm.stuffing import page_measures
+from prumo.llm.survivors import survivors
 from prumo.session import cut, table
 
 #: Tokens a training sequence holds.
 CAPACITY = 2048
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scrape whose value survives, for each field in which a listing's scrapes disagree."""
+    return p1_survivors(spark, sf_dir).select("id", "campo", "scraped_at")
+
+
+def p1_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_found with the surviving values."""
+    return survivors(table(spark, sf_dir, "zap_dataset").select("id", "scraped_at", "data_modificacao", "cidade", "descricao_completa", "fotos_urls", "rua", "bairro"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of listings of one property."""
     raw = table(spark, sf_dir, "zap_dataset").select("id", "titulo", "tipo_imovel", "url", "preco", "area_m2", "quartos", "banheiros", "vagas", "bairro", "cidade", "rua")
@@ -46,5 +57,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_measures(pages).where("palavras_chave").select("doc_id").distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p9_found": p9_found}
 SQL: dict[str, str] = {}
