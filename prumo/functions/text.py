@@ -67,3 +67,52 @@ def squeeze(c: Column) -> Column:
 def strip_all(c: Column) -> Column:
     """Strip any white space at both ends (Spark's trim only knows the blank)."""
     return F.regexp_replace(c, "(?U)^\\s+|\\s+$", "")
+
+
+def lower_key(c: Column) -> Column:
+    """A comparison key: null as empty, lower case, no white space around."""
+    return strip_all(F.lower(F.coalesce(c, F.lit(""))))
+
+
+def normalize_text(c: Column) -> Column:
+    """The geocoder's normal form of an address.
+
+    ASCII, lower case, hyphens as blanks; the syllables da, do, de are taken out wherever they stand, then das and dos;
+    the short forms r., av., pq., qd. are written out; white space is squeezed. Null and empty give the empty text.
+    """
+    t = F.replace(fold(F.coalesce(c, F.lit(""))), F.lit("-"), F.lit(" "))
+    for syllable in ("da", "do", "de", "das", "dos"):
+        t = F.replace(t, F.lit(syllable), F.lit(""))
+    for short, full in (("r", "rua"), ("av", "avenida"), ("pq", "parque"), ("qd", "quadra")):
+        t = F.regexp_replace(t, rf"\b{short}\.\s*", f"{full} ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def contains_normalized(text: Column, part: Column) -> Column:
+    """Whether the normal form of part stands in that of text."""
+    return F.contains(normalize_text(text), normalize_text(part))
+
+
+def address(rua: Column, bairro: Column, sep: str = ", ") -> Column:
+    """Street and neighbourhood in one text, null as empty."""
+    return F.concat(F.coalesce(rua, F.lit("")), F.lit(sep), F.coalesce(bairro, F.lit("")))
+
+
+def first_word(c: Column) -> Column:
+    """The first word of a text; null for a null or blank one."""
+    return F.nullif(F.regexp_extract(c, r"(?U)^\s*(\S+)", 1), F.lit(""))
+
+
+def title_number(titulo: Column, unit: str) -> Column:
+    """The number before a unit in a title, as a float; units are plural, as the coherence check wants them."""
+    return F.regexp_extract(titulo, rf"(\d+) {unit}", 1).try_cast("double")
+
+
+def parking_told(titulo: Column) -> Column:
+    """Parking spaces told in a title."""
+    return F.regexp_extract(titulo, r"(?iu)(\d+)\s+vagas?", 1).try_cast("int")
+
+
+def neighbourhood_told(titulo: Column) -> Column:
+    """The neighbourhood told in a title: what stands between 'em' and the city, state or country."""
+    return F.nullif(strip_all(F.regexp_extract(titulo, r"(?iu)em\s+(.+?),\s*(?:Goiânia|GO|Brasil)", 1)), F.lit(""))
