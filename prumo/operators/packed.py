@@ -253,7 +253,8 @@ def learn(df: DataFrame, column: str, rounds: int = 4, lexicon_limit: int = 200_
 
         stats = counted.mapInArrow(expect, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
         # "d" sorts first: the few delimiter classes, then the values by count
-        rows = stats.orderBy(F.col("kind"), F.col("a").desc(), F.col("key")).limit(lexicon_limit).collect()
+        # values at or under the discount count nothing in the model
+        rows = stats.where((F.col("kind") == "d") | (F.col("a") > model.discount)).orderBy(F.col("kind"), F.col("a").desc(), F.col("key")).limit(lexicon_limit).collect()
         counts = {r.key: r.a for r in rows if r.kind == "v"}
         rates = {r.key: min(max(r.a / r.b, 0.005), 0.995) for r in rows if r.kind == "d" and r.b}
         model = Model(counts, rates, sum(counts.values()), span=span)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prumo.functions.listing import in_condominium, is_place_name, kind
+from prumo.functions.listing import STAND_IN_PATTERN, STAND_INS, in_condominium, is_place_name, kind
 from prumo.functions.text import fold, squeeze
 from prumo.operators.hotdeck import Target, hot_deck
 from prumo.operators.packed import learn, split_packed
-from prumo.operators.spatial import nearby
+from prumo.operators.spatial import EARTH_M, nearby
 from prumo.session import table
 
 
@@ -63,3 +63,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found}
+
+_FOLD = "lower(strip_accents({0}))"
+_KIND = "CASE regexp_extract(url, '/(?:venda|aluguel|compra|lancamento)-([a-z]+)-', 1) WHEN 'apartamento' THEN 'apartamento' WHEN 'casa' THEN 'casa' WHEN 'lote' THEN 'lote' WHEN 'sala' THEN 'sala' END"
+_STAND_IN = f"""(x IS NULL OR NOT regexp_matches(x, '[a-z0-9]') OR x IN ({", ".join(f"'{w}'" for w in STAND_INS)}) OR regexp_matches(x, '{STAND_IN_PATTERN}') OR regexp_replace(x, '\\s*[-/,]\\s*[a-z]{{2}}$', '') = coalesce(c, '') OR regexp_matches(x, '^goiania(\\s*[-/,]?\\s*go(ias)?)?$'))"""
+SQL = {
+    "p2_found": f"""WITH g AS (SELECT place_id, latitude AS lat, longitude AS lon FROM geocoding_cache WHERE isfinite(latitude) AND isfinite(longitude)),
+e AS (SELECT regiao_id, latitude AS y1, longitude AS x1, coalesce(lead(latitude) OVER w, first_value(latitude) OVER w) AS y2, coalesce(lead(longitude) OVER w, first_value(longitude) OVER w) AS x2 FROM regioes WINDOW w AS (PARTITION BY regiao_id, anel ORDER BY ordem))
+SELECT place_id, regiao_id AS alvo_id FROM g JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1
+UNION ALL SELECT place_id, ponto_id FROM g JOIN pontos_referencia p ON 2 * {EARTH_M} * asin(least(1.0, sqrt(pow(sin((radians(p.latitude) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(p.latitude)) * pow(sin((radians(p.longitude) - radians(lon)) / 2), 2)))) <= raio_m""",
+    "p4_found": f"""WITH z AS (SELECT *, {_KIND} AS k, regexp_matches({_FOLD.format("titulo")}, '\\bcond(\\b|ominio)') AS em_cond, trim(regexp_replace({_FOLD.format("bairro")}, '\\s+', ' ', 'g')) AS x, trim({_FOLD.format("cidade")}) AS c FROM zap_dataset)
+SELECT DISTINCT id, scraped_at, 'condominio' AS campo FROM z WHERE k <> 'lote' AND (k <> 'casa' OR em_cond) AND NOT coalesce(condominio BETWEEN 1.01 AND 99999.0, false)
+UNION ALL SELECT DISTINCT id, scraped_at, 'vagas' FROM z WHERE k <> 'lote' AND NOT coalesce(vagas BETWEEN 0 AND 50, false)
+UNION ALL SELECT DISTINCT id, scraped_at, 'banheiros' FROM z WHERE k <> 'lote' AND NOT coalesce(banheiros BETWEEN 1 AND 50, false)
+UNION ALL SELECT DISTINCT id, scraped_at, 'bairro' FROM z WHERE {_STAND_IN}""",
+}
