@@ -36,7 +36,7 @@ def _edge(k: Column, cuts: Column) -> Column:
 
 
 def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[list[Column]], order: Column, block_rows: int = 200_000, max_blocks: int = 64) -> DataFrame:
-    """df with, per target c, the columns c_preenchido, c_distancia and c_status.
+    """df with, per target c, the columns c_preenchido, c_distancia and c_status; columns of these names are replaced.
 
     groups: lists of grouping expressions from narrow to wide; order: numeric sort key of similarity.
     A group of more than block_rows rows is cut into up to max_blocks blocks at its approximate quantiles; the result does
@@ -51,12 +51,13 @@ def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[
         work = work.withColumn(f"__fill{i}", F.lit(None).cast(df.schema[t.column].dataType)).withColumn(f"__dist{i}", F.lit(None).cast("double"))
     for group in groups:
         work = _one_pass(work, names, group, key, block_rows, max_blocks)
-    out = df.columns
+    made = [f"{c}{s}" for c in names for s in ("_preenchido", "_distancia", "_status")]
+    out = [c for c in df.columns if c not in made]
     for i, c in enumerate(names):
         miss = F.col(f"__app{i}") & ~F.col(f"__use{i}")
         status = F.when(~F.col(f"__app{i}"), "not_applicable").when(F.col(f"__use{i}"), "observed").when(F.col(f"__fill{i}").isNotNull(), "filled").otherwise("no_donor")
         work = work.withColumn(f"{c}_status", status).withColumn(f"{c}_preenchido", F.when(miss, F.col(f"__fill{i}")).otherwise(F.col(c))).withColumn(f"{c}_distancia", F.when(miss, F.col(f"__dist{i}")))
-    return work.select(*out, *(f"{c}{s}" for c in names for s in ("_preenchido", "_distancia", "_status")))
+    return work.select(*out, *made)
 
 
 def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[str], block_rows: int, max_blocks: int) -> DataFrame:

@@ -187,7 +187,7 @@ def locate(points: DataFrame, key: str, targets: DataFrame, lat: str = "latitude
             row, leaf = shared.value.reach(x, y)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(leaf, pa.int32())], names=["x", "y", "folha"])
 
-    finite = points.where(f"abs(`{lat}`) < double('inf') AND abs(`{lon}`) < double('inf')").select(F.col(key), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
+    finite = points.where(f"abs(`{lat}`) < double('inf') AND abs(`{lon}`) < double('inf')").select(F.col(key).alias("__chave"), F.col(lon).cast("double").alias("x"), F.col(lat).cast("double").alias("y"))
     at = finite.select("x", "y").distinct().mapInArrow(descend, "x double, y double, folha int")
     at = at.withColumn("sal", F.pmod(F.xxhash64("x", "y"), F.lit(salt)).cast("int"))
     spread = placed.withColumn("sal", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
@@ -201,7 +201,7 @@ def locate(points: DataFrame, key: str, targets: DataFrame, lat: str = "latitude
     hits = at.join(spread, ["folha", "sal"]).where("x BETWEEN lo_x AND hi_x AND y BETWEEN lo_y AND hi_y").where(inside)
     rings = hits.select("x", "y", "alvo_id", F.when(F.col("raio_m").isNull(), F.col("anel")).alias("anel"), F.col("raio_m").isNull().alias("area")).distinct()
     found = rings.groupBy("x", "y", "alvo_id", "area").agg(F.count("*").alias("n")).where("NOT area OR n % 2 = 1").select("x", "y", "alvo_id").distinct()
-    return finite.join(found, ["x", "y"]).select(key, "alvo_id").distinct()
+    return finite.join(found, ["x", "y"]).select(F.col("__chave").alias(key), "alvo_id").distinct()
 
 
 def nearby(points: DataFrame, key: str, references: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
