@@ -32,10 +32,10 @@ PLANE_SAMPLE = 200_000
 
 
 def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = EARTH_M) -> Column:
-    """Haversine distance."""
+    """Haversine distance; null without all four coordinates."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin((F.radians(lon2) - F.radians(lon1)) / 2), 2)
-    return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * radius * F.asin(F.when(h > 1, 1.0).otherwise(F.sqrt(h)))
 
 
 def _area2(a: tuple, b: tuple, c: tuple) -> float:

@@ -459,7 +459,7 @@ _on_raw("f15_slug", "SELECT url, split_part(rtrim(url, '/'), '/', -1) AS rotulo
 
 
 def _hav(p: tuple[float, float]) -> str:
-    return f"round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians({p[0]}) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians({p[0]})) * pow(sin((radians({p[1]}) - radians(longitude)) / 2), 2)))), 6)"
+    return f"CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin((radians({p[0]}) - radians(latitude)) / 2), 2) + cos(radians(latitude)) * cos(radians({p[0]})) * pow(sin((radians({p[1]}) - radians(longitude)) / 2), 2)))), 6) END"
 
 
 SQL["m1_haversine"] = f"WITH {G} SELECT place_id, " + ", ".join(f"{_hav(p)} AS distancia_{n}_km" for n, p in POINTS.items()) + " FROM g"
