@@ -35,7 +35,7 @@ def _edge(k: Column, cuts: Column) -> Column:
     return F.coalesce(F.size(F.filter(cuts, lambda c: c <= k)), F.lit(0))
 
 
-def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[list[Column]], order: Column, block_rows: int = 200_000, max_blocks: int = 64) -> DataFrame:
+def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[list[Column]], order: Column, block_rows: int = 100_000, max_blocks: int = 64) -> DataFrame:
     """df with, per target c, the columns c_preenchido, c_distancia and c_status; columns of these names are replaced.
 
     groups: lists of grouping expressions from narrow to wide; order: numeric sort key of similarity.

@@ -66,8 +66,9 @@ def to_store(df: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def insertable(batch: DataFrame, stored: DataFrame, *order: str) -> DataFrame:
-    """The rows a batch adds: first per id, blank ids dropped, stored ids left out, in the store's form."""
-    return to_store(only_new(first_per_id(batch, "id", *order), stored))
+    """The rows a batch adds: first per id (or listing_id), blank ids dropped, stored ids left out, in the store's form."""
+    key = "id" if "id" in batch.columns else "listing_id"
+    return to_store(only_new(first_per_id(batch, key, *order), stored, key))
 
 
 def insert_if_absent(batch: DataFrame, path: str, *order: str) -> int:
