@@ -78,12 +78,12 @@ def parts(values: DataFrame) -> DataFrame:
 
 def contained(photos: DataFrame) -> DataFrame:
     """Rows (id, valor) of the photo fields whose photos are all, and not all there are, in another value of the id."""
-    one = photos.select("id", "valor", "fotos", F.explode("fotos").alias("foto"))
+    one = photos.select("id", "fotos").distinct().select("id", "fotos", F.explode("fotos").alias("foto"))
     often = one.groupBy("id", "foto").agg(F.count("*").alias("n"))
-    rarest = one.select("id", "valor", "fotos", "foto").join(often, ["id", "foto"]).groupBy("id", "valor").agg(F.min(F.struct("n", "foto"))["foto"].alias("foto"), F.first("fotos").alias("menos"))
+    rarest = one.join(often, ["id", "foto"]).groupBy("id", F.col("fotos").alias("menos")).agg(F.min(F.struct("n", "foto"))["foto"].alias("foto"))
     wider = one.select("id", "foto", F.col("fotos").alias("mais"))
     hit = rarest.join(wider, ["id", "foto"]).where((F.size("mais") > F.size("menos")) & (F.size(F.array_except("menos", "mais")) == 0))
-    return hit.select("id", "valor").distinct()
+    return photos.join(hit.select("id", F.col("menos").alias("fotos")).distinct(), ["id", "fotos"]).select("id", "valor").distinct()
 
 
 def survivors(raw: DataFrame) -> DataFrame:
