@@ -14,12 +14,12 @@ from typing import NamedTuple
 _CUT = re.compile("da|do|de")
 
 
-def base(s: str) -> str:
-    """Lower-case ASCII without hyphens and without the syllables da, do, de."""
+def base(s: str, cut: bool = True) -> str:
+    """Lower-case ASCII without hyphens and, with cut, without the syllables da, do, de."""
     s = s.replace("–", " ").replace("—", " ").replace("°", "o").replace("º", "o").replace("ª", "a")
     t = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().replace("-", " ")
     while True:
-        u = _CUT.sub("", t)
+        u = _CUT.sub("", t) if cut else t
         if u == t:
             return re.sub(r"\s+", " ", t).strip()
         t = u
@@ -27,7 +27,7 @@ def base(s: str) -> str:
 
 @lru_cache(1)
 def words() -> dict[str, str]:
-    """Types and honorifics as base() leaves them: t: street type, h: honorific, b: type of neighbourhood (fixed values)."""
+    """Types and honorifics as base() leaves them, cut or not: t: street type, h: honorific, b: type of neighbourhood (fixed values)."""
     forms = {
         "t:rua": "rua r", "t:avenida": "avenida av ave aven avn", "t:alameda": "alameda al alam", "t:travessa": "travessa tv tr trav tra", "t:praca": "praca pc pca pr", "t:rodovia": "rodovia rod", "t:viela": "viela", "t:via": "via",
         "h:": "doutor dr doutora dra professor prof professora profa engenheiro eng engo maestro mtro senador sen coronel cel comendador com comend santa sta santo sto general gen presidente pres governador gov desembargador des vereador ver padre pe dom major maj capitao cap deputado dep",
@@ -37,6 +37,7 @@ def words() -> dict[str, str]:
     for k, v in forms.items():
         for w in v.split():
             out.setdefault(base(w), k)
+            out.setdefault(w, k)
     return out
 
 
@@ -47,7 +48,7 @@ _BLOCK = r"\b(?:quadra|qdra|qd|q)[\s.:]*0*(\d+)"
 _LOT = r"\b(?:lote|lt|l)[\s.:]*0*(\d+)"
 _BLOCK_LOT = re.compile(rf"{_BLOCK}[\s,;/.]*{_LOT}\b")
 _LOT_BLOCK = re.compile(rf"{_LOT}[\s,;/.]*{_BLOCK}\b")
-_INNER = re.compile(r"[,;]?\s*\b(?:funs|funds|frente)\b|[,;]?\s*\b(?:apto|apartamento|apt|ap|bloco|bl|sala|sl|casa|cs|torre|edificio|ed|condominio|condo?|conv?|loja|lj|andar|unidade|unid|kit|kitnet|fundos|quarto|box|galpao)\b[\s.:]*[\w]*(?:\s[^,]*)?(?=,|$)")
+_INNER = re.compile(r"[,;]?\s*\b(?:funs|fundos|frente)\b|[,;]?\s*\b(?:apto|apartamento|apt|ap|bloco|bl|sala|sl|casa|cs|torre|edificio|ed|condominio|condo?|conv?|loja|lj|andar|unidade|unid|kit|kitnet|fundos|quarto|box|galpao)\b[\s.:]*[\w]*(?:\s[^,]*)?(?=,|$)")
 _BARE = re.compile(r",\s*0*(\d+)\s*(?=,|$)")
 _MARK = re.compile(r"[,\s.]*\b(?:numero|num|nro|nr|no|n)(?:\b|(?=\d))[\s.:]*0*(\d+)\b")
 
@@ -70,11 +71,11 @@ class Address(NamedTuple):
         return f"n{self.number}" if self.number else None
 
 
-def place_key(s: str | None) -> str | None:
+def place_key(s: str | None, cut: bool = True) -> str | None:
     """The key of a neighbourhood: its name without the type, types in short or long form alike."""
     if not s:
         return None
-    t = re.sub(r"[^a-z0-9 ]", " ", _CITY.sub(" ", base(s)))
+    t = re.sub(r"[^a-z0-9 ]", " ", _CITY.sub(" ", base(s, cut)))
     tokens = t.split()
     w = words()
     if len(tokens) > 1 and (w.get(tokens[0], "").startswith("b:") or tokens[0] in _SHORT_PLACES):
@@ -90,19 +91,19 @@ def _street_key(tokens: list[str]) -> tuple[str | None, str | None]:
     code = "".join(tokens)
     if re.fullmatch(r"[a-z]{0,3}\d+[a-z]?", code):
         return code.lstrip("0") or None, kind
-    while tokens and (w.get(tokens[0]) == "h:" or tokens[0] in ("s", "d", "e", "a", "o")) and len(tokens) > 1:
+    while tokens and (w.get(tokens[0]) == "h:" or tokens[0] in ("s", "d", "e", "a", "o", "da", "do", "das", "dos", "de")) and len(tokens) > 1:
         tokens = tokens[1:]
-    key = " ".join(x for x in tokens if x not in ("s", "d"))
+    key = " ".join(x for x in tokens if x not in ("s", "d", "da", "do", "das", "dos", "de"))
     return (key if len(key) > 2 and not w.get(key, "").startswith("t:") else None), kind
 
 
-def read(s: str | None, with_place: bool = False) -> Address:
-    """The parts of a street field, or, with_place, of a whole address."""
+def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
+    """The parts of a street field, or, with_place, of a whole address; cut as in base()."""
     nothing = Address(None, None, None, None, None, None)
     if not s or s.isspace():
         return nothing
-    t = base(s)
-    if re.search(r"nao (informa|disponi)|sob consulta|^(n/?[aid]|null|nan|none|sem en.*|a ?finir|s/?n)$", t):
+    t = base(s, cut)
+    if re.search(r"nao (informa|disponi)|sob consulta|^(n/?[aid]|null|nan|none|sem en.*|a (de)?finir|s/?n)$", t):
         return nothing
     w = words()
     block = lot = number = None
@@ -162,3 +163,8 @@ def read(s: str | None, with_place: bool = False) -> Address:
         rest = [p for p in parts if p is not (typed[0] if typed else None) and any(len(x) > 3 and x.isalpha() for x in p)]
         place = " ".join(rest[0]) if rest else None
     return Address(street, kind, number, block, lot, place)
+
+
+def has_syllables(s: str | None) -> bool:
+    """Whether base() cuts anything out of a text."""
+    return bool(s) and bool(_CUT.search(base(s, False)))

@@ -16,21 +16,24 @@ def _tail(c: Column) -> Column:
     return F.regexp_extract(c, r" (i{1,3}|iv|vi{0,3}|ix|x|norte|sul|leste|oeste|[a-z])$", 1)
 
 
-def link_names(names: DataFrame, least_letters: int = 5) -> DataFrame:
-    """Rows (grupo, nome, canonico) for rows (grupo, nome, n): the name that each name stands for within its group.
+def link_names(names: DataFrame, least_letters: int = 4) -> DataFrame:
+    """Rows (grupo, nome, canonico) for rows (grupo, nome, n[, cheio]): the name that each name stands for within its group.
 
-    Names with digits or fewer than least_letters letters, and names without a more frequent neighbour, stand for
-    themselves. Of two equally frequent neighbours the alphabetically first stands. Names that are told apart by their
-    last word (III, Sul) are never linked.
+    cheio is a fuller spelling of the name, if there is one; slips are looked for in both. Names with digits or fewer than
+    least_letters letters, and names without a more frequent neighbour, stand for themselves; names of up to five letters
+    need a neighbour five times as frequent. Of two equally frequent neighbours the alphabetically first stands. Names
+    that are told apart by their last word (III, Sul) are never linked.
     """
-    own = names.groupBy("grupo", "nome").agg(F.sum("n").alias("n"))
+    full = F.max(F.struct(F.length("cheio").alias("l"), F.col("cheio").alias("s")))["s"] if "cheio" in names.columns else F.lit(None).cast("string")
+    own = names.groupBy("grupo", "nome").agg(F.sum("n").alias("n"), full.alias("cheio"))
     fuzzy = own.where(F.length("nome") >= least_letters).where(~F.col("nome").rlike("[0-9]"))
-    short = F.expr("array_distinct(array_append(transform(sequence(1, length(nome)), i -> concat(substr(nome, 1, i - 1), substr(nome, i + 1))), nome))")
-    left = fuzzy.select("grupo", "nome", "n", F.explode(short).alias("resto"))
+    short = "array_append(transform(sequence(1, length({0})), i -> concat(substr({0}, 1, i - 1), substr({0}, i + 1))), {0})"
+    both = F.when(F.col("cheio").isNull() | (F.col("cheio") == F.col("nome")), F.expr(f"array_distinct({short.format('nome')})")).otherwise(F.expr(f"array_union({short.format('nome')}, {short.format('cheio')})"))
+    left = fuzzy.select("grupo", "nome", "n", F.explode(both).alias("resto"), _tail(F.col("nome")).alias("fim"))
     # larger n first, then the alphabetically first name
     rank = F.struct(F.col("n").alias("n"), F.translate("nome", "abcdefghijklmnopqrstuvwxyz ", "zyxwvutsrqponmlkjihgfedcba~").alias("inv"), F.col("nome").alias("nome"))
-    elected = left.groupBy("grupo", "resto", _tail(F.col("nome")).alias("fim")).agg(F.max(rank).alias("eleito"), F.count("*").alias("quantos")).where("quantos > 1").drop("quantos")
-    near = left.withColumn("fim", _tail(F.col("nome"))).join(elected, ["grupo", "resto", "fim"]).where(F.col("eleito.nome") != F.col("nome")).where(F.col("eleito") > rank).where(F.levenshtein("nome", F.col("eleito.nome"), 2) >= 0)
+    elected = left.groupBy("grupo", "resto", "fim").agg(F.max(rank).alias("eleito"), F.count("*").alias("quantos")).where("quantos > 1").drop("quantos")
+    near = left.join(elected, ["grupo", "resto", "fim"]).where(F.col("eleito.nome") != F.col("nome")).where(F.col("eleito") > rank).where((F.length("nome") > 5) | (F.col("eleito.n") >= 5 * F.col("n")))
     step = near.groupBy("grupo", "nome").agg(F.max("eleito").alias("e")).select("grupo", "nome", F.col("e.nome").alias("alvo"))
     # a slip of a slip: one more step
     onward = step.select("grupo", F.col("nome").alias("alvo"), F.col("alvo").alias("alem"))

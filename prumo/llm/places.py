@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prumo.llm.address import place_key, read
+from prumo.llm.address import has_syllables, place_key, read
 from prumo.llm.names import link_names
 from prumo.session import cut
 
@@ -27,36 +27,52 @@ SHARE = 0.9
 
 
 def read_addresses(df: DataFrame, key: str, address: str, place: str | None = None) -> DataFrame:
-    """Rows (key, lugar, rua, ponto): the parts of an address column; place: a column with the neighbourhood, else it is read from the address."""
+    """Rows (chave, lugar, rua, ponto, lugar_cheio, rua_cheia): the parts of an address column.
+
+    place: a column with the neighbourhood, else it is read from the address. The fuller spellings keep the syllables
+    that the normal form takes out.
+    """
     flat = df.select(F.col(key), F.col(address), *([F.col(place)] if place else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [read(s, place is None) for s in b.column(1).to_pylist()]
-            where = [place_key(s) for s in b.column(2).to_pylist()] if place else [g.place for g in got]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(where, pa.string()), pa.array([g.street for g in got], pa.string()), pa.array([g.spot for g in got], pa.string())], names=["chave", "lugar", "rua", "ponto"])
+            texts = b.column(1).to_pylist()
+            got = [read(s, place is None) for s in texts]
+            full = [read(s, place is None, False) if has_syllables(s) else g for s, g in zip(texts, got)]
+            if place:
+                told = b.column(2).to_pylist()
+                where, spelt = [place_key(s) for s in told], [place_key(s, False) for s in told]
+            else:
+                where, spelt = [g.place for g in got], [g.place for g in full]
+            parts = (where, [g.street for g in got], [g.spot for g in got], spelt, [g.street for g in full])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.string()) for x in parts)], names=["chave", "lugar", "rua", "ponto", "lugar_cheio", "rua_cheia"])
+
+    return flat.mapInArrow(run, f"chave {flat.schema[0].dataType.simpleString()}, lugar string, rua string, ponto string, lugar_cheio string, rua_cheia string")
+
 
-    return flat.mapInArrow(run, f"chave {flat.schema[0].dataType.simpleString()}, lugar string, rua string, ponto string")
+def counted_names(rows: DataFrame) -> DataFrame:
+    """Different pairs (lugar, rua) of rows with their number and a fuller spelling of each."""
+    fuller = lambda c: F.max(F.struct(F.length(c).alias("l"), F.col(c).alias("s")))["s"].alias(c)
+    return cut(rows.where("rua IS NOT NULL").groupBy("lugar", "rua").agg(F.count("*").alias("n"), fuller("lugar_cheio"), fuller("rua_cheia")))
 
 
 def resolve(names: DataFrame) -> DataFrame:
-    """Rows (lugar, rua, lugar_c, rua_c, situacao) for distinct pairs (lugar, rua, n): linked, inherited or ambiguous.
+    """Rows (lugar, rua, lugar_c, rua_c, situacao) for counted_names(): linked, inherited or ambiguous.
 
     The levels are linked from the top down: neighbourhoods, then streets within the linked neighbourhood. Streets
     without a neighbourhood are linked among all streets, and inherit the neighbourhood that holds SHARE of the street's
     records.
     """
-    places = link_names(names.where("lugar IS NOT NULL").select(F.lit("").alias("grupo"), F.col("lugar").alias("nome"), "n"))
-    placed = names.where("lugar IS NOT NULL").join(places.select(F.col("nome").alias("lugar"), F.col("canonico").alias("lugar_c")), "lugar")
-    placed = cut(placed)
-    streets = link_names(placed.where("rua IS NOT NULL").select(F.col("lugar_c").alias("grupo"), F.col("rua").alias("nome"), "n"))
-    placed = placed.join(streets.select(F.col("grupo").alias("lugar_c"), F.col("nome").alias("rua"), F.col("canonico").alias("rua_c")), ["lugar_c", "rua"], "left")
-    placed = cut(placed.select("lugar", "rua", "lugar_c", "rua_c", "n"))
-    pairs = placed.where("rua_c IS NOT NULL").groupBy("rua_c", "lugar_c").agg(F.sum("n").alias("n"))
-    known = pairs.groupBy("rua_c").agg(F.max_by("lugar_c", F.struct("n", "lugar_c")).alias("a"), (F.max("n") >= SHARE * F.sum("n")).alias("um"), F.sum("n").alias("n"))
-    bare = names.where("lugar IS NULL AND rua IS NOT NULL").select("rua", "n")
+    nowhere = F.lit("").alias("grupo")
+    places = link_names(names.where("lugar IS NOT NULL").select(nowhere, F.col("lugar").alias("nome"), "n", F.col("lugar_cheio").alias("cheio")))
+    placed = cut(names.where("lugar IS NOT NULL").join(places.select(F.col("nome").alias("lugar"), F.col("canonico").alias("lugar_c")), "lugar"))
+    streets = link_names(placed.select(F.col("lugar_c").alias("grupo"), F.col("rua").alias("nome"), "n", F.col("rua_cheia").alias("cheio")))
+    placed = cut(placed.join(streets.select(F.col("grupo").alias("lugar_c"), F.col("nome").alias("rua"), F.col("canonico").alias("rua_c")), ["lugar_c", "rua"]).select("lugar", "rua", "lugar_c", "rua_c", "n", "rua_cheia"))
+    pairs = placed.groupBy("rua_c", "lugar_c").agg(F.sum("n").alias("n"), F.max(F.when(F.col("rua") == F.col("rua_c"), F.col("rua_cheia"))).alias("cheio"))
+    known = pairs.groupBy("rua_c").agg(F.max_by("lugar_c", F.struct("n", "lugar_c")).alias("a"), (F.max("n") >= SHARE * F.sum("n")).alias("um"), F.sum("n").alias("n"), F.max("cheio").alias("cheio"))
+    bare = names.where("lugar IS NULL").select("rua", "n", "rua_cheia")
     # slips among streets without neighbourhood weigh less than any street that has one
-    both = known.select(F.lit("").alias("grupo"), F.col("rua_c").alias("nome"), (F.col("n") + 1_000_000_000_000).alias("n")).unionByName(bare.select(F.lit("").alias("grupo"), F.col("rua").alias("nome"), "n"))
+    both = known.select(nowhere, F.col("rua_c").alias("nome"), (F.col("n") + 1_000_000_000_000).alias("n"), "cheio").unionByName(bare.select(nowhere, F.col("rua").alias("nome"), "n", F.col("rua_cheia").alias("cheio")))
     linked = bare.select("rua").distinct().join(link_names(both).select(F.col("nome").alias("rua"), "canonico"), "rua")
     direct = known.select(F.col("rua_c").alias("rua"), F.lit(True).alias("certo"))
     linked = linked.join(direct, "rua", "left").select("rua", F.when(F.col("certo"), F.col("rua")).otherwise(F.col("canonico")).alias("rua_c"))
@@ -67,11 +83,11 @@ def resolve(names: DataFrame) -> DataFrame:
 
 def same_places(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (esquerda, direita): keys of records of both sides (read_addresses()) that denote one place."""
-    rows = left.select("lugar", "rua").unionByName(right.select("lugar", "rua"))
-    links = resolve(cut(rows.where("rua IS NOT NULL").groupBy("lugar", "rua").agg(F.count("*").alias("n"))))
+    told = ["lugar", "rua", "lugar_cheio", "rua_cheia"]
+    links = resolve(counted_names(left.select(*told).unionByName(right.select(*told))))
 
     def located(side: DataFrame, name: str) -> DataFrame:
-        full = side.where("rua IS NOT NULL AND ponto IS NOT NULL").distinct()
+        full = side.select("chave", "lugar", "rua", "ponto").where("rua IS NOT NULL AND ponto IS NOT NULL").distinct()
         hit = full.join(links, (full.rua == links.rua) & full.lugar.eqNullSafe(links.lugar))
         return hit.where("lugar_c IS NOT NULL AND rua_c IS NOT NULL").select(F.col("chave").alias(name), "lugar_c", "rua_c", "ponto").distinct()
 
@@ -84,6 +100,6 @@ def listing_addresses(df: DataFrame) -> DataFrame:
 
     named = F.when(is_place_name(F.col("bairro"), F.col("cidade")), F.col("bairro"))
     parts = cut(read_addresses(df.select("id", "rua", named.alias("bairro")).distinct(), "id", "rua", "bairro"))
-    streets = parts.select("chave", "rua", "ponto").where("rua IS NOT NULL").distinct()
-    places = parts.select("chave", "lugar").where("lugar IS NOT NULL").distinct()
-    return streets.join(places, "chave", "left").select("chave", "lugar", "rua", "ponto")
+    streets = parts.select("chave", "rua", "ponto", "rua_cheia").where("rua IS NOT NULL").distinct()
+    places = parts.select("chave", "lugar", "lugar_cheio").where("lugar IS NOT NULL").distinct()
+    return streets.join(places, "chave", "left").select("chave", "lugar", "rua", "ponto", "lugar_cheio", "rua_cheia")
