@@ -18,6 +18,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -98,6 +99,12 @@ class Automaton:
         return [longest[s] for s in self.state]
 
 
+@lru_cache(1)
+def _invisible() -> re.Pattern[str]:
+    """Runs of format characters (category Cf)."""
+    return re.compile(f"[{''.join(re.escape(chr(i)) for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == 'Cf')}]+")
+
+
 def plain(text: str) -> str:
     """Text without markup, entities and invisible characters; addresses of links are kept."""
     if "<" in text:
@@ -105,7 +112,7 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFC", text) if unicodedata.category(c) != "Cf")
+        text = _invisible().sub("", text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
     return text
 
 
