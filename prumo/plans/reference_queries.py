@@ -314,8 +314,9 @@ SQL["d9_incremental"] = f"WITH {Z} SELECT id, scraped_at FROM ({_FIRSTID}) f WHE
 QUERIES["d9_incremental"] = lambda spark, d: dd.first_per_id(dd.only_new(raw(spark, d), stored(spark, d))).select("id", "scraped_at")
 _on_raw("d10_distinct_values", "SELECT DISTINCT bairro FROM z WHERE bairro IS NOT NULL", lambda df: dd.distinct_values(df, "bairro"))
 _NA = _norm("address")
-SQL["d11_cache_insert"] = f"WITH {G} SELECT n AS address, place_id FROM (SELECT {_NA} AS n, place_id, row_number() OVER (PARTITION BY {_NA} ORDER BY place_id) AS r FROM g WHERE CAST(place_id AS BIGINT) % 2 = 0) e WHERE r = 1 AND n <> '' AND NOT EXISTS (SELECT 1 FROM g WHERE CAST(place_id AS BIGINT) % 2 = 1 AND {_NA} = e.n)"
-QUERIES["d11_cache_insert"] = lambda spark, d: en.absent(cache(spark, d).where("CAST(place_id AS BIGINT) % 2 = 0"), cache(spark, d).where("CAST(place_id AS BIGINT) % 2 = 1")).select("address", "place_id")
+_NEW = f"n AS (SELECT {_norm('coalesce(rua, ' + chr(39) * 2 + ') || ' + chr(39) + ', ' + chr(39) + ' || coalesce(bairro, ' + chr(39) * 2 + ')')} AS address, min(id) AS place_id FROM z GROUP BY 1)"
+SQL["d11_cache_insert"] = f"WITH {Z}, {G}, {_NEW} SELECT address, place_id FROM n WHERE address <> '' AND NOT EXISTS (SELECT 1 FROM g WHERE {_NA} = n.address)"
+QUERIES["d11_cache_insert"] = lambda spark, d: en.absent(en.with_address(raw(spark, d)).select(F.col("endereco").alias("address"), F.col("id").alias("place_id")), cache(spark, d)).select("address", "place_id")
 
 # --- joins and set operations
 
@@ -400,21 +401,21 @@ def _(spark, d):
 
 # --- windows, sorts, limits
 
-_PAGES = "pg AS (SELECT user_id AS parte, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pagina, CASE WHEN event_id % 11 = 0 THEN [] ELSE [CAST(event_id AS VARCHAR)] END AS itens FROM events)"
+_PAGES = "pg AS (SELECT user_id AS parte, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pagina, CASE WHEN event_type = 'error' AND value > 50 THEN [] ELSE [CAST(event_id AS VARCHAR)] END AS itens, event_type AS tipo FROM events)"
 
 
 def _event_pages(spark: SparkSession, d: str) -> DataFrame:
     page = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
-    items = F.when(F.col("event_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(F.col("event_id").cast("string")))
+    items = F.when((F.col("event_type") == "error") & (F.col("value") > 50), F.array().cast("array<string>")).otherwise(F.array(F.col("event_id").cast("string")))
     return table(spark, d, "events").select(F.col("user_id").alias("parte"), page.alias("pagina"), items.alias("itens"))
 
 
 SQL["w1_best_of_group"], QUERIES["w1_best_of_group"] = SQL["d6_keep_best"], QUERIES["d6_keep_best"]
 
 
-@query("w2_stop_page", f"WITH {_PAGES}, s AS (SELECT *, min(CASE WHEN len(itens) = 0 OR (pagina > 1 AND CAST(itens[1] AS BIGINT) % 7 = 0) THEN pagina END) OVER (PARTITION BY parte) AS para FROM pg) SELECT parte, pagina FROM s WHERE (para IS NULL OR pagina < para) AND pagina <= 10")
+@query("w2_stop_page", f"WITH {_PAGES}, s AS (SELECT *, min(CASE WHEN len(itens) = 0 OR (pagina > 1 AND tipo = 'view') THEN pagina END) OVER (PARTITION BY parte) AS para FROM pg) SELECT parte, pagina FROM s WHERE (para IS NULL OR pagina < para) AND pagina <= 10")
 def _(spark, d):
-    known = table(spark, d, "events").where("event_id % 7 = 0").select(F.col("event_id").cast("string").alias("id"))
+    known = table(spark, d, "events").where("event_type = 'view'").select(F.col("event_id").cast("string").alias("id"))
     return en.pages_to_keep(_event_pages(spark, d), ["parte"], "pagina", "itens", known, 10).select("parte", "pagina")
 
 
@@ -424,7 +425,7 @@ def _(spark, d):
 
 
 _on_raw("w4_average_rank", "SELECT id, scraped_at, area_m2, rank() OVER (ORDER BY area_m2) + (count(*) OVER (PARTITION BY area_m2) - 1) / 2.0 AS posto FROM z WHERE area_m2 IS NOT NULL", lambda df: df.where("area_m2 IS NOT NULL").join(st._ranks(df.where("area_m2 IS NOT NULL"), "area_m2"), "area_m2").select("id", "scraped_at", "area_m2", F.col("__rank_area_m2").alias("posto")))
-_on_raw("o1_multi_key_sort", "SELECT id, scraped_at, preco FROM z ORDER BY preco DESC NULLS LAST, area_m2 DESC NULLS LAST, id, scraped_at LIMIT 50", lambda df: df.orderBy(F.desc_nulls_last("preco"), F.desc_nulls_last("area_m2"), "id", "scraped_at").limit(50).select("id", "scraped_at", "preco"))
+_on_raw("o1_multi_key_sort", "SELECT id, scraped_at, preco FROM z ORDER BY preco DESC NULLS LAST, area_m2 DESC NULLS LAST, id, scraped_at", lambda df: df.orderBy(F.desc_nulls_last("preco"), F.desc_nulls_last("area_m2"), "id", "scraped_at").select("id", "scraped_at", "preco"))
 _on_raw("o2_sorted_counts", "SELECT bairro, count(*) AS n FROM z GROUP BY bairro ORDER BY n DESC, bairro NULLS FIRST", lambda df: df.groupBy("bairro").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("bairro")))
 _on_raw(
     "o3_top_errors",

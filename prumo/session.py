@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
+_cuts: list[tuple[SparkSession, str]] = []
 
 
 def make_session(app: str = "prumo", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,8 +71,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def drop_cuts() -> None:
+    """Delete the tables that cut() wrote; frames that read them are spent. Runs by itself at the end of the process."""
+    while _cuts:
+        spark, path = _cuts.pop()
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the application has ended already
+            _cuts.clear()
+
+
 @atexit.register
 def _remove_own_dirs() -> None:
+    drop_cuts()
     for d in _own_dirs:
         shutil.rmtree(d, ignore_errors=True)
 
@@ -84,4 +97,5 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"prumo-{uuid.uuid4().hex}")
     df.write.parquet(path)
+    _cuts.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
