@@ -95,11 +95,14 @@ def same_places(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def listing_addresses(df: DataFrame) -> DataFrame:
-    """Addresses of listings over all their scrapes: a scrape's street and number go with every usable neighbourhood of the listing."""
+    """Addresses of listings over all their scrapes; a scrape without a usable neighbourhood takes the one that most scrapes of its listing tell."""
     from prumo.functions.listing import is_place_name
 
     named = F.when(is_place_name(F.col("bairro"), F.col("cidade")), F.col("bairro"))
     parts = cut(read_addresses(df.select("id", "rua", named.alias("bairro")).distinct(), "id", "rua", "bairro"))
-    streets = parts.select("chave", "rua", "ponto", "rua_cheia").where("rua IS NOT NULL").distinct()
-    places = parts.select("chave", "lugar", "lugar_cheio").where("lugar IS NOT NULL").distinct()
-    return streets.join(places, "chave", "left").select("chave", "lugar", "rua", "ponto", "lugar_cheio", "rua_cheia")
+    told = parts.where("lugar IS NOT NULL").groupBy("chave", "lugar").agg(F.count("*").alias("n"), F.max("lugar_cheio").alias("lugar_cheio"))
+    usual = told.groupBy("chave").agg(F.max(F.struct("n", "lugar", "lugar_cheio")).alias("u"))
+    own = F.col("lugar").isNotNull()
+    full = parts.where("rua IS NOT NULL").join(usual, "chave", "left")
+    out = full.select("chave", F.when(own, F.col("lugar")).otherwise(F.col("u.lugar")).alias("lugar"), "rua", "ponto", F.when(own, F.col("lugar_cheio")).otherwise(F.col("u.lugar_cheio")).alias("lugar_cheio"), "rua_cheia")
+    return out.distinct()
