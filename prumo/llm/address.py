@@ -71,6 +71,7 @@ class Address(NamedTuple):
         return f"n{self.number}" if self.number else None
 
 
+@lru_cache(20_000)
 def place_key(s: str | None, cut: bool = True) -> str | None:
     """The key of a neighbourhood: its name without the type, types in short or long form alike."""
     if not s:

@@ -7,9 +7,11 @@ that its own strings elected. Work and shuffle are linear in the letters of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prumo.session import cut
+
 
 def _tail(c: Column) -> Column:
     """A last word that tells names apart: a Roman numeral, a point of the compass, a single letter."""
@@ -32,9 +34,10 @@ def link_names(names: DataFrame, least_letters: int = 4) -> DataFrame:
     left = fuzzy.select("grupo", "nome", "n", F.explode(both).alias("resto"), _tail(F.col("nome")).alias("fim"))
     # larger n first, then the alphabetically first name
     rank = F.struct(F.col("n").alias("n"), F.translate("nome", "abcdefghijklmnopqrstuvwxyz ", "zyxwvutsrqponmlkjihgfedcba~").alias("inv"), F.col("nome").alias("nome"))
-    elected = left.groupBy("grupo", "resto", "fim").agg(F.max(rank).alias("eleito"), F.count("*").alias("quantos")).where("quantos > 1").drop("quantos")
-    near = left.join(elected, ["grupo", "resto", "fim"]).where(F.col("eleito.nome") != F.col("nome")).where(F.col("eleito") > rank).where((F.length("nome") > 5) | (F.col("eleito.n") >= 5 * F.col("n")))
-    step = near.groupBy("grupo", "nome").agg(F.max("eleito").alias("e")).select("grupo", "nome", F.col("e.nome").alias("alvo"))
+    # names that leave one string differ in two letters at most, so a string's names are few: about 27 times its length
+    elected = F.max(rank).over(Window.partitionBy("grupo", "resto", "fim"))
+    near = left.withColumn("eleito", elected).where(F.col("eleito") > rank).where((F.length("nome") > 5) | (F.col("eleito.n") >= 5 * F.col("n")))
+    step = cut(near.groupBy("grupo", "nome").agg(F.max("eleito").alias("e")).select("grupo", "nome", F.col("e.nome").alias("alvo")))
     # a slip of a slip: one more step
     onward = step.select("grupo", F.col("nome").alias("alvo"), F.col("alvo").alias("alem"))
     links = step.join(onward, ["grupo", "alvo"], "left").select("grupo", "nome", F.coalesce("alem", "alvo").alias("canonico"))
