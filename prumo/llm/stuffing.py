@@ -35,10 +35,12 @@ CLAUSE_WORDS = frozenset(
     """.split()
 )
 _MARKUP = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>|<[a-zA-Z/!][^>]{0,2000}>")
+#: Symbols of a lower-case page by group: 1 and 4 words (most words end at white space or a comma: the first alternative
+#: takes them at once), 2 links, 3 tags, 5 ends of units, 6 other marks.
 _SYMBOL = re.compile(
-    r"(?P<link>(?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+\.(?:example|com|net|org|br|html)(?:\.[a-z]{2})?\b)"
-    r"|(?P<tag>#\w+|\b(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s*[\w+%-]+)|(?P<word>\w+(?:['’]\w+)?)|(?P<stop>[.!?]+(?=\s|$)|\n+|[|•·;]|->)|(?P<mark>[^\w\s])",
-    re.I,
+    r"(\w+)(?![\w.\-:/'’@]|\s+:)"
+    r"|((?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+\.(?:example|com|net|org|br|html)(?:\.[a-z]{2})?\b)"
+    r"|(#\w+|\b(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s*[\w+%-]+)|(\w+(?:['’]\w+)?)|([.!?]+(?=\s|$)|\n+|[|•·;]|->)|([^\w\s])"
 )
 
 
@@ -100,9 +102,9 @@ class Automaton:
 
 
 @lru_cache(1)
-def _invisible() -> re.Pattern[str]:
-    """Runs of format characters (category Cf)."""
-    return re.compile(f"[{''.join(re.escape(chr(i)) for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == 'Cf')}]+")
+def _invisible() -> frozenset[str]:
+    """The format characters (category Cf)."""
+    return frozenset(chr(i) for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == "Cf")
 
 
 def plain(text: str) -> str:
@@ -112,7 +114,8 @@ def plain(text: str) -> str:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = _invisible().sub("", text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text))
+        text = text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
+        text = text if _invisible().isdisjoint(text) else "".join(c for c in text if c not in _invisible())
     return text
 
 
@@ -137,58 +140,54 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     """Characters of words, links and tags; shares of them repeated or linked, without clause structure, stuffing."""
     if not text or text.isspace():
         return 0, 0.0, 0.0, 0.0
-    ids: dict[str, int] = {}
+    ids: dict[str, int] = {"<link>": 0, "<tag>": 1}
     seq: list[int] = []
     size: list[int] = []
-    unit: list[int] = []
-    linked: list[bool] = []
+    starts = [0]
     words: list[list[str]] = [[]]
-    clause: list[int] = [0]
-    u = 0
-    for m in _SYMBOL.finditer(plain(text)):
-        kind, s = m.lastgroup, m[0]
-        if kind == "word":
-            s = s.lower()
-            words[u].append(s)
-            clause[u] += s in CLAUSE_WORDS
+    here = words[0]
+    for m in _SYMBOL.finditer(plain(text).lower()):
+        kind, s = m.lastindex, m[0]
+        if kind == 1 or kind == 4:
+            here.append(s)
             size.append(len(s))
-        elif kind in ("link", "tag"):
-            size.append(len(s))
-            s = f"<{kind}>"
-        elif kind == "stop" and s[0] != "\n":
+        elif kind == 5:
             s = s[0]
             size.append(0)
-        elif kind == "stop":
-            s = "\n"
+        elif kind == 6:
             size.append(0)
         else:
-            size.append(0)
+            size.append(len(s))
+            s = "<link>" if kind == 2 else "<tag>"
         seq.append(ids.setdefault(s, len(ids)))
-        unit.append(u)
-        linked.append(s[0] == "<" and len(s) > 1)
-        if kind == "stop":
-            u += 1
-            words.append([])
-            clause.append(0)
+        if kind == 5:
+            starts.append(len(seq))
+            words.append(here := [])
     total = sum(size)
     if not total:
         return 0, 0.0, 0.0, 0.0
     far = Automaton(seq).repeated(REPEATS)
     n = len(seq)
-    covered = [False] * n
+    # size of what is covered or a link or tag: the widest substring reaches back from its end
+    hit = [0] * n
     reach = 0
-    for i in range(n - 1, -1, -1):  # the widest substring reaching back from i or from later positions
-        reach = max(reach - 1, far[i])
-        covered[i] = reach > 0
-    bare = [c < max(1, 0.07 * len(w)) or echo(w) >= 0.4 for w, c in zip(words, clause)]
-    hit_in: list[int] = [0] * len(words)
-    in_unit: list[int] = [0] * len(words)
-    for i in range(n):
-        in_unit[unit[i]] += size[i]
-        if covered[i] or linked[i]:
-            hit_in[unit[i]] += size[i]
-    stuffed = sum(t for t, r, b in zip(in_unit, hit_in, bare) if b and r > 0.25 * t)
-    return total, sum(hit_in) / total, sum(t for t, b in zip(in_unit, bare) if b) / total, stuffed / total
+    for i in range(n - 1, -1, -1):
+        reach -= 1
+        if far[i] > reach:
+            reach = far[i]
+        if reach > 0 or seq[i] < 2:
+            hit[i] = size[i]
+    starts.append(n)
+    bare_size = stuffed = 0
+    for w, i, j in zip(words, starts, starts[1:]):
+        whole = sum(size[i:j])
+        if not whole:
+            continue
+        if len([x for x in w if x in CLAUSE_WORDS]) < max(1, 0.07 * len(w)) or echo(w) >= 0.4:
+            bare_size += whole
+            if sum(hit[i:j]) > 0.25 * whole:
+                stuffed += whole
+    return total, sum(hit) / total, bare_size / total, stuffed / total
 
 
 def is_stuffed(total: int, _hit: float, bare: float, stuffed: float) -> bool:
