@@ -45,15 +45,37 @@ _SYMBOL = re.compile(
 
 
 class Automaton:
-    """The suffix automaton of a sequence, with the number of ends of each state."""
+    """The suffix automaton of a sequence, with the number of ends of each state.
 
-    def __init__(self, seq: list[int]):
+    Symbols that occur fewer than least times part the sequence: no substring that occurs least times holds one, so the
+    automaton of the runs between them (their joint one) has all such substrings.
+    """
+
+    def __init__(self, seq: list[int], least: int = 1):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len, self.count = [-1], [0], [0]
         nxt, link, length, count = self.next, self.link, self.len, self.count
+        often: dict[int, int] = {}
+        for c in seq:
+            often[c] = often.get(c, 0) + 1
         last = 0
         self.state = []
+        note = self.state.append
         for c in seq:
+            if often[c] < least:
+                last = 0
+                note(0)
+                continue
+            q = nxt[last].get(c)
+            if q is not None:  # the run so far has gone on like this before
+                if length[q] == length[last] + 1:
+                    last = q
+                else:
+                    last = self._clone(last, c, q)
+                    link[q] = last
+                count[last] += 1
+                note(last)
+                continue
             cur = len(nxt)
             nxt.append({})
             length.append(length[last] + 1)
@@ -68,23 +90,28 @@ class Automaton:
                 if length[p] + 1 == length[q]:
                     link[cur] = q
                 else:
-                    clone = len(nxt)
-                    nxt.append(nxt[q].copy())
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    count.append(0)
-                    while p != -1 and nxt[p].get(c) == q:
-                        nxt[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
+                    link[q] = link[cur] = self._clone(p, c, q)
             last = cur
-            self.state.append(cur)
+            note(cur)
+
+    def _clone(self, p: int, c: int, q: int) -> int:
+        """A copy of state q for the substrings that end p's with c, one symbol longer than p's."""
+        nxt, link = self.next, self.link
+        made = len(nxt)
+        nxt.append(nxt[q].copy())
+        self.len.append(self.len[p] + 1)
+        link.append(link[q])
+        self.count.append(0)
+        while p != -1 and nxt[p].get(c) == q:
+            nxt[p][c] = made
+            p = link[p]
+        return made
 
     def repeated(self, times: int) -> list[int]:
         """For each position, the length of the longest substring ending there that occurs at least so often."""
         length, link, count = self.len, self.link, self.count
         # states in ascending order of length, by counting
-        bucket = [0] * (len(self.state) + 2)
+        bucket = [0] * (max(length) + 2)
         for x in length:
             bucket[x + 1] += 1
         for i in range(1, len(bucket)):
@@ -121,7 +148,7 @@ def plain(text: str) -> str:
 
 def echo(words: list[str]) -> float:
     """Share of a unit's words in word pairs that the unit has more than once."""
-    if len(words) < 4:
+    if len(words) < 4 or len(set(words)) >= len(words) - 1:  # a pair again takes two words again
         return 0.0
     pairs = list(zip(words, words[1:]))
     seen: dict[tuple[str, str], int] = {}
@@ -166,7 +193,7 @@ def measures(text: str | None) -> tuple[int, float, float, float]:
     total = sum(size)
     if not total:
         return 0, 0.0, 0.0, 0.0
-    far = Automaton(seq).repeated(REPEATS)
+    far = Automaton(seq, REPEATS).repeated(REPEATS)
     n = len(seq)
     # size of what is covered or a link or tag: the widest substring reaches back from its end
     hit = [0] * n

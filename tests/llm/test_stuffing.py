@@ -20,13 +20,14 @@ def brute(seq, times):
     return out
 
 
-@pytest.mark.parametrize("letters", [2, 3, 6])
+@pytest.mark.parametrize("letters", [2, 3, 6, 12])
 def test_repeats_against_brute_force(letters):
     rng = random.Random(letters)
     for times in (2, 3):
         for _ in range(25):
             seq = [rng.randrange(letters) for _ in range(rng.randint(0, 30))]
             assert Automaton(seq).repeated(times) == brute(seq, times)
+            assert Automaton(seq, times).repeated(times) == brute(seq, times)
 
 
 STUFFED = [
