@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prumo.session import cut
+
 
 @dataclass
 class Target:
@@ -49,8 +51,9 @@ def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[
     for i, t in enumerate(targets):
         work = work.withColumn(f"__use{i}", F.coalesce(t.usable, F.lit(False))).withColumn(f"__app{i}", F.coalesce(t.applies, F.lit(False)))
         work = work.withColumn(f"__fill{i}", F.lit(None).cast(df.schema[t.column].dataType)).withColumn(f"__dist{i}", F.lit(None).cast("double"))
-    for group in groups:
-        work = _one_pass(work, names, group, key, block_rows, max_blocks)
+    for i, group in enumerate(groups):
+        # a pass reads its input several times; what the pass before made is written once
+        work = _one_pass(cut(work) if i else work, names, group, key, block_rows, max_blocks)
     made = [f"{c}{s}" for c in names for s in ("_preenchido", "_distancia", "_status")]
     out = [c for c in df.columns if c not in made]
     for i, c in enumerate(names):

@@ -32,8 +32,6 @@ _SOFT = re.compile(rf"\s*(?<!\S)[{SOFT}](?!\S)\s*|[{SOFT}]")
 _HTTP_HEAD = re.compile(r"(?:^|(?<=[\s,;|\"'\[{•]))(?=https?://)")
 _TAIL = " \t\r\n,;|•\"'"
 
-Chunk = tuple[tuple[str, bool], ...]  # pieces (text, quoted), with delimiter classes between
-
 
 def unquote(s: str, q: str) -> str:
     """The value of a quoted span: doubled quotes and backslash escapes undone."""

@@ -10,7 +10,7 @@ from prumo.functions.text import fold, squeeze
 from prumo.operators.hotdeck import Target, hot_deck
 from prumo.operators.packed import learn, split_packed
 from prumo.operators.spatial import EARTH_M, nearby
-from prumo.session import table
+from prumo.session import cut, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def filled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         Target("banheiros", F.col("banheiros").between(1, 50), inhabited),
     ]
     key = ["id", "scraped_at"]
-    df = hot_deck(df, key, numbers, [[F.col("tipo"), F.col("com_taxa"), F.col("regiao")], [F.col("tipo"), F.col("com_taxa")]], F.col("area_m2"))
+    df = cut(hot_deck(df, key, numbers, [[F.col("tipo"), F.col("com_taxa"), F.col("regiao")], [F.col("tipo"), F.col("com_taxa")]], F.col("area_m2")))
     place = [Target("bairro", F.col("lugar"))]
     # a record without a street has no street in common with others: its own key keeps it alone in the narrow group
     street = F.when(F.length("logradouro") > 5, F.col("logradouro")).otherwise(F.concat(F.lit("#"), F.coalesce("id", F.lit(""))))

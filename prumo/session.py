@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: list[str] = []
 _cuts: list[tuple[SparkSession, str]] = []
+_shared: dict[str, str] = {}
 
 
 def make_session(app: str = "prumo", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,10 +66,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    made = tempfile.mkdtemp(prefix="prumo-")
-    _own_dirs.append(made)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
+    app = spark.sparkContext.applicationId
+    if app not in _shared:
+        _own_dirs.append(tempfile.mkdtemp(prefix="prumo-"))
+        _shared[app] = f"file://{_own_dirs[-1]}"
+    return _shared[app]
 
 
 def drop_cuts() -> None:
