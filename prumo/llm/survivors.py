@@ -6,7 +6,7 @@ a missing one or holds only part of what another value of the group gives: a tex
 street without its number.
 
 Equal values of a group are combined before the shuffle, with their latest scrape. A text broken off stands, in the order
-of the texts, right before one that goes on: one look at the next text finds it. A set of photos is compared with those
+of the texts, right before one that goes on: one look at the next text finds it (groups are split by the texts' heads). A set of photos is compared with those
 that hold its rarest photo only. No pairs within a group are made.
 
 Defined results: fields whose values are all equal give no row, nor do fields without any complete value; null and blank
@@ -33,6 +33,8 @@ from prumo.session import cut
 FIELDS = ("descricao_completa", "fotos_urls", "rua", "bairro")
 #: Marks of a text broken off (fixed values).
 CUT_MARKS = r"(?i)(\s*(\.\.\.|…|\[(\.\.\.|…)\]|\[?\(?(ver|leia|ler|veja|read|saiba) (mais|more)\)?\]?|\(?continua\)?))+\s*$"
+#: Letters of a text by which large groups are split.
+HEAD = 16
 #: Names of pictures that stand in for photos (fixed values).
 _NO_PHOTO = re.compile(r"/(?:no-?image|sem-?(?:foto|imagem)|foto-em-breve|em-breve|placeholder|default|indisponivel|not-?found)[^/]*$", re.I)
 
@@ -86,6 +88,23 @@ def contained(photos: DataFrame) -> DataFrame:
     return photos.join(hit.select("id", F.col("menos").alias("fotos")).distinct(), ["id", "fotos"]).select("id", "valor").distinct()
 
 
+def broken_off(texts: DataFrame) -> DataFrame:
+    """The rows (id, campo, nucleo) of different texts that another text of their group goes on from.
+
+    In the order of the texts, a text stands right before one that begins with it. Texts of HEAD letters or more are
+    sorted among those with the same head only, so a large group is not one task's work; shorter ones are looked up among
+    the beginnings of the group's texts, which are made only in groups that have short ones.
+    """
+    keys = ["id", "campo"]
+    head = F.substring("nucleo", 1, HEAD)
+    ahead = F.lead("nucleo").over(Window.partitionBy(*keys, head).orderBy("nucleo"))
+    long = texts.where(F.length("nucleo") >= HEAD).select(*keys, "nucleo", ahead.alias("seguinte")).where("startswith(seguinte, nucleo)").select(*keys, "nucleo")
+    short = texts.where(F.length("nucleo") < HEAD)
+    begins = texts.join(short.select(*keys).distinct(), keys, "left_semi").where(F.length("nucleo") > 1)
+    begins = begins.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("nucleo") - 1, F.lit(HEAD - 1))), lambda n: F.substring("nucleo", 1, n))).alias("nucleo")).distinct()
+    return long.unionByName(short.join(begins, [*keys, "nucleo"], "left_semi"))
+
+
 def survivors(raw: DataFrame) -> DataFrame:
     """Rows (id, campo, scraped_at, valor): per field with several values, the scrape and value that survive."""
     values = cut(parts(distinct_values(raw)))
@@ -95,17 +114,12 @@ def survivors(raw: DataFrame) -> DataFrame:
     street_only = F.col("nucleo").rlike(r"^(rua|r|av|avenida|aven|alameda|al|travessa|trav|tv|praca|pca)\.?$")
     missing = F.when(F.col("campo") == "bairro", ~is_place_name(F.col("valor"), F.col("cidade"))).when(F.col("campo") == "fotos_urls", F.size("fotos") == 0).when(F.col("campo") == "rua", is_stand_in(F.col("valor")) | street_only).otherwise(is_stand_in(F.col("valor")) | (F.col("nucleo") == ""))
     v = v.withColumn("falta", F.coalesce(missing, F.lit(True)))
-    group = Window.partitionBy("id", "campo")
-    ordered = group.orderBy("nucleo")
-    # the next different text
-    alike = v.groupBy("id", "campo", "nucleo").agg(F.lit(1).alias("um"))
-    follow = alike.select("id", "campo", "nucleo", F.lead("nucleo").over(ordered).alias("seguinte"))
-    broken = follow.where("nucleo <> '' AND startswith(seguinte, nucleo)").select("id", "campo", "nucleo", F.lit(True).alias("quebrado"))
-    v = v.join(broken, ["id", "campo", "nucleo"], "left")
+    v = v.join(broken_off(v.where("NOT falta AND nucleo <> ''").select("id", "campo", "nucleo").distinct()).withColumn("quebrado", F.lit(True)), ["id", "campo", "nucleo"], "left")
     fewer = contained(values.where("campo = 'fotos_urls' AND size(fotos) > 0")).select("id", F.col("valor").alias("valor"), F.lit("fotos_urls").alias("campo"), F.lit(True).alias("menos_fotos"))
     v = v.join(fewer, ["id", "campo", "valor"], "left")
-    numbered = F.max(F.coalesce("tem_ponto", F.lit(False))).over(group)
-    v = v.withColumn("sem_numero", (F.col("campo") == "rua") & ~F.coalesce("tem_ponto", F.lit(False)) & numbered)
+    # counted by an aggregate, not a window: a listing's values need not meet in one task for it
+    numbered = values.where("campo = 'rua' AND tem_ponto").select("id", F.lit("rua").alias("campo"), F.lit(True).alias("numerada")).distinct()
+    v = v.join(numbered, ["id", "campo"], "left").withColumn("sem_numero", F.col("numerada").isNotNull() & ~F.coalesce("tem_ponto", F.lit(False)))
     whole = ~F.col("falta") & F.col("quebrado").isNull() & F.col("menos_fotos").isNull() & ~F.col("sem_numero")
-    rank = group.orderBy(F.col("l").desc(), F.length("valor").desc(), "valor")
+    rank = Window.partitionBy("id", "campo").orderBy(F.col("l").desc(), F.length("valor").desc(), "valor")
     return v.where(whole).withColumn("posto", F.row_number().over(rank)).where("posto = 1").select("id", "campo", F.col("l.scraped_at").alias("scraped_at"), "valor")
