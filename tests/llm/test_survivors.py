@@ -59,3 +59,14 @@ def test_days(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(day(F.col("t")).alias("d"))
     assert [r.d for r in got.collect()] == [d, d, d, d, None, None, None, None]
     assert rows(got.where("d IS NULL")) == [(None,)] * 4
+
+
+def test_broken_off_against_brute_force(spark):
+    import random
+
+    from prumo.llm.survivors import broken_off
+
+    rng = random.Random(8)
+    texts = {(rng.choice("ab"), "f", "".join(rng.choice("xy ") for _ in range(rng.randint(1, 5))) * rng.randint(1, 8) + rng.choice(["", "z"])) for _ in range(400)}
+    got = set(rows(broken_off(spark.createDataFrame(sorted(texts), "id string, campo string, nucleo string"))))
+    assert got == {a for a in texts if any(a[:2] == b[:2] and a[2] != b[2] and b[2].startswith(a[2]) for b in texts)}
