@@ -3,7 +3,8 @@
 Method: title combination voting. Titles are stripped of what describes rather than names (sizes, counts, kinds, places);
 the pairs and triples of the name words left are combinations that every title votes for. A combination's score grows with
 the titles that share it and with its length, and falls with its average position, the gaps between its words and the
-neighbourhoods it stands in; each title is assigned to its best combination. Misspelt combinations are linked to the frequent one they stand for.
+neighbourhoods it stands in; each title is assigned to its best combination. Misspelt combinations are linked to the frequent one they stand for,
+misspelt neighbourhoods too. A name common to properties of many neighbourhoods is split by them; a phrase is spread like the listings themselves.
 Clusters are merged where a shorter combination stands inside a longer one, or where they share a street and number, and
 verified: same kind, bedrooms, size up to rounding and price within a few percent. A property without a name is known by
 street and number alone.
@@ -36,8 +37,9 @@ from prumo.session import cut
 AREA_GAP, AREA_SHARE, PRICE_SHARE = 1.6, 0.006, 0.08
 #: Prices outside are absurd for a sale.
 PRICE_RANGE = (20_000.0, 500_000_000.0)
-#: A combination that stands in more neighbourhoods than this is no name.
-MOST_PLACES = 3
+#: A combination in more linked neighbourhoods than this, each weighed by its share of the listings, names another property in
+#: each of them; one that is spread over this share of what all listings are spread over is a phrase.
+MOST_PLACES, PHRASE_SHARE = 3, 0.5
 
 _NUMBERS = {"um": 1, "uma": 1, "dois": 2, "duas": 2, "tres": 3, "quatro": 4, "cinco": 5, "seis": 6, "sete": 7, "oito": 8, "nove": 9, "dez": 10}
 _COUNT = r"(\d+|" + "|".join(_NUMBERS) + r")\s*"
@@ -167,29 +169,50 @@ def listing_facts(raw: DataFrame) -> DataFrame:
     return flat.mapInArrow(run, "id string, tipo string, lugar string, rua string, ponto string, dita boolean, quartos int, area double, preco double, combos array<string>, pesos array<double>, lugar_cheio string, rua_cheia string")
 
 
+def linked_places(facts: DataFrame) -> DataFrame:
+    """Rows (lugar, lugar_c): each neighbourhood of the listings with the one whose name it misspells."""
+    names = facts.where("lugar IS NOT NULL").groupBy("lugar").agg(F.count("*").alias("n"), F.max(F.struct(F.length("lugar_cheio").alias("l"), F.col("lugar_cheio").alias("s")))["s"].alias("cheio"))
+    return cut(link_names(names.select(F.lit("").alias("grupo"), F.col("lugar").alias("nome"), "n", "cheio")).select(F.col("nome").alias("lugar"), F.col("canonico").alias("lugar_c")))
+
+
+def _weighed(n: Column) -> Column:
+    """The number of neighbourhoods, each weighed by its share: that of equally large ones with the same sum of squared shares."""
+    return F.pow(F.sum(n), 2) / F.sum(n * n)
+
+
 def best_combination(facts: DataFrame) -> DataFrame:
     """Rows (id, nome): the combination each title is assigned to, the shorter one where one stands inside the other."""
-    votes = facts.select("id", "lugar", F.explode(F.arrays_zip("combos", "pesos")).alias("c")).select("id", "lugar", F.col("c.combos").alias("combo"), F.col("c.pesos").alias("peso"))
-    count = cut(votes.groupBy("combo").agg(F.count("*").alias("n"), F.approx_count_distinct("lugar").alias("lugares"))).where(F.col("lugares") <= MOST_PLACES)
+    facts = facts.join(linked_places(facts), "lugar", "left")
+    votes = cut(facts.select("id", "lugar_c", F.explode(F.arrays_zip("combos", "pesos")).alias("c")).select("id", "lugar_c", F.col("c.combos").alias("combo"), F.col("c.pesos").alias("peso")))
+    count = cut(votes.groupBy("combo", "lugar_c").agg(F.count("*").alias("n")))
     # misspelt words are linked, and with them the combinations
-    word = count.select("combo", "n", F.posexplode(F.split("combo", " ")).alias("i", "palavra"))
+    word = count.groupBy("combo").agg(F.sum("n").alias("n")).select("combo", "n", F.posexplode(F.split("combo", " ")).alias("i", "palavra"))
     links = link_names(word.select(F.lit("").alias("grupo"), F.col("palavra").alias("nome"), "n")).where("nome <> canonico")
     changed = word.join(links.select(F.col("nome").alias("palavra"), "canonico"), "palavra").groupBy("combo").agg(F.map_from_entries(F.collect_list(F.struct("i", "canonico"))).alias("troca"))
     swapped = F.concat_ws(" ", F.transform(F.split("combo", " "), lambda w, i: F.coalesce(F.try_element_at("troca", i), w)))
-    names = cut(count.join(changed, "combo", "left").select("combo", "n", "lugares", F.coalesce(F.when(F.col("troca").isNotNull(), swapped), "combo").alias("nome")))
-    total = names.groupBy("nome").agg(F.sum("n").alias("n"), F.max("lugares").alias("lugares")).where("n > 1")
-    total = cut(total)
-    names = names.select("combo", "nome").join(total, "nome")
-    scored = votes.join(names, "combo")
+    names = cut(count.join(changed, "combo", "left").select("combo", "lugar_c", "n", F.coalesce(F.when(F.col("troca").isNotNull(), swapped), "combo").alias("nome")))
+    at = names.groupBy("nome", "lugar_c").agg(F.sum("n").alias("n"))
+    placed = F.when(F.col("lugar_c").isNotNull(), F.col("n").cast("double"))
+    spread = at.groupBy("nome").agg(F.sum("n").alias("todos"), F.coalesce(_weighed(placed), F.lit(1.0)).alias("lugares"))
+    usual = facts.where("lugar_c IS NOT NULL").groupBy("lugar_c").agg(F.count("*").cast("double").alias("n")).agg(_weighed(F.col("n")).alias("geral"))
+    # one name, or one in each neighbourhood (onde), or a phrase
+    many = F.col("lugares") > MOST_PLACES
+    judged = spread.where("todos > 1").crossJoin(F.broadcast(usual)).where(~many | (F.col("lugares") < PHRASE_SHARE * F.col("geral"))).drop("geral")
+    onde = F.when(many, F.col("lugar_c")).otherwise("")
+    total = at.join(judged, "nome").withColumn("onde", onde).where("onde IS NOT NULL").groupBy("nome", "onde").agg(F.sum("n").alias("n"), F.first("lugares").alias("lugares"))
+    total = cut(total.where("n > 1"))
+    split = names.select("combo", "nome").distinct().join(total, "nome")
+    scored = votes.join(split, "combo").where((F.col("onde") == "") | (F.col("onde") == F.col("lugar_c")))
     length = F.size(F.split("nome", " "))
-    score = F.log2(F.col("n") + 1.0) * (1 + 0.1 * length) / (1 + F.col("peso")) / F.pow(F.greatest("lugares", F.lit(1)), 2)
-    best = scored.groupBy("id").agg(F.max(F.struct(F.round(score, 9).alias("s"), "n", "nome")).alias("m")).select("id", F.col("m.nome").alias("nome"))
+    score = F.log2(F.col("n") + 1.0) * (1 + 0.1 * length) / (1 + F.col("peso")) / F.pow(F.greatest("lugares", F.lit(1.0)), 2)
+    best = scored.groupBy("id").agg(F.max(F.struct(F.round(score, 9).alias("s"), "n", "nome", "onde")).alias("m")).select("id", F.col("m.nome").alias("nome"), F.col("m.onde").alias("onde"))
     # merge: a triple goes to the more frequent of the pairs inside it
     pair = F.split("nome", " ")
     inner = F.explode(F.array(F.concat_ws(" ", pair[0], pair[1]), F.concat_ws(" ", pair[1], pair[2]))).alias("par")
-    triples = best.select("nome").distinct().where(F.size(pair) == 3)
-    inside = triples.select("nome", inner).join(total.select(F.col("nome").alias("par"), "n"), "par").groupBy("nome").agg(F.max(F.struct("n", "par"))["par"].alias("par"))
-    return best.join(inside, "nome", "left").select("id", F.coalesce("par", "nome").alias("nome"))
+    triples = best.select("nome", "onde").distinct().where(F.size(pair) == 3)
+    inside = triples.select("nome", "onde", inner).join(total.select(F.col("nome").alias("par"), "onde", "n"), ["par", "onde"]).groupBy("nome", "onde").agg(F.max(F.struct("n", "par"))["par"].alias("par"))
+    full = F.concat(F.coalesce("par", "nome"), F.when(F.col("onde") == "", "").otherwise(F.concat(F.lit("@"), "onde")))
+    return best.join(inside, ["nome", "onde"], "left").select("id", full.alias("nome"))
 
 
 def _steps(new: Column, over: Window) -> Column:
@@ -229,7 +252,7 @@ def verified_groups(keyed: DataFrame) -> DataFrame:
 def same_property(raw: DataFrame) -> DataFrame:
     """Rows (id, grupo) of the listings of raw that share their property with others."""
     facts = cut(listing_facts(raw))
-    names = best_combination(facts.select("id", "lugar", "combos", "pesos"))
+    names = best_combination(facts.select("id", "lugar", "lugar_cheio", "combos", "pesos"))
     links = resolve(counted_names(facts))
     at = facts.drop("combos", "pesos").alias("f").join(links.alias("l"), (F.col("f.rua") == F.col("l.rua")) & F.col("f.lugar").eqNullSafe(F.col("l.lugar")), "left")
     address = F.when(F.col("ponto").isNotNull() & F.col("lugar_c").isNotNull(), F.concat_ws("/", "lugar_c", "rua_c", "ponto"))

@@ -49,3 +49,16 @@ def test_verification_is_by_gaps_not_pairs(spark):
     for i, g in rows(got):
         by.setdefault(g, set()).add(i)
     assert sorted(map(sorted, by.values())) == [["a", "b"], ["c", "d"], ["f"], ["g", "h"]]
+
+
+def test_names_are_judged_by_linked_neighbourhoods(spark):
+    title = "Apartamento com 2 quartos e 60 m² no Ed. {}"
+    spelt = ["Setor Primavera"] * 3 + ["Setor Primaveraa", "Setor Prmavera", "Setor Primavrea", "Setor Primavoera"]
+    one = [listing(f"a{i}", title.format("Campo Molivu Plaza"), 300000.0, 60.0, 2, s) for i, s in enumerate(spelt)]
+    far = ["Aeroviario", "Bueno", "Coimbra", "Faicalville", "Guanabara", "Leblon", "Maracana", "Novo Mundo", "Pedro Ludovico", "Santa Genoveva", "Urias Magalhaes", "Negrao de Lima", "Finsocial", "Recreio", "Solange", "Tremendao"]
+    # one name in five of sixteen neighbourhoods, and words told in all of them
+    shared = [listing(f"b{i}{j}", title.format("Porto Zefiro"), 300000.0, 60.0, 2, far[i]) for i in range(5) for j in range(2)]
+    phrase = [listing(f"c{i:02}{j}", title.format("Otimo Negocio"), 300000.0, 60.0, 2, p) for i, p in enumerate(far) for j in range(2)]
+    got = rows(pairs(same_property(spark.createDataFrame(one + shared + phrase, COLS))))
+    a = [f"a{i}" for i in range(len(spelt))]
+    assert got == [(x, y) for x in a for y in a if x < y] + [(f"b{i}0", f"b{i}1") for i in range(5)]
