@@ -13,8 +13,8 @@ Verification sorts the different (bedrooms, size, price) of a cluster and cuts w
 compared. Equal listings are one row there, so copies of a listing cost nothing.
 
 Defined results: a null or absurd price, and unknown bedrooms or size, decide nothing: such a listing joins the only group
-it agrees with, and none if there are several; listings without name and address join no group; null ids are left out;
-repeated rows count once; an empty table gives no rows; extra columns are ignored.
+it agrees with, and none if there are several; those of one size that agree with no group form their own, but those without
+size never do; listings without name and address join no group; null ids are left out; repeated rows count once; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -235,13 +235,30 @@ def verified_groups(keyed: DataFrame) -> DataFrame:
     group = F.concat_ws("|", "chave", F.coalesce("tipo", F.lit("")), "faixa", "q", "nivel")
     fixed = told.where("certo").withColumn("grupo", group)
     sums = fixed.groupBy("grupo", "chave", "tipo", "faixa", "q").agg(F.min("preco").alias("de"), F.max("preco").alias("ate"))
-    # those that leave something open join the only group they agree with; open ones alike in all they tell form one
-    open_ = told.where("NOT certo").drop("q", "nivel", "certo")
+    # those that leave something open join the only sure group they agree with
+    open_ = told.where("NOT certo").select(*own, "faixa")
     s = sums.select(F.col("chave").alias("c"), F.col("tipo").alias("t"), F.col("faixa").alias("f"), "q", "de", "ate", "grupo")
-    agrees = (open_.chave == s.c) & open_.tipo.eqNullSafe(s.t) & (open_.faixa == s.f)
-    fits = (F.col("quartos").isNull() | (F.col("quartos") == F.col("q"))) & (F.col("preco").isNull() | F.col("preco").between(F.col("de") / (1 + PRICE_SHARE), F.col("ate") * (1 + PRICE_SHARE)))
-    hits = open_.where("area IS NOT NULL").join(s, agrees).where(fits).groupBy(*own).agg(F.min("grupo").alias("grupo"), F.max("grupo").alias("outro")).where("grupo = outro").drop("outro")
-    mapped = fixed.select(*own, "grupo").unionByName(hits)
+    agrees = (open_.chave == s.c) & open_.tipo.eqNullSafe(s.t) & (F.col("area").isNull() | (F.col("faixa") == F.col("f")))
+    within = F.col("preco").between(F.col("de") / (1 + PRICE_SHARE), F.col("ate") * (1 + PRICE_SHARE))
+    fits = (F.col("quartos").isNull() | (F.col("quartos") == F.col("q"))) & (F.col("preco").isNull() | within)
+    only = [F.min("grupo").alias("grupo"), F.max("grupo").alias("outro")]
+    found = cut(open_.join(s, agrees & fits, "left").groupBy(*own, "faixa").agg(*only))
+    hits = found.where("grupo = outro").select(*own, "grupo")
+    # open ones that agree with none form groups of their own: one where bedrooms and prices told at this size contradict
+    # nothing, else one for each price level and each number of bedrooms
+    rest = found.where("grupo IS NULL AND area IS NOT NULL").select(*own, "faixa")
+    at = Window.partitionBy("chave", "tipo", "faixa")
+    leap = F.col("preco") > F.lag("preco").over(at.orderBy("preco")) * (1 + PRICE_SHARE)
+    rest = rest.withColumn("salto", leap).withColumn("nivel", _steps(F.col("salto"), at.orderBy("preco").rowsBetween(Window.unboundedPreceding, 0)))
+    one = (F.max("nivel").over(at) == 0) & F.coalesce(F.min("quartos").over(at) == F.max("quartos").over(at), F.lit(True))
+    part = F.when(one, "").when(F.col("preco").isNotNull(), F.concat(F.lit("p"), "nivel")).when(F.col("quartos").isNotNull(), F.concat(F.lit("q"), "quartos"))
+    rest = cut(rest.withColumn("parte", part).where("parte IS NOT NULL").withColumn("grupo", F.concat_ws("|", "chave", F.coalesce("tipo", F.lit("")), "faixa", F.lit("?"), "parte")).select(*own, "grupo"))
+    # one without size joins the only such group, if it tells nothing that the group leaves open
+    loose = found.where("grupo IS NULL AND area IS NULL").select(*own)
+    r = rest.groupBy("grupo", F.col("chave").alias("c"), F.col("tipo").alias("t")).agg(F.max("quartos").alias("q"), F.min("preco").alias("de"), F.max("preco").alias("ate"))
+    told_there = (F.col("quartos").isNull() | (F.col("quartos") == F.col("q"))) & (F.col("preco").isNull() | within)
+    late = loose.join(r, (loose.chave == r.c) & loose.tipo.eqNullSafe(r.t) & told_there).groupBy(*own).agg(*only).where("grupo = outro").drop("outro")
+    mapped = fixed.select(*own, "grupo").unionByName(hits).unionByName(rest).unionByName(late)
     same = [keyed[c].eqNullSafe(mapped[c]) if c != "chave" else keyed[c] == mapped[c] for c in own]
     on = same[0]
     for x in same[1:]:

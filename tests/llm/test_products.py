@@ -62,3 +62,16 @@ def test_names_are_judged_by_linked_neighbourhoods(spark):
     got = rows(pairs(same_property(spark.createDataFrame(one + shared + phrase, COLS))))
     a = [f"a{i}" for i in range(len(spelt))]
     assert got == [(x, y) for x in a for y in a if x < y] + [(f"b{i}0", f"b{i}1") for i in range(5)]
+
+
+def test_open_listings_form_groups_and_join_without_size(spark):
+    rows_ = [
+        ("a", "k", "casa", 2, 80.0, None), ("b", "k", "casa", 2, 80.4, None), ("c", "k", "casa", 3, 80.0, None),  # no usable price
+        ("d", "m", "apartamento", None, 60.0, 200000.0), ("e", "m", "apartamento", None, 60.0, 205000.0), ("f", "m", "apartamento", None, 60.0, 300000.0), ("g", "m", "apartamento", None, 60.0, None),
+        ("h", "n", "apartamento", 2, 60.0, 100000.0), ("i", "n", "apartamento", 2, None, 101000.0), ("j", "n", "apartamento", 3, 90.0, 100000.0), ("l", "n", "apartamento", None, None, 100000.0),  # no size
+        ("o", "o", "lote", None, 300.0, None), ("p", "o", "lote", None, None, None), ("q", "o", "lote", None, None, 90000.0),
+    ]
+    by = {}
+    for i, g in rows(verified_groups(spark.createDataFrame(rows_, "id string, chave string, tipo string, quartos int, area double, preco double"))):
+        by.setdefault(g, set()).add(i)
+    assert sorted(map(sorted, by.values())) == [["a", "b"], ["c"], ["d", "e"], ["f"], ["h", "i"], ["j"], ["o", "p"]]
