@@ -579,7 +579,8 @@ def _(spark, d):
 
 @query("l2_isolation_forest")
 def _(spark, d):
-    return ml_models.isolation_forest(_priced(spark, d).withColumn("chave", F.concat_ws("|", "id", "scraped_at")), "chave", ["preco", *_FEATURES])
+    df = raw(spark, d).select("id", "scraped_at", "preco", *_FEATURES).distinct()
+    return ml_models.isolation_forest(df.withColumn("chave", F.concat_ws("|", "id", "scraped_at")), "chave", ["preco", *_FEATURES])
 
 
 @query("l3_linear_regression")

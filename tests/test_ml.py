@@ -84,3 +84,16 @@ def test_isolation_forest_finds_the_odd_ones(spark):
     assert out.count() == 503
     assert {"odd1", "odd2"} <= {r.k for r in out.where("outlier").collect()}
     assert models.isolation_forest(df.limit(0), "k", ["a", "b"]).count() == 0
+
+
+def test_isolation_forest_query_scores_extreme_and_missing_prices(spark, tmp_path):
+    from prumo.plans.reference_queries import QUERIES
+    from prumo.schema import LISTING_SCHEMA
+
+    names = LISTING_SCHEMA.fieldNames()
+    prices = [(f"k{i:02}", 300000.0 + 1000 * i) for i in range(40)] + [("one", 1.0), ("huge", 9e9), ("none", None)]
+    data = [tuple({"id": i, "scraped_at": "2025-01-01T00:00:00", "preco": p, "area_m2": 60.0, "quartos": 2, "banheiros": 1}.get(c) for c in names) for i, p in prices]
+    spark.createDataFrame(data, LISTING_SCHEMA).write.parquet(str(tmp_path / "zap_dataset.parquet"))
+    got = {r.chave.split("|")[0]: r.escore for r in QUERIES["l2_isolation_forest"](spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _ in prices}
+    assert got["huge"] == max(got.values()) and got["none"] < got["huge"]
