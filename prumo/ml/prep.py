@@ -13,6 +13,9 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: More levels than this are too many for a column each.
+MOST_LEVELS = 10_000
+
 
 @dataclass
 class Fitted:
@@ -121,8 +124,10 @@ class NormalQuantiles:
 
 
 def one_hot(df: DataFrame, column: str, drop_first: bool = True) -> Fitted:
-    """A 0/1 column per level of a category of few levels, in alphabetical order; unknown levels give all zeros."""
-    levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(10_000).collect()]
+    """A 0/1 column per level of a category, in alphabetical order; unknown levels give all zeros. More than MOST_LEVELS levels raise ValueError."""
+    levels = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_LEVELS + 1).collect()]
+    if len(levels) > MOST_LEVELS:
+        raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
     return Fitted({f"{column}_{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in levels[1 if drop_first else 0 :]})
 
 

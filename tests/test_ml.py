@@ -97,3 +97,9 @@ def test_isolation_forest_query_scores_extreme_and_missing_prices(spark, tmp_pat
     got = {r.chave.split("|")[0]: r.escore for r in QUERIES["l2_isolation_forest"](spark, str(tmp_path)).collect()}
     assert set(got) == {i for i, _ in prices}
     assert got["huge"] == max(got.values()) and got["none"] < got["huge"]
+
+
+def test_one_hot_refuses_too_many_levels(spark):
+    with pytest.raises(ValueError):
+        prep.one_hot(spark.range(10_001).selectExpr("cast(id as string) AS t"), "t")
+    assert list(prep.one_hot(spark.createDataFrame([("b",), ("a",), (None,)], "t string"), "t").columns) == ["t_b"]
