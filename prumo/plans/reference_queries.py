@@ -609,8 +609,8 @@ def _(spark, d):
 
 @query("l6_tuning")
 def _(spark, d):
-    grid = ml_models.random_grid({"alpha": (1e-4, 1.0)}, 3, log=True)
-    best, scores = ml_models.tune(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear, grid, folds=2)
+    grid = ml_models.random_grid({"alpha": (1e-4, 1.0)}, 10, log=True)
+    best, scores = ml_models.tune(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear, grid)
     return spark.createDataFrame([(g["alpha"], float(s), g == best) for g, s in scores], "alpha double, mae double, melhor boolean")
 
 

@@ -103,3 +103,13 @@ def test_one_hot_refuses_too_many_levels(spark):
     with pytest.raises(ValueError):
         prep.one_hot(spark.range(10_001).selectExpr("cast(id as string) AS t"), "t")
     assert list(prep.one_hot(spark.createDataFrame([("b",), ("a",), (None,)], "t string"), "t").columns) == ["t_b"]
+
+
+def test_tuning_query_runs_all_trials_over_all_folds(spark, monkeypatch):
+    from prumo.plans import reference_queries as q
+
+    seen = {}
+    monkeypatch.setattr(q, "_priced", lambda s, d: None)
+    monkeypatch.setattr(q.ml_models, "tune", lambda df, key, x, y, make, grid, folds=5: seen.update(grid=grid, folds=folds) or (grid[0], [(g, 1.0) for g in grid]))
+    assert q.QUERIES["l6_tuning"](spark, "").count() == 10
+    assert len(seen["grid"]) == 10 and seen["folds"] == 5
