@@ -33,8 +33,9 @@ from prumo.llm.names import link_names
 from prumo.llm.places import counted_names, resolve
 from prumo.session import cut
 
-#: Sizes of one property differ by at most this, in m² and as a share; prices by at most this share.
-AREA_GAP, AREA_SHARE, PRICE_SHARE = 1.6, 0.006, 0.08
+#: Sizes of one property differ by at most the sum of this in m² and this share (agents round and convert them differently);
+#: prices by at most this share.
+AREA_GAP, AREA_SHARE, PRICE_SHARE = 0.6, 0.02, 0.08
 #: Prices outside are absurd for a sale.
 PRICE_RANGE = (20_000.0, 500_000_000.0)
 #: A combination in more linked neighbourhoods than this, each weighed by its share of the listings, names another property in
@@ -76,6 +77,17 @@ def _near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:]
 
 
+_PLACE_TOLD = re.compile(r"\bem ([^,|]+), goiania\b")
+
+
+def place_told(title: str) -> str | None:
+    """The neighbourhood in a folded title without its street."""
+    m = _PLACE_TOLD.search(title)
+    if not m and (m := _PLACE.search(title)):
+        return m[0]
+    return m[1].rpartition(" em ")[2] if m else None
+
+
 def rooms_told(title: str) -> int | None:
     """Bedrooms in a folded title without its street."""
     m = _ROOMS.search(title)
@@ -143,13 +155,13 @@ def listing_facts(raw: DataFrame) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("id", "tipo", "lugar", "rua", "ponto", "dita", "quartos", "area", "preco", "combos", "pesos", "lugar_cheio", "rua_cheia")}
             for i, title in enumerate(cols["titulo"]):
                 t = " ".join(fold_py((title or "").replace("–", "-")).split())
-                bairro = cols["bairro"][i]
                 s = _STREET.search(t)
                 told = read(s[0]) if s else None
                 by_street = bool(told and told.spot and told.street)
                 a = told if by_street else read(cols["rua"][i])
                 if s:
                     t = f"{t[: s.start()]} | {t[s.end() :]}"
+                bairro = cols["bairro"][i] or place_told(t)
                 combos = {} if by_street else combinations(name_words(t, fold_py(bairro or "")))
                 if not by_street and (tail := _tail_name(cols["rua"][i])):
                     for c, w in combinations(tail.split()).items():
@@ -225,7 +237,7 @@ def verified_groups(keyed: DataFrame) -> DataFrame:
     told = keyed.select(*own).distinct()
     by_area = Window.partitionBy("chave", "tipo").orderBy(F.col("area").asc_nulls_last())
     gap = F.col("area") - F.lag("area").over(by_area)
-    told = told.withColumn("novo", gap > F.greatest(F.lit(AREA_GAP), F.col("area") * AREA_SHARE)).withColumn("faixa", _steps(F.col("novo") | F.col("area").isNull(), by_area.rowsBetween(Window.unboundedPreceding, 0)))
+    told = told.withColumn("novo", gap > F.col("area") * AREA_SHARE + AREA_GAP).withColumn("faixa", _steps(F.col("novo") | F.col("area").isNull(), by_area.rowsBetween(Window.unboundedPreceding, 0)))
     sure = (F.col("preco").isNotNull()) & F.col("area").isNotNull() & (F.col("quartos").isNotNull() | F.col("tipo").isin("lote", "sala"))
     told = told.withColumn("certo", sure).withColumn("q", F.coalesce("quartos", F.lit(0)))
     by_price = Window.partitionBy("chave", "tipo", "faixa", "q", "certo").orderBy("preco")

@@ -108,8 +108,9 @@ def broken_off(texts: DataFrame) -> DataFrame:
 def survivors(raw: DataFrame) -> DataFrame:
     """Rows (id, campo, scraped_at, valor): per field with several values, the scrape and value that survive."""
     values = parts(distinct_values(raw))
-    text = F.regexp_replace(F.col("valor"), r"(?i)<br\s*/?>|</?(p|b|i|strong)>", " ")
-    core = F.when(F.col("campo") == "descricao_completa", squeeze(F.regexp_replace(text, CUT_MARKS, ""))).otherwise(squeeze(fold(F.regexp_replace("valor", CUT_MARKS, ""))))
+    # a text may be broken off inside a tag, so the mark goes first
+    text = F.regexp_replace(F.regexp_replace("valor", CUT_MARKS, ""), r"(?i)<br\s*/?>|</?(p|b|i|strong)>|<[a-z/]*\s*$", " ")
+    core = F.when(F.col("campo") == "descricao_completa", squeeze(text)).otherwise(squeeze(fold(F.regexp_replace("valor", CUT_MARKS, ""))))
     v = values.withColumn("nucleo", F.coalesce(core, F.lit("")))
     street_only = F.col("nucleo").rlike(r"^(rua|r|av|avenida|aven|alameda|al|travessa|trav|tv|praca|pca)\.?$")
     missing = F.when(F.col("campo") == "bairro", ~is_place_name(F.col("valor"), F.col("cidade"))).when(F.col("campo") == "fotos_urls", F.size("fotos") == 0).when(F.col("campo") == "rua", is_stand_in(F.col("valor")) | street_only).otherwise(is_stand_in(F.col("valor")) | (F.col("nucleo") == ""))
