@@ -16,13 +16,13 @@ _CUT = re.compile("da|do|de")
 
 def base(s: str, cut: bool = True) -> str:
     """Lower-case ASCII without hyphens and, with cut, without the syllables da, do, de."""
-    s = s.replace("–", " ").replace("—", " ").replace("°", "o").replace("º", "o").replace("ª", "a")
-    t = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower().replace("-", " ")
-    while True:
-        u = _CUT.sub("", t) if cut else t
-        if u == t:
-            return re.sub(r"\s+", " ", t).strip()
+    if not s.isascii():
+        s = s.replace("–", " ").replace("—", " ").replace("°", "o").replace("º", "o").replace("ª", "a")
+        s = unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
+    t = s.lower().replace("-", " ")
+    while cut and (u := _CUT.sub("", t)) != t:
         t = u
+    return " ".join(t.split())
 
 
 @lru_cache(1)
@@ -50,6 +50,17 @@ _BLOCK_LOT = re.compile(rf"{_BLOCK}[\s,;/.]*{_LOT}\b")
 _LOT_BLOCK = re.compile(rf"{_LOT}[\s,;/.]*{_BLOCK}\b")
 _INNER = re.compile(r"[,;]?\s*\b(?:funs|fundos|frente)\b|[,;]?\s*\b(?:apto|apartamento|apt|ap|bloco|bl|sala|sl|casa|cs|torre|edificio|ed|condominio|condo?|conv?|loja|lj|andar|unidade|unid|kit|kitnet|fundos|quarto|box|galpao)\b[\s.:]*[\w]*(?:\s[^,]*)?(?=,|$)")
 _BARE = re.compile(r",\s*0*(\d+)\s*(?=,|$)")
+_NOTHING = re.compile(r"nao (informa|disponi)|sob consulta|^(n/?[aid]|null|nan|none|sem en.*|a (de)?finir|s/?n)$")
+_CODE = re.compile(r"[a-z]{0,3}\d+[a-z]?")
+_OTHER = re.compile(r"[^a-z0-9 ]")
+_OTHER_PART = re.compile(r"[^a-z0-9 ,]")
+_COMMAS = re.compile(r"(?:,\s*)+")
+_WORD = re.compile(r"(?:^|(?<=[ ,.]))([a-z]+)\b\.?")
+_NAME_AHEAD = re.compile(r"[. ]*[a-z]{3}")
+_AT_END = re.compile(r"\s\d+\s*$|\s+(?:no|n|num|numero)\b.*$")
+_AHEAD = re.compile(r"0*(\d+)[\s,]+(?=[a-z])")
+_STREET_AHEAD = re.compile(r"[a-z]{2,}|r\b")
+_LAST = re.compile(r"(?<=[a-z]{3})\s+0*(\d+)$|(?<=\d)\s+0*(\d+)$")
 _MARK = re.compile(r"[,\s.]*\b(?:numero|num|nro|nr|no|n)(?:\b|(?=\d))[\s.:]*0*(\d+)\b")
 
 
@@ -76,7 +87,7 @@ def place_key(s: str | None, cut: bool = True) -> str | None:
     """The key of a neighbourhood: its name without the type, types in short or long form alike."""
     if not s:
         return None
-    t = re.sub(r"[^a-z0-9 ]", " ", _CITY.sub(" ", base(s, cut)))
+    t = _OTHER.sub(" ", _CITY.sub(" ", base(s, cut)))
     tokens = t.split()
     w = words()
     if len(tokens) > 1 and (w.get(tokens[0], "").startswith("b:") or tokens[0] in _SHORT_PLACES):
@@ -90,7 +101,7 @@ def _street_key(tokens: list[str]) -> tuple[str | None, str | None]:
         kind = w[tokens[0]][2:]
         tokens = tokens[1:]
     code = "".join(tokens)
-    if re.fullmatch(r"[a-z]{0,3}\d+[a-z]?", code):
+    if _CODE.fullmatch(code):
         return code.lstrip("0") or None, kind
     while tokens and (w.get(tokens[0]) == "h:" or tokens[0] in ("s", "d", "e", "a", "o", "da", "do", "das", "dos", "de")) and len(tokens) > 1:
         tokens = tokens[1:]
@@ -104,7 +115,7 @@ def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
     if not s or s.isspace():
         return nothing
     t = base(s, cut)
-    if re.search(r"nao (informa|disponi)|sob consulta|^(n/?[aid]|null|nan|none|sem en.*|a (de)?finir|s/?n)$", t):
+    if _NOTHING.search(t):
         return nothing
     w = words()
     block = lot = number = None
@@ -119,29 +130,28 @@ def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
         t = _CITY.sub(",", t)
     t = _INNER.sub("", t)
     place = None
-    t = re.sub(r"[/;]", ",", t)
+    t = t.replace("/", ",").replace(";", ",")
     if with_place:
         # the neighbourhood starts at its type, which isn't the first word of a street
-        for p in re.finditer(r"(?:^|(?<=[ ,.]))([a-z]+)\b\.?", t):
+        for p in _WORD.finditer(t):
             k = w.get(p[1], "")
             ahead = t[: p.start()].replace(".", " ").split()
             typed = len(ahead) == 1 and w.get(ahead[0], "").startswith("t:")
             short = p[1] in _SHORT_PLACES and p[1] != "r" and t[p.end(1) : p.end(1) + 1] == "." and not typed
-            if (k.startswith("b:") and not typed or short) and re.match(r"[. ]*[a-z]{3}", t[p.end(1) :]):
+            if (k.startswith("b:") and not typed or short) and _NAME_AHEAD.match(t, p.end(1)):
                 rest = t[p.end() :]
-                stop = re.search(r",", rest)
-                name = rest[: stop.start()] if stop else rest
-                num = re.search(r"\s\d+\s*$|\s+(?:no|n|num|numero)\b.*$", name)
-                tail = rest[stop.start() :] if stop else ""
+                stop = rest.find(",")
+                name, tail = (rest, "") if stop < 0 else (rest[:stop], rest[stop:])
+                num = _AT_END.search(name)
                 if num:
                     tail, name = "," + name[num.start() :] + tail, name[: num.start()]
-                place = " ".join(re.sub(r"[^a-z0-9 ]", " ", name).split()) or None
+                place = " ".join(_OTHER.sub(" ", name).split()) or None
                 t = t[: p.start()] + "," + tail
                 break
-    t = re.sub(r"(?:,\s*)+", ", ", t).strip(", .")
+    t = (_COMMAS.sub(", ", t) if "," in t else t).strip(", .")
     if not (block and lot):
-        m = re.match(r"0*(\d+)[\s,]+(?=[a-z])", t)
-        if m and re.match(r"[a-z]{2,}|r\b", t[m.end() :]):
+        m = _AHEAD.match(t)
+        if m and _STREET_AHEAD.match(t, m.end()):
             number, t = m[1], t[m.end() :]
         else:
             for m in _MARK.finditer(t):
@@ -153,11 +163,11 @@ def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
                 m = _BARE.search("," + t if t[:1].isdigit() else t) if "," in t else None
                 if m and m.start() > 0:
                     number, t = m[1], t[: m.start()] + t[m.end() :]
-                elif m := re.search(r"(?<=[a-z]{3})\s+0*(\d+)$|(?<=\d)\s+0*(\d+)$", t):
+                elif m := _LAST.search(t):
                     head = t[: m.start()].split()
                     if not (len(head) == 1 and w.get(head[0].strip("."), "").startswith("t:")):
                         number, t = m[1] or m[2], t[: m.start()]
-    parts = [p for p in (re.sub(r"[^a-z0-9 ]", " ", x).split() for x in t.split(",")) if p]
+    parts = [p for p in (x.split() for x in _OTHER_PART.sub(" ", t).split(",")) if p]
     typed = [p for p in parts if w.get(p[0], "").startswith("t:") and len(p) > 1] or [p for p in parts if not (len(p) == 1 and p[0].isdigit())]
     street, kind = _street_key(typed[0]) if typed else (None, None)
     if with_place and place is None:

@@ -217,7 +217,7 @@ def best_combination(facts: DataFrame) -> DataFrame:
     scored = votes.join(split, "combo").where((F.col("onde") == "") | (F.col("onde") == F.col("lugar_c")))
     length = F.size(F.split("nome", " "))
     score = F.log2(F.col("n") + 1.0) * (1 + 0.1 * length) / (1 + F.col("peso")) / F.pow(F.greatest("lugares", F.lit(1.0)), 2)
-    best = scored.groupBy("id").agg(F.max(F.struct(F.round(score, 9).alias("s"), "n", "nome", "onde")).alias("m")).select("id", F.col("m.nome").alias("nome"), F.col("m.onde").alias("onde"))
+    best = cut(scored.groupBy("id").agg(F.max(F.struct(F.round(score, 9).alias("s"), "n", "nome", "onde")).alias("m")).select("id", F.col("m.nome").alias("nome"), F.col("m.onde").alias("onde")))
     # merge: a triple goes to the more frequent of the pairs inside it
     pair = F.split("nome", " ")
     inner = F.explode(F.array(F.concat_ws(" ", pair[0], pair[1]), F.concat_ws(" ", pair[1], pair[2]))).alias("par")
