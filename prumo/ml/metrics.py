@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prumo.operators.order import exact_quantiles
+
 
 def error_frame(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFrame:
     """df with residual, abs_error, sq_error, relative_error and absolute_relative_error; relative ones null for a true 0."""
@@ -15,14 +17,15 @@ def error_frame(df: DataFrame, y: str = "y_true", p: str = "y_pred") -> DataFram
 
 def metrics(df: DataFrame, y: str = "y_true", p: str = "y_pred", by: str | None = None) -> DataFrame:
     """r2, rmse, mae, medae, mape of predictions, overall or per fold; r2 is null where the true values don't vary."""
-    r = F.col(y) - F.col(p)
-    total = F.var_pop(y) * F.count(y)
-    aggs = [
-        F.count("*").alias("n"), (1 - F.sum(r * r) / F.nullif(total, F.lit(0.0))).alias("r2"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(F.abs(r)).alias("mae"),
-        F.percentile(F.abs(r), F.lit(0.5)).alias("medae"), F.avg(F.abs(r) / F.nullif(F.abs(F.col(y)), F.lit(0.0))).alias("mape"),
-    ]
-    told = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return told.groupBy(by).agg(*aggs) if by else told.agg(*aggs)
+    told = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*([F.col(by)] if by else []), F.col(y).cast("double").alias("y"), (F.col(y) - F.col(p)).cast("double").alias("r"))
+    keys = [by] if by else []
+    total = F.var_pop("y") * F.count("y")
+    more = {
+        "r2": 1 - F.sum(F.col("r") * F.col("r")) / F.nullif(total, F.lit(0.0)), "rmse": F.sqrt(F.avg(F.col("r") * F.col("r"))),
+        "mae": F.avg(F.abs("r")), "mape": F.avg(F.abs("r") / F.nullif(F.abs("y"), F.lit(0.0))),
+    }
+    made = exact_quantiles(told.withColumn("x", F.abs("r")), keys, [0.5], **more)
+    return made.select(*keys, "n", "r2", "rmse", "mae", F.col("q")[0].alias("medae"), "mape")
 
 
 def worst(df: DataFrame, k: int = 20, y: str = "y_true", p: str = "y_pred", *ties: str) -> DataFrame:

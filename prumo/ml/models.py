@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prumo.ml.metrics import metrics
-from prumo.ml.prep import NormalQuantiles, fold_of
+from prumo.ml.prep import NormalQuantiles, fold_of, impute_median
+from prumo.operators.order import quantile_values
+from prumo.session import cut
 
 
 def linear(features: list[str], target: str, alpha: float = 0.0) -> Pipeline:
@@ -103,8 +105,6 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 2
     Trees are grown in the tasks, each from its own bounded sample of sample_rows rows (a documented parameter), and
     broadcast together: their size is bounded by trees * sample_rows. Every row is scored. Nulls count as the median.
     """
-    from prumo.ml.prep import impute_median
-
     full = impute_median(df.select(key, *columns), columns).transform(df.select(key, *columns))
     n = full.count()
     if not n:
@@ -140,8 +140,6 @@ def isolation_forest(df: DataFrame, key: str, columns: list[str], trees: int = 2
             yield pd.DataFrame({key: pdf[key], "escore": 2 ** (-(total / len(forest)) / usual)})
 
     scored = full.mapInPandas(score, f"`{key}` {dict(full.dtypes)[key]}, escore double")
-    from prumo.session import cut
-
     scored = cut(scored)
-    edge = scored.agg(F.percentile("escore", F.lit(1 - contamination)).alias("__edge"))
-    return scored.crossJoin(F.broadcast(edge)).select(key, "escore", (F.col("escore") > F.col("__edge")).alias("outlier"))
+    edge = quantile_values(scored, ["escore"], [1 - contamination])["escore"][0]
+    return scored.select(key, "escore", (F.col("escore") > F.lit(edge)).alias("outlier"))

@@ -10,9 +10,13 @@ import math
 from dataclasses import dataclass
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prumo.operators.order import positions, quantile_values, ranked_values
+
 #: More levels than this are too many for a column each.
 MOST_LEVELS = 10_000
 
@@ -33,8 +37,8 @@ def _one(df: DataFrame, **aggs: Column) -> dict:
 
 def impute_median(df: DataFrame, columns: list[str]) -> Fitted:
     """Nulls as the exact median."""
-    m = _one(df, **{c: F.percentile(F.col(c).cast("double"), F.lit(0.5)) for c in columns})
-    return Fitted({c: F.coalesce(F.col(c).cast("double"), F.lit(m[c])) for c in columns})
+    m = quantile_values(df, columns, [0.5])
+    return Fitted({c: F.coalesce(F.col(c).cast("double"), F.lit(m[c][0]).cast("double")) for c in columns})
 
 
 def impute_mode(df: DataFrame, columns: list[str]) -> Fitted:
@@ -51,14 +55,14 @@ def standard_scale(df: DataFrame, columns: list[str]) -> Fitted:
 
 def robust_scale(df: DataFrame, columns: list[str]) -> Fitted:
     """(x - median) / (p75 - p25), exact; a range of 0 counts as 1."""
-    m = _one(df, **{c: F.percentile(F.col(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) for c in columns})
-    return Fitted({c: (F.col(c) - F.lit(m[c][1])) / F.lit((m[c][2] - m[c][0]) or 1.0) for c in columns})
+    m = quantile_values(df, columns, [0.25, 0.5, 0.75])
+    return Fitted({c: (F.col(c) - F.lit(m[c][1]).cast("double")) / F.lit(((m[c][2] or 0.0) - (m[c][0] or 0.0)) or 1.0) for c in columns})
 
 
 def winsorize(df: DataFrame, columns: list[str], fold: float = 0.01) -> Fitted:
     """Values above the quantile 1 - fold as that quantile."""
-    m = _one(df, **{c: F.percentile(F.col(c).cast("double"), F.lit(1 - fold)) for c in columns})
-    return Fitted({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(m[c]))) for c in columns})
+    m = quantile_values(df, columns, [1 - fold])
+    return Fitted({c: F.when(F.col(c).isNotNull(), F.least(F.col(c).cast("double"), F.lit(m[c][0]).cast("double"))) for c in columns})
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -100,21 +104,28 @@ def fit_box_cox(df: DataFrame, columns: list[str]) -> tuple[Fitted, dict[str, fl
 
 
 class NormalQuantiles:
-    """A target's quantiles mapped to those of the normal distribution, and back, by interpolation between knots."""
+    """A target's quantiles mapped to those of the normal distribution, and back, by interpolation between knots.
+
+    A target of fewer rows than knots has a knot per row. The fitted knots are 2 * knots numbers.
+    """
 
-    def __init__(self, df: DataFrame, column: str, knots: int = 200):
-        shares = [i / (knots - 1) for i in range(knots)]
-        self.values = _one(df, q=F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, shares))))["q"]
-        n = NormalDist()
-        self.scores = [n.inv_cdf(min(max(s, 1e-7), 1 - 1e-7)) for s in shares]
+    def __init__(self, df: DataFrame, column: str, knots: int = 1000):
+        self.values = ranked_values(df, column, knots)
+        n, last = NormalDist(), max(len(self.values) - 1, 1)
+        self.scores = [n.inv_cdf(min(max(i / last, 1e-7), 1 - 1e-7)) for i in range(len(self.values))]
 
     @staticmethod
     def _interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
-        a, b = F.array(*map(F.lit, xs)), F.array(*map(F.lit, ys))
-        i = F.greatest(F.least(F.size(F.filter(a, lambda v: v <= x)), F.lit(len(xs) - 1)), F.lit(1))
-        x0, x1, y0, y1 = F.element_at(a, i), F.element_at(a, i + 1), F.element_at(b, i), F.element_at(b, i + 1)
-        share = F.when(x1 == x0, F.lit(1.0)).otherwise((F.least(F.greatest(x, x0), x1) - x0) / (x1 - x0))
-        return y0 + share * (y1 - y0)
+        if not xs:
+            return F.lit(None).cast("double")
+        a, b = np.array(xs), np.array(ys)
+
+        @F.pandas_udf("double")
+        def put(v: pd.Series) -> pd.Series:
+            # where a value fills several knots, the middle between the first and the last of them stands for it
+            return pd.Series((np.interp(v, a, b) - np.interp(-v, -a[::-1], -b[::-1])) / 2)
+
+        return F.when(x.isNotNull(), put(x.cast("double")))
 
     def forward(self, x: Column) -> Column:
         return self._interpolate(x, self.values, self.scores)
@@ -133,8 +144,7 @@ def one_hot(df: DataFrame, column: str, drop_first: bool = True) -> Fitted:
 
 def ordinal(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
     """df with the place of a category among its different values in alphabetical order, from 0; null stays null."""
-    places = df.select(column).where(F.col(column).isNotNull()).distinct().select(column, (F.row_number().over(Window.orderBy(column)) - 1).alias(name or f"{column}_ord"))
-    return df.join(places, column, "left")
+    return df.join(positions(df, column, name or f"{column}_ord"), column, "left")
 
 
 def polynomial(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prumo.functions.cast import clip
+from prumo.operators.order import average_ranks, column_quantiles, exact_quantiles, quantile_values
+from prumo.session import cut
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -22,59 +24,63 @@ def null_profile(df: DataFrame) -> DataFrame:
     return flat.select("__n", F.explode(F.array(*(F.struct(F.lit(c).alias("coluna"), F.col(c).alias("nulos")) for c in df.columns))).alias("x")).select("x.coluna", "x.nulos", F.round(100.0 * F.col("x.nulos") / F.nullif("__n", F.lit(0)), 2).alias("pct"))
 
 
-def _describe(x: Column) -> list[Column]:
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max")]
+_MORE = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+
+
+def _described(cells: DataFrame, keys: list[str]) -> DataFrame:
+    made = exact_quantiles(cells, keys, (0.25, 0.5, 0.75), **{k: f("x") for k, f in _MORE.items()})
+    return made.select(*keys, F.col("n").alias("count"), "mean", "std", "min", *(F.col("q")[i].alias(k) for i, k in enumerate(("p25", "p50", "p75"))), "max")
 
 
 def describe_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles, maximum of a column per value of each key; null keys left out.
 
-    All keys are described in one pass over the rows.
+    All keys are described in one pass over the rows; a value of a key without any value of the column counts 0.
     """
-    cells = df.select(column, F.explode(F.array(*(F.struct(F.lit(k).alias("chave"), F.col(k).cast("string").alias("valor")) for k in keys))).alias("c")).where("c.valor IS NOT NULL")
-    return cells.groupBy("c.chave", "c.valor").agg(*_describe(F.col(column)))
+    cells = df.select(F.col(column).cast("double").alias("x"), F.explode(F.array(*(F.struct(F.lit(k).alias("chave"), F.col(k).cast("string").alias("valor")) for k in keys))).alias("c")).where("c.valor IS NOT NULL").select("x", "c.*")
+    return _described(cells, ["chave", "valor"])
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """describe_by without a key."""
-    return df.agg(*_describe(F.col(column)))
+    return _described(df.select(F.col(column).cast("double").alias("x")), [])
 
 
 def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
     """Rows (coluna, q, valor): exact quantiles, linear between neighbours."""
-    flat = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(*map(F.lit, shares))).alias(c) for c in columns))
-    rows = F.array(*(F.struct(F.lit(c).alias("coluna"), F.lit(q).alias("q"), F.col(c)[i].alias("valor")) for c in columns for i, q in enumerate(shares)))
-    return flat.select(F.explode(rows).alias("r")).select("r.*")
+    at = F.array(*map(F.lit, map(float, shares)))
+    return column_quantiles(df, columns, shares).select("coluna", F.explode(F.arrays_zip(at.alias("q"), F.coalesce("q", F.array().cast("array<double>")).alias("valor"))).alias("r")).select("coluna", "r.q", "r.valor")
 
 
 def clip_to_quantiles(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 0.999) -> DataFrame:
-    """Columns clipped to their own quantiles; one row of bounds is joined."""
-    bounds = df.agg(*(F.percentile(F.col(c).cast("double"), F.array(F.lit(low), F.lit(high))).alias(f"__{c}") for c in columns))
-    return df.crossJoin(F.broadcast(bounds)).withColumns({c: clip(F.col(c).cast("double"), F.col(f"__{c}")[0], F.col(f"__{c}")[1]) for c in columns}).select(*df.columns)
-
-
-def average_rank(over: Window, *peers: str) -> Column:
-    """The rank with equal values sharing the mean of their ranks."""
-    return F.rank().over(over) + (F.count("*").over(Window.partitionBy(*peers)) - 1) / 2.0
+    """Columns clipped to their own quantiles."""
+    q = quantile_values(df, columns, [low, high])
+    return df.withColumns({c: clip(F.col(c).cast("double"), *(F.lit(v).cast("double") for v in q[c])) for c in columns}).select(*df.columns)
 
 
-def _ranks(df: DataFrame, column: str) -> DataFrame:
-    """(column value, average rank): ranked over the counts of different values, not over the rows."""
-    counts = df.groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.select(column, (before + (F.col("__n") + 1) / 2.0).alias(f"__rank_{column}"))
+def with_average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the rank of a column's value, ties with the mean of their ranks; rows without value are left out."""
+    ranks = average_ranks(df.select(column), [], column).select(F.col(column).alias("__v"), F.col("posto").alias(name))
+    return df.join(ranks, F.col(column).cast("double") == F.col("__v")).drop("__v")
 
 
 def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows (a, b, rho) for each pair of columns, over the rows that have both, ties with average ranks."""
-    out = None
-    for a, b in combinations(columns, 2):
-        both = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-        ranked = both.join(_ranks(both, "a"), "a").join(_ranks(both, "b"), "b")
-        one = ranked.agg(F.corr("__rank_a", "__rank_b").alias("rho")).select(F.lit(a).alias("a"), F.lit(b).alias("b"), "rho")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows (a, b, rho) for each pair of columns, over the rows that have both, ties with average ranks.
+
+    All pairs are read in one pass; equal pairs of values are counted once.
+    """
+    pairs = list(combinations(columns, 2))
+    both = F.array(*(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.struct(F.lit(i).alias("par"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))) for i, (a, b) in enumerate(pairs)))
+    cells = cut(df.select(F.explode(F.filter(both, lambda p: p.isNotNull())).alias("p")).groupBy("p.par", "p.x", "p.y").agg(F.count("*").alias("k")))
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("lado"), F.col(s).alias("v")) for s in ("x", "y")))).alias("s")
+    ranks = average_ranks(cells.select("par", "k", sides).select("par", "s.*", "k"), ["par", "lado"], "v", weight="k")
+    side = {s: ranks.where(F.col("lado") == s).select("par", F.col("v").alias(s), F.col("posto").alias(f"r{s}")) for s in ("x", "y")}
+    met = cells.join(side["x"], ["par", "x"]).join(side["y"], ["par", "y"])
+    k, rx, ry = F.col("k").cast("double"), F.col("rx"), F.col("ry")
+    n, sx, sy, sxx, syy, sxy = (F.sum(e) for e in (k, k * rx, k * ry, k * rx * rx, k * ry * ry, k * rx * ry))
+    rho = (sxy - sx * sy / n) / F.nullif(F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)), F.lit(0.0))
+    names = [F.element_at(F.array(*(F.lit(p[j]) for p in pairs)), F.col("par") + 1).alias("ab"[j]) for j in (0, 1)]
+    return met.groupBy("par").agg(rho.alias("rho")).select(*names, "rho")
 
 
 def null_correlation(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -424,7 +424,7 @@ def _(spark, d):
     return _event_pages(spark, d).where("pagina <= 3").groupBy("parte").agg(F.count("*").alias("n"))
 
 
-_on_raw("w4_average_rank", "SELECT id, scraped_at, area_m2, rank() OVER (ORDER BY area_m2) + (count(*) OVER (PARTITION BY area_m2) - 1) / 2.0 AS posto FROM z WHERE area_m2 IS NOT NULL", lambda df: df.where("area_m2 IS NOT NULL").join(st._ranks(df.where("area_m2 IS NOT NULL"), "area_m2"), "area_m2").select("id", "scraped_at", "area_m2", F.col("__rank_area_m2").alias("posto")))
+_on_raw("w4_average_rank", "SELECT id, scraped_at, area_m2, rank() OVER (ORDER BY area_m2) + (count(*) OVER (PARTITION BY area_m2) - 1) / 2.0 AS posto FROM z WHERE area_m2 IS NOT NULL", lambda df: st.with_average_rank(df, "area_m2", "posto").select("id", "scraped_at", "area_m2", "posto"))
 _on_raw("o1_multi_key_sort", "SELECT id, scraped_at, preco FROM z ORDER BY preco DESC NULLS LAST, area_m2 DESC NULLS LAST, id, scraped_at", lambda df: df.orderBy(F.desc_nulls_last("preco"), F.desc_nulls_last("area_m2"), "id", "scraped_at").select("id", "scraped_at", "preco"))
 _on_raw("o2_sorted_counts", "SELECT bairro, count(*) AS n FROM z GROUP BY bairro ORDER BY n DESC, bairro NULLS FIRST", lambda df: df.groupBy("bairro").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc("bairro")))
 _on_raw(
