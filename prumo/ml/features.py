@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prumo.functions.cast import ratio
@@ -106,9 +108,9 @@ class GeodesicDistance(_Checked):
 class ClusterTransformer(Estimator):
     """k-means over coordinates, fitted once; the label is text. Rows without coordinates are an error."""
 
-    def __init__(self, k: int = 16, seed: int = 1667, columns: tuple[str, ...] = ("latitude", "longitude"), name: str = "cluster"):
+    def __init__(self, k: int = 16, seed: int = 1667, columns: tuple[str, ...] = ("latitude", "longitude"), name: str = "cluster", iterations: int = 20, tolerance: float = 1e-4):
         super().__init__()
-        self.k, self.seed, self.columns, self.name = k, seed, columns, name
+        self.k, self.seed, self.columns, self.name, self.iterations, self.tolerance = k, seed, columns, name, iterations, tolerance
 
     def _fit(self, df: DataFrame) -> ClusterModel:
         if not isinstance(df, DataFrame):
@@ -117,23 +119,32 @@ class ClusterTransformer(Estimator):
         if lacking:
             raise ValueError(f"missing columns: {', '.join(lacking)}")
         put = VectorAssembler(inputCols=list(self.columns), outputCol="__v", handleInvalid="error")
-        return ClusterModel(put, KMeans(k=self.k, seed=self.seed, featuresCol="__v", predictionCol="__c").fit(put.transform(df)), self.name)
+        means = KMeans(k=self.k, seed=self.seed, featuresCol="__v", predictionCol="__c", maxIter=self.iterations, tol=self.tolerance)
+        return ClusterModel([list(map(float, c)) for c in means.fit(put.transform(df)).clusterCenters()], self.columns, self.name)
 
     def fit(self, dataset: DataFrame, params=None) -> ClusterModel:
         return self._fit(dataset)
 
 
 class ClusterModel(Model):
-    """Labels rows by the nearest centre."""
+    """Labels rows by the nearest centre, the first of equals; centres holds the centres by label."""
 
-    def __init__(self, put: VectorAssembler, model, name: str):
+    def __init__(self, centres: Sequence[Sequence[float]], columns: Sequence[str] = ("latitude", "longitude"), name: str = "cluster"):
         super().__init__()
-        self.put, self.model, self.name = put, model, name
-
-    def centres(self) -> list[list[float]]:
-        """The cluster centres by label."""
-        return [list(map(float, c)) for c in self.model.clusterCenters()]
+        self.centres, self.columns, self.name = [list(c) for c in centres], list(columns), name
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(self.put.transform(df))
-        return out.withColumn(self.name, F.col("__c").cast("string")).drop("__v", "__c")
+        told = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in self.columns))
+        far = F.array(*(reduce(lambda a, b: a + b, (F.pow(F.col(c) - v, 2) for c, v in zip(self.columns, centre))) for centre in self.centres))
+        label = (F.array_position(far, F.array_min(far)) - 1).cast("string")
+        return df.withColumn(self.name, F.when(told, label).otherwise(F.raise_error(F.lit("row without coordinates")).cast("string")))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a folder, replacing what is there."""
+        text = json.dumps({"centres": self.centres, "columns": self.columns, "name": self.name})
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> ClusterModel:
+        """Read what save() wrote."""
+        return ClusterModel(**json.loads(spark.read.text(path, wholetext=True).first()[0]))

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +20,53 @@ from prumo.operators.order import quantile_values
 from prumo.session import cut
 
 
-def linear(features: list[str], target: str, alpha: float = 0.0) -> Pipeline:
-    """Least squares, or ridge with the penalty alpha per squared coefficient over the sum of squares.
+class LinearModel:
+    """Fitted coefficients and intercept; transform() adds y_pred and leaves out rows that lack a feature."""
 
-    Spark scales its penalty by the number of rows; ridge_parameter() turns alpha into it.
-    """
-    put = VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="skip")
-    return Pipeline(stages=[put, LinearRegression(featuresCol="__x", labelCol=target, predictionCol="y_pred", regParam=alpha, elasticNetParam=0.0, standardization=False)])
+    def __init__(self, features: list[str], coefficients: list[float], intercept: float):
+        self.features, self.coefficients, self.intercept = features, coefficients, intercept
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        y = F.lit(self.intercept)
+        for c, b in zip(self.features, self.coefficients):
+            y = y + F.col(c).cast("double") * F.lit(b)
+        return df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in self.features) or "true").withColumn("y_pred", y)
+
+
+class LeastSquares:
+    """Least squares by the normal equations; alpha is a penalty on the sum of squared coefficients, the intercept is free.
 
+    One aggregate gives all covariances; the driver solves a system of as many equations as there are features. Features
+    that don't vary, or follow from others, get the coefficients of least size.
+    """
 
-def ridge_parameter(alpha: float, rows: int) -> float:
-    """Spark's regParam for a penalty alpha on the sum of squared errors."""
-    return alpha / max(rows, 1)
+    def __init__(self, features: list[str], target: str, alpha: float = 0.0):
+        self.features, self.target, self.alpha = features, target, alpha
+
+    def fit(self, df: DataFrame) -> LinearModel:
+        x = [F.col(c).cast("double") for c in self.features]
+        y, k = F.col(self.target).cast("double"), len(x)
+        told = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*self.features, self.target]))
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        means = [*(F.avg(c) for c in x), F.avg(y)]
+        m = told.agg(F.count("*"), *(F.covar_pop(x[i], x[j]) for i, j in pairs), *(F.covar_pop(c, y) for c in x), *means).first()
+        n = m[0]
+        if not n:
+            raise ValueError("no rows to fit")
+        a = np.zeros((k, k))
+        for (i, j), v in zip(pairs, m[1 : 1 + len(pairs)]):
+            a[i, j] = a[j, i] = v
+        a += np.eye(k) * (self.alpha / n)
+        scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+        right = np.array(m[1 + len(pairs) : 1 + len(pairs) + k])
+        b = np.linalg.lstsq(a / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale if k else np.zeros(0)
+        at = m[1 + len(pairs) + k :]
+        return LinearModel(self.features, [float(v) for v in b], float(at[k] - sum(v * c for v, c in zip(b, at))))
+
+
+def linear(features: list[str], target: str, alpha: float = 0.0) -> LeastSquares:
+    """Least squares, or ridge with the penalty alpha."""
+    return LeastSquares(features, target, alpha)
 
 
 def boosted(features: list[str], target: str, **params: Any) -> Pipeline:
@@ -40,27 +75,35 @@ def boosted(features: list[str], target: str, **params: Any) -> Pipeline:
     return Pipeline(stages=[put, GBTRegressor(featuresCol="__x", labelCol=target, predictionCol="y_pred", seed=1667, **params)])
 
 
-def fit_transformed(df: DataFrame, features: list[str], target: str, make: Callable[[list[str], str], Pipeline] = linear) -> Callable[[DataFrame], DataFrame]:
+def fit_transformed(df: DataFrame, features: list[str], target: str, make: Callable[[list[str], str], Any] = linear) -> Callable[[DataFrame], DataFrame]:
     """Fit on the target's normal quantile scores; the result predicts in the target's own units (y_pred)."""
     q = NormalQuantiles(df, target)
     model = make(features, "__z").fit(df.withColumn("__z", q.forward(F.col(target).cast("double"))))
     return lambda new: model.transform(new).withColumn("y_pred", q.inverse(F.col("y_pred"))).drop("__x")
 
 
-def cross_validate(df: DataFrame, key: str, features: list[str], target: str, make: Callable[[list[str], str], Pipeline], folds: int = 5) -> DataFrame:
-    """Metrics per fold, folds by a hash of the key."""
-    rows = df.withColumn("__fold", fold_of(F.col(key), folds)).cache()
-    out = None
+def folded(df: DataFrame, key: str, folds: int) -> DataFrame:
+    """df with __fold by a hash of the key, written once for all fits."""
+    return cut(df.withColumn("__fold", fold_of(F.col(key), folds)))
+
+
+def _folds(rows: DataFrame, features: list[str], target: str, make: Callable, folds: int, median: bool) -> DataFrame:
+    seen = None
     for f in range(folds):
-        model = make(features, target).fit(rows.where(F.col("__fold") != f))
-        one = metrics(model.transform(rows.where(F.col("__fold") == f)), target, "y_pred").select(F.lit(f).alias("fold"), "*")
-        out = one if out is None else out.unionByName(one)
-    return out
+        one = make(features, target).fit(rows.where(F.col("__fold") != f)).transform(rows.where(F.col("__fold") == f)).select(F.lit(f).alias("fold"), F.col(target).alias("y_true"), "y_pred")
+        seen = one if seen is None else seen.unionByName(one)
+    return metrics(seen, by="fold", median=median)
+
+
+def cross_validate(df: DataFrame, key: str, features: list[str], target: str, make: Callable[[list[str], str], Any], folds: int = 5) -> DataFrame:
+    """Metrics per fold, folds by a hash of the key; a fold without rows has no row."""
+    return _folds(folded(df, key, folds), features, target, make, folds, True)
 
 
-def tune(df: DataFrame, key: str, features: list[str], target: str, make: Callable[..., Pipeline], grid: list[dict], folds: int = 5, metric: str = "mae", rising: bool = False) -> tuple[dict, list[tuple[dict, float]]]:
+def tune(df: DataFrame, key: str, features: list[str], target: str, make: Callable[..., Any], grid: list[dict], folds: int = 5, metric: str = "mae", rising: bool = False) -> tuple[dict, list[tuple[dict, float]]]:
     """The best parameters of a grid by the mean metric over folds, and all scores in the order of the grid."""
-    scores = [(g, cross_validate(df, key, features, target, lambda x, y, g=g: make(x, y, **g), folds).agg(F.avg(metric)).first()[0]) for g in grid]
+    rows = folded(df, key, folds)
+    scores = [(g, _folds(rows, features, target, lambda x, y, g=g: make(x, y, **g), folds, metric == "medae").agg(F.avg(metric)).first()[0]) for g in grid]
     best = (max if rising else min)(scores, key=lambda s: s[1])
     return best[0], scores
 

@@ -17,11 +17,12 @@ from prumo.functions.text import address, contains_normalized, first_word, lower
 from prumo.ml import metrics as ml_metrics
 from prumo.ml import models as ml_models
 from prumo.ml import prep
-from prumo.ml.features import BINS, POINTS, RATIOS, BinsDiscretizer, ClusterTransformer, GeodesicDistance, RatioTransformer, distance_km
+from prumo.ml.features import BINS, POINTS, RATIOS, BinsDiscretizer, ClusterModel, ClusterTransformer, GeodesicDistance, RatioTransformer, distance_km
 from prumo.operators import clean as cl
 from prumo.operators import dedup as dd
 from prumo.operators import enrich as en
 from prumo.operators import stats as st
+from prumo.plans import model_sql as ms
 from prumo.plans import pipelines as pl
 from prumo.schema import LISTING_SCHEMA, UNUSED, columns_by_type, keep_existing, nan_to_null, narrow
 from prumo.session import cut, shared_dir, table
@@ -494,7 +495,7 @@ QUERIES["m13_json_field"] = lambda spark, d: table(spark, d, "events").select("e
 _on_raw("m14_filter_map", "SELECT id, scraped_at, array_to_string(list_transform(list_filter(string_split(comodidades, ','), lambda x: trim(x, ' ') <> ''), lambda x: upper(trim(x, ' '))), '|') AS itens FROM z WHERE comodidades IS NOT NULL", lambda df: df.where("comodidades IS NOT NULL").select("id", "scraped_at", F.array_join(F.transform(F.filter(F.split("comodidades", ","), lambda x: F.trim(x) != ""), lambda x: F.upper(F.trim(x))), "|").alias("itens")))
 
 
-@query("m15_split_and_folds")
+@query("m15_split_and_folds", f"WITH {Z} SELECT DISTINCT id, CASE WHEN {ms.unit('id', 1667, 9)} / 4294967296.0 < 0.8 THEN 'treino' ELSE 'teste' END AS parte, CAST({ms.unit('id', 1667)} % 5 AS INTEGER) AS fold FROM z")
 def _(spark, d):
     a, b = prep.split(raw(spark, d), "id", 0.8)
     return a.select("id", F.lit("treino").alias("parte")).unionByName(b.select("id", F.lit("teste").alias("parte"))).withColumn("fold", prep.fold_of(F.col("id"), 5)).distinct()
@@ -509,23 +510,32 @@ _on_raw("e4_robust_scale", "SELECT id, scraped_at, round((preco - (SELECT quanti
 _on_raw("e5_winsorize", "SELECT id, scraped_at, round(CASE WHEN area_m2 IS NOT NULL THEN least(area_m2, (SELECT quantile_cont(area_m2, 0.99) FROM z)) END, 4) AS area_m2 FROM z", lambda df: prep.winsorize(df, ["area_m2"]).transform(df).select("id", "scraped_at", F.round("area_m2", 4).alias("area_m2")))
 
 
-@query("e6_yeo_johnson")
+def _yj(x: str) -> str:
+    up = f"CASE WHEN abs(g) < 1e-9 THEN ln(1 + {x}) ELSE (pow({x} + 1, g) - 1) / g END"
+    return f"CASE WHEN {x} >= 0 THEN {up} ELSE CASE WHEN abs(g - 2) < 1e-9 THEN -ln(1 - {x}) ELSE -(pow(1 - {x}, 2 - g) - 1) / (2 - g) END END"
+
+
+_BC = "CASE WHEN abs(g) < 1e-9 THEN ln({0}) ELSE (pow({0}, g) - 1) / g END"
+
+
+@query("e6_yeo_johnson", f"WITH {Z}, {ms.best_lambda('z', 'area_m2', _yj('area_m2'), 'sign(area_m2) * ln(1 + abs(area_m2))')} SELECT id, scraped_at, round({_yj('area_m2')}, 6) AS area_m2 FROM z, lam")
 def _(spark, d):
     df = raw(spark, d)
-    return prep.fit_yeo_johnson(df, ["area_m2"])[0].transform(df).select("id", "scraped_at", "area_m2")
+    return prep.fit_yeo_johnson(df, ["area_m2"])[0].transform(df).select("id", "scraped_at", F.round("area_m2", 6).alias("area_m2"))
 
 
-@query("e7_box_cox")
+@query("e7_box_cox", f"WITH {Z}, c AS (SELECT * FROM z WHERE preco > 0), {ms.best_lambda('c', 'preco', _BC.format('preco'), 'ln(preco)')} SELECT id, scraped_at, round(CASE WHEN preco > 0 THEN {_BC.format('preco')} END, 6) AS preco FROM z, lam")
 def _(spark, d):
     df = raw(spark, d)
-    return prep.fit_box_cox(df, ["preco"])[0].transform(df).select("id", "scraped_at", "preco")
+    return prep.fit_box_cox(df, ["preco"])[0].transform(df).select("id", "scraped_at", F.round("preco", 6).alias("preco"))
 
 
-@query("e8_normal_quantiles")
+@query("e8_normal_quantiles", f"WITH {Z}, c AS (SELECT id, scraped_at, preco FROM z WHERE preco IS NOT NULL), {ms.knots('c', 'preco')} SELECT id, scraped_at, preco, round(z, 6) AS z, round(preco, 2) AS volta FROM ({ms.interpolated('c', 'preco', 'v', 's', 'z', 'id, scraped_at, preco')})")
 def _(spark, d):
     df = raw(spark, d).where("preco IS NOT NULL")
     q = prep.NormalQuantiles(df, "preco")
-    return df.select("id", "scraped_at", "preco", q.forward(F.col("preco")).alias("z")).withColumn("volta", q.inverse(F.col("z")))
+    z = q.forward(F.col("preco"))
+    return df.select("id", "scraped_at", "preco", F.round(z, 6).alias("z"), F.round(q.inverse(z), 2).alias("volta"))
 
 
 _KINDS4 = ("Apartment", "House", "Place")
@@ -534,14 +544,19 @@ _on_raw("e10_ordinal", "SELECT id, scraped_at, tipo_imovel, CASE WHEN tipo_imove
 _on_raw("e11_polynomial", "SELECT id, scraped_at, round(area_m2 * area_m2, 4) AS a, round(area_m2 * quartos, 4) AS b, CAST(quartos * quartos AS DOUBLE) AS c FROM z", lambda df: prep.polynomial(df, ["area_m2", "quartos"]).select("id", "scraped_at", F.round("area_m2_x_area_m2", 4).alias("a"), F.round("area_m2_x_quartos", 4).alias("b"), F.col("quartos_x_quartos").alias("c")))
 
 
-@query("e12_column_transformer")
+_E12 = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont({c}, 0.5) FROM c)) AS {c}" for c in ("area_m2", "quartos"))
+_E12R = ", ".join(f"round(({c} - (SELECT quantile_cont({c}, 0.5) FROM f)) / (SELECT coalesce(nullif(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 0), 1) FROM f), 6) AS {c}" for c in ("area_m2", "quartos"))
+
+
+@query("e12_column_transformer", f"WITH {Z}, c AS (SELECT * FROM z WHERE preco IS NOT NULL), f AS (SELECT id, scraped_at, tipo_imovel, {_E12} FROM c) SELECT id, scraped_at, {_E12R}, CAST(coalesce({_KIND} = 'casa', false) AS INTEGER) AS tipo_imovel_casa, CAST(coalesce({_KIND} = 'outro', false) AS INTEGER) AS tipo_imovel_outro FROM f")
 def _(spark, d):
-    df = cl.with_target(raw(spark, d))
-    df = prep.impute_median(df, ["area_m2", "quartos"]).transform(df)
-    df = prep.robust_scale(df, ["area_m2", "quartos"]).transform(df)
-    df = cl.rename_kinds(df)
-    hot = prep.one_hot(df, "tipo_imovel")
-    return hot.transform(df).select("id", "scraped_at", "area_m2", "quartos", *hot.columns)
+    df = cl.rename_kinds(cl.with_target(raw(spark, d)))
+    numbers = prep.Chain([("impute_median", ["area_m2", "quartos"]), ("robust_scale", ["area_m2", "quartos"])])
+    made = prep.ColumnTransformer([numbers, prep.Chain([("one_hot", ["tipo_imovel"])])], keep=["id", "scraped_at"]).fit(df)
+    path = _folder(spark)
+    made.save(spark, path)
+    out = prep.Fitted.load(spark, path).transform(df)
+    return out.select("id", "scraped_at", *(F.round(c, 6).alias(c) for c in ("area_m2", "quartos")), "tipo_imovel_casa", "tipo_imovel_outro")
 
 
 @query("e13_stateless_transformers", f"WITH {Z} SELECT id, scraped_at, {_bins('area_m2')}, round(CAST(area_m2 AS DOUBLE) / nullif(CAST(quartos AS DOUBLE), 0), 6) AS area_m2_por_quartos FROM z")
@@ -560,6 +575,17 @@ def _(spark, d):
     return ClusterTransformer(k=8).fit(df).transform(df)
 
 
+#: Centres for the labelling step alone.
+_CENTRES = ((-16.60, -49.20), (-16.65, -49.25), (-16.70, -49.30), (-16.75, -49.35))
+_NEAR = ", ".join(f"pow(latitude - ({a}), 2) + pow(longitude - ({b}), 2)" for a, b in _CENTRES)
+
+
+@query("e14_labels_of_centres", f"WITH {G} SELECT place_id, CAST(list_position([{_NEAR}], least({_NEAR})) - 1 AS VARCHAR) AS cluster FROM g WHERE {_BBOX}")
+def _(spark, d):
+    df = _located(spark, d)
+    return ClusterModel(_CENTRES).transform(df).select("place_id", "cluster")
+
+
 # --- models and metrics
 
 
@@ -577,28 +603,46 @@ def _(spark, d):
     return ClusterTransformer().fit(df).transform(df).groupBy("cluster").agg(F.count("*").alias("n"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
 
 
+@query("l1_fixpoint", f"WITH {G} SELECT count(*) AS n, 0 AS longe, true AS medias FROM g WHERE {_BBOX}")
+def _(spark, d):
+    """Of the fitted clusters: rows, those nearer to another centre than their own, and whether all centres are their rows' means."""
+    df = _located(spark, d)
+    model = ClusterTransformer(k=4, iterations=200, tolerance=1e-9).fit(df)
+    far = [F.pow(F.col("latitude") - a, 2) + F.pow(F.col("longitude") - b, 2) for a, b in model.centres]
+    own = F.element_at(F.array(*far), F.col("cluster").cast("int") + 1)
+    out = cut(model.transform(df))
+    means = out.groupBy("cluster").agg(F.avg("latitude").alias("a"), F.avg("longitude").alias("b"))
+    at = F.element_at(F.array(*(F.array(F.lit(a), F.lit(b)) for a, b in model.centres)), F.col("cluster").cast("int") + 1)
+    still = means.agg(F.coalesce(F.max(F.abs(F.col("a") - at[0]) + F.abs(F.col("b") - at[1])) < 1e-5, F.lit(True)).alias("medias"))
+    return out.agg(F.count("*").alias("n"), F.count_if(own > F.least(*far) + 1e-12).cast("int").alias("longe")).crossJoin(F.broadcast(still))
+
+
 @query("l2_isolation_forest")
 def _(spark, d):
     df = raw(spark, d).select("id", "scraped_at", "preco", *_FEATURES).distinct()
     return ml_models.isolation_forest(df.withColumn("chave", F.concat_ws("|", "id", "scraped_at")), "chave", ["preco", *_FEATURES])
 
 
-@query("l3_linear_regression")
+_P = ms.priced(Z)
+_PZ = ms.interpolated("p", "preco", "v", "s", "y", "id, scraped_at, preco, area_m2, quartos, banheiros")
+
+
+@query("l3_linear_regression", f"WITH {_P}, {ms.knots('p', 'preco')}, t AS MATERIALIZED ({_PZ}), o AS ({ms.least_squares('t', 'y')}), r AS MATERIALIZED (SELECT t.*, {ms.predicted()} AS zp FROM t, o) SELECT id, scraped_at, preco, round(y_pred, 0) AS y_pred FROM ({ms.interpolated('r', 'zp', 's', 'v', 'y_pred', 'id, scraped_at, preco')})")
 def _(spark, d):
     df = _priced(spark, d)
-    return ml_models.fit_transformed(df, _FEATURES, "preco")(df).select("id", "scraped_at", "preco", "y_pred")
+    return ml_models.fit_transformed(df, _FEATURES, "preco")(df).select("id", "scraped_at", "preco", F.round("y_pred", 0).alias("y_pred"))
 
 
 @query("l3_simple_regression", "SELECT round(regr_slope(l_extendedprice, l_quantity), 3) AS inclinacao, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercepto FROM lineitem")
 def _(spark, d):
-    m = ml_models.linear(["l_quantity"], "l_extendedprice").fit(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice")).stages[-1]
+    m = ml_models.linear(["l_quantity"], "l_extendedprice").fit(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice"))
     return spark.createDataFrame([(round(float(m.coefficients[0]), 3), round(float(m.intercept), 2))], "inclinacao double, intercepto double")
 
 
-@query("l4_ridge")
+@query("l4_ridge", f"WITH {_P}, o AS ({ms.least_squares('p', 'preco', '0.1 / (SELECT count(*) FROM p)')}) SELECT id, scraped_at, preco, round({ms.predicted()}, 1) AS y_pred FROM p, o")
 def _(spark, d):
     df = _priced(spark, d)
-    return ml_models.linear(_FEATURES, "preco", ml_models.ridge_parameter(0.1, df.count())).fit(df).transform(df).select("id", "scraped_at", "preco", "y_pred")
+    return ml_models.linear(_FEATURES, "preco", 0.1).fit(df).transform(df).select("id", "scraped_at", "preco", F.round("y_pred", 1).alias("y_pred"))
 
 
 @query("l5_boosted_trees")
@@ -607,16 +651,28 @@ def _(spark, d):
     return ml_models.boosted(_FEATURES, "preco", maxIter=5, maxDepth=4).fit(df).transform(df).select("id", "scraped_at", "preco", "y_pred")
 
 
-@query("l6_tuning")
+#: Penalties searched, drawn once on a logarithmic scale.
+_GRID = ml_models.random_grid({"alpha": (1e-4, 1.0)}, 10, log=True)
+_FOLDED = f"f AS MATERIALIZED (SELECT *, CAST({ms.unit('id', 1667)} % 5 AS INTEGER) AS fold FROM p)"
+_TRAIN = "(SELECT f.*, v.fold AS vez{0} FROM f, (SELECT unnest(range(5)) AS fold) v{1} WHERE f.fold <> v.fold)"
+_ALPHAS = ", ".join(f"(CAST({g['alpha']!r} AS DOUBLE))" for g in _GRID)
+_L6 = ms.least_squares(_TRAIN.format(", alfa", f", (VALUES {_ALPHAS}) g(alfa)"), "preco", "any_value(alfa) / count(*)", "vez, alfa")
+
+
+@query("l6_tuning", f"WITH {_P}, {_FOLDED}, o AS MATERIALIZED ({_L6}), s AS (SELECT alfa, avg(mae) AS mae FROM (SELECT alfa, fold, avg(abs(preco - ({ms.predicted()}))) AS mae FROM f JOIN o ON o.vez = f.fold GROUP BY alfa, fold) GROUP BY alfa) SELECT alfa AS alpha, round(mae, 2) AS mae, round(mae, 2) = round((SELECT min(mae) FROM s), 2) AS melhor FROM s")
 def _(spark, d):
-    grid = ml_models.random_grid({"alpha": (1e-4, 1.0)}, 10, log=True)
-    best, scores = ml_models.tune(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear, grid)
-    return spark.createDataFrame([(g["alpha"], float(s), g == best) for g, s in scores], "alpha double, mae double, melhor boolean")
+    best, scores = ml_models.tune(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear, _GRID)
+    low = round(min(s for _, s in scores), 2)
+    return spark.createDataFrame([(g["alpha"], round(float(s), 2), round(float(s), 2) == low) for g, s in scores], "alpha double, mae double, melhor boolean")
+
 
+_L7 = f"SELECT f.*, {ms.predicted()} AS y_pred FROM f JOIN o ON o.vez = f.fold"
 
-@query("l7_cross_validation")
+
+@query("l7_cross_validation", f"WITH {_P}, {_FOLDED}, o AS MATERIALIZED ({ms.least_squares(_TRAIN.format('', ''), 'preco', '0', 'vez')}) SELECT fold, count(*) AS n, round(1 - sum((preco - y_pred) * (preco - y_pred)) / (var_pop(preco) * count(*)), 6) AS r2, round(sqrt(avg((preco - y_pred) * (preco - y_pred))), 2) AS rmse, round(avg(abs(preco - y_pred)), 2) AS mae, round(quantile_cont(abs(preco - y_pred), 0.5), 2) AS medae, round(avg(abs(preco - y_pred) / preco), 6) AS mape FROM ({_L7}) GROUP BY fold")
 def _(spark, d):
-    return ml_models.cross_validate(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear)
+    cv = ml_models.cross_validate(_priced(spark, d), "id", _FEATURES, "preco", ml_models.linear)
+    return cv.select("fold", "n", *(F.round(c, 2 if c in ("rmse", "mae", "medae") else 6).alias(c) for c in ("r2", "rmse", "mae", "medae", "mape")))
 
 
 _on_raw(
@@ -629,11 +685,12 @@ SQL["l9_error_frame"], QUERIES["l9_error_frame"] = SQL["m7_errors"], QUERIES["m7
 _on_raw("l10_plot_data", f"SELECT {_HIST.format(50)} AS bin, count(*) AS n FROM (SELECT x, min(x) OVER () AS lo, max(x) OVER () AS hi FROM (SELECT preco - area_m2 * 5000 AS x FROM z) WHERE x IS NOT NULL) GROUP BY ALL", lambda df: st.histogram(df.select((F.col("preco") - F.col("area_m2") * 5000).alias("x")), "x", 50))
 
 
-@query("l11_single_prediction")
+@query("l11_single_prediction", f"WITH {_P}, o AS ({ms.least_squares('p', 'preco')}) SELECT 80.0::DOUBLE AS area_m2, 3.0::DOUBLE AS quartos, 2.0::DOUBLE AS banheiros, round(a + 80 * b1 + 3 * b2 + 2 * b3, 2) AS y_pred, round(b1, 3) AS b1, round(b2, 3) AS b2, round(b3, 3) AS b3 FROM o")
 def _(spark, d):
     m = ml_models.linear(_FEATURES, "preco").fit(_priced(spark, d))
     row = spark.createDataFrame([(80.0, 3.0, 2.0)], "area_m2 double, quartos double, banheiros double")
-    return m.transform(row).select(*_FEATURES, "y_pred").withColumn("coeficientes", F.array(*(F.lit(float(c)) for c in m.stages[-1].coefficients)))
+    coefs = {f"b{i + 1}": F.lit(round(float(c), 3)) for i, c in enumerate(m.coefficients)}
+    return m.transform(row).select(*_FEATURES, F.round("y_pred", 2).alias("y_pred")).withColumns(coefs)
 
 
 # --- composite pipelines
@@ -660,6 +717,10 @@ SQL["c6_with_distances"] = f"WITH {Z}, {G}, {_COORD}, e AS ({_ENRICH}) SELECT pr
 QUERIES["c6_with_distances"] = lambda spark, d: pl.with_distances(raw(spark, d), cache(spark, d)).select("preco", "scraped_at", F.round("distancia_aeroporto_km", 6).alias("distancia_aeroporto_km"))
 
 
+SQL["c7_features_alone"] = f"WITH {Z}, {G}, {_COORD}, e AS (SELECT e.*, c.latitude, c.longitude FROM ({_CLEAN}) e JOIN c ON c.n = {_norm(_ADDR)} WHERE {_BBOX}) SELECT preco, scraped_at, {_bins('area_m2')}, round(area_m2 / nullif(CAST(quartos AS DOUBLE), 0), 6) AS m2_por_quarto, {_hav(POINTS['aeroporto'])} AS distancia_aeroporto_km FROM e"
+QUERIES["c7_features_alone"] = lambda spark, d: pl.features(pl.preprocess(raw(spark, d), cache(spark, d))).select("preco", "scraped_at", "faixa_area", F.round("m2_por_quarto", 6).alias("m2_por_quarto"), F.round("distancia_aeroporto_km", 6).alias("distancia_aeroporto_km"))
+
+
 @query("c7_features")
 def _(spark, d):
     return pl.clustered(cut(pl.preprocess(raw(spark, d), cache(spark, d)))).select("preco", "scraped_at", "faixa_area", "m2_por_quarto", "distancia_aeroporto_km", "cluster")
