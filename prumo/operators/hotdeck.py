@@ -2,19 +2,22 @@
 
 Records are sorted within groups of similar records; a missing cell takes the value of the nearest observed record
 before or after it, the donor, and the distance to the donor in the sort key is kept. Groups are tried from narrow to
-wide; every cell keeps its status: observed, filled or no_donor.
+wide; every cell keeps its status: observed, filled, filled_unsorted, no_donor or not_applicable.
 
-A group is cut into blocks along the sort key so that no group is one task's work: each block is filled by its own
-window, and the last and first donors of whole blocks are carried over by a window over one row per block. The result
-is the same as that of one window over the group, whatever the number of blocks.
+The sorted records are cut into ranges of about block_rows rows each, so that no group is one task's work: each range of
+a group is filled by its own window, and the last and first donors of whole ranges are carried over by a window over one
+row per range. There are as many ranges as the rows need. The result is the same as that of one window over the group.
 
 Defined results: unusable values (by the rule of the field) count as missing and are never donors; a cell whose rule
 says it does not apply stays as it is with the status not_applicable; of two donors equally near the one before wins;
-ties in the sort key are ordered by a hash of the record's key, then by the key; a null sort key sorts as 0.
+ties in the sort key are ordered by a hash of the record's key, then by the key. A record without sort key is never a
+donor; its own cells take the donor nearest to a place drawn by its key's hash from the places of DRAWS records, with the
+status filled_unsorted and no distance.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,61 +35,63 @@ class Target:
     applies: Column = field(default_factory=lambda: F.lit(True))
 
 
-def _edge(k: Column, cuts: Column) -> Column:
-    """Number of cut points at most k: the block of a sort key."""
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= k)), F.lit(0))
+#: Records from whose sort keys a place is drawn for those without one: the first by a hash of their keys.
+DRAWS = 256
 
 
-def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[list[Column]], order: Column, block_rows: int = 100_000, max_blocks: int = 64) -> DataFrame:
+def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[list[Column]], order: Column, block_rows: int = 50_000) -> DataFrame:
     """df with, per target c, the columns c_preenchido, c_distancia and c_status; columns of these names are replaced.
 
     groups: lists of grouping expressions from narrow to wide; order: numeric sort key of similarity.
-    A group of more than block_rows rows is cut into up to max_blocks blocks at its approximate quantiles; the result does
-    not depend on block_rows. The blocks' cut points are joined by group, not broadcast by hand.
     """
     names = [t.column for t in targets]
-    h = (F.xxhash64(*key) % F.lit(1 << 20) + F.lit(1 << 20)) / F.lit(float(1 << 21))
-    work = df.withColumn("__ord", F.coalesce(F.nanvl(order.cast("double"), F.lit(0.0)), F.lit(0.0)))
-    work = work.withColumn("__k", F.col("__ord") + h * 1e-6)
+    hashed = F.xxhash64(*key)
+    told = F.when(F.abs(order.cast("double")) < float("inf"), order.cast("double"))
+    draws = [r[0] for r in df.select(told.alias("o"), hashed.alias("h")).where("o IS NOT NULL").orderBy("h", "o").limit(DRAWS).select("o").collect()]
+    drawn = F.element_at(F.from_json(F.lit(json.dumps(draws)), "array<double>"), (F.pmod(hashed, F.lit(len(draws))) + 1).cast("int")) if draws else F.lit(0.0)
+    work = df.withColumn("__ord", told)
+    work = work.withColumn("__k", F.coalesce("__ord", drawn) + (hashed % F.lit(1 << 20) + F.lit(1 << 20)) / F.lit(float(1 << 21)) * 1e-6)
     for i, t in enumerate(targets):
         work = work.withColumn(f"__use{i}", F.coalesce(t.usable, F.lit(False))).withColumn(f"__app{i}", F.coalesce(t.applies, F.lit(False)))
         work = work.withColumn(f"__fill{i}", F.lit(None).cast(df.schema[t.column].dataType)).withColumn(f"__dist{i}", F.lit(None).cast("double"))
-    for i, group in enumerate(groups):
-        # a pass reads its input several times; what the pass before made is written once
-        work = _one_pass(cut(work) if i else work, names, group, key, block_rows, max_blocks)
+    blocks = -(-df.count() // block_rows)
+    for group in groups:
+        work = _one_pass(work, names, group, key, blocks)
     made = [f"{c}{s}" for c in names for s in ("_preenchido", "_distancia", "_status")]
     out = [c for c in df.columns if c not in made]
     for i, c in enumerate(names):
         miss = F.col(f"__app{i}") & ~F.col(f"__use{i}")
-        status = F.when(~F.col(f"__app{i}"), "not_applicable").when(F.col(f"__use{i}"), "observed").when(F.col(f"__fill{i}").isNotNull(), "filled").otherwise("no_donor")
+        filled = F.when(F.col("__ord").isNull(), "filled_unsorted").otherwise("filled")
+        status = F.when(~F.col(f"__app{i}"), "not_applicable").when(F.col(f"__use{i}"), "observed").when(F.col(f"__fill{i}").isNotNull(), filled).otherwise("no_donor")
         work = work.withColumn(f"{c}_status", status).withColumn(f"{c}_preenchido", F.when(miss, F.col(f"__fill{i}")).otherwise(F.col(c))).withColumn(f"{c}_distancia", F.when(miss, F.col(f"__dist{i}")))
     return work.select(*out, *made)
 
 
-def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[str], block_rows: int, max_blocks: int) -> DataFrame:
+def _carried(ranged: DataFrame, g: list[str], key: list[str], donor: dict[int, Column]) -> DataFrame:
+    """Rows (g, __b, __in{i}, __out{i}): for each range of the groups that lie in several, the donors before and after it."""
+    groups = F.struct(*g)
+    ends = ranged.groupBy("__b").agg(F.min(groups).alias("a"), F.max(groups).alias("z")).select("__b", F.explode(F.array_distinct(F.array("a", "z"))).alias("g"))
+    wide = cut(ends.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g.*"))  # at most one per range
+    pos = F.struct("__k", *key)
+    last = [F.max_by(d, F.when(d.isNotNull(), pos)).alias(f"__last{i}") for i, d in donor.items()]
+    first = [F.min_by(d, F.when(d.isNotNull(), pos)).alias(f"__first{i}") for i, d in donor.items()]
+    at = ranged.join(wide, g).groupBy(*g, "__b").agg(*last, *first)
+    before, after = (Window.partitionBy(*g).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
+    return cut(at.select(*g, "__b", *(F.last(f"__last{i}", True).over(before).alias(f"__in{i}") for i in donor), *(F.last(f"__first{i}", True).over(after).alias(f"__out{i}") for i in donor)))
+
+
+def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[str], blocks: int) -> DataFrame:
     """Fill what is still missing from donors of the same group."""
     g = [f"__g{i}" for i in range(len(group))]
     for name, expr in zip(g, group):
         work = work.withColumn(name, F.coalesce(expr.cast("string"), F.lit("")))
-    donor = {i: F.when(F.col(f"__use{i}") & F.col(f"__app{i}"), F.struct(F.col(c).alias("v"), F.col("__ord").alias("o"))) for i, c in enumerate(names)}
-    sizes = work.groupBy(*g).agg(F.count("*").alias("__n")).where(F.col("__n") > block_rows)
-    if sizes.isEmpty():  # every group is a block of its own
-        work = work.withColumn("__b", F.lit(0))
-        for i in donor:
-            work = work.withColumn(f"__in{i}", F.lit(None)).withColumn(f"__out{i}", F.lit(None))
+    donor = {i: F.when(F.col(f"__use{i}") & F.col(f"__app{i}") & F.col("__ord").isNotNull(), F.struct(F.col(c).alias("v"), F.col("__ord").alias("o"))) for i, c in enumerate(names)}
+    if blocks > 1:
+        # written, so that the ranges stay as they are, and read several times
+        work = cut(work.repartitionByRange(blocks, *g, "__k", *key).withColumn("__b", F.spark_partition_id()))
+        work = work.join(_carried(work, g, key, donor), [*g, "__b"], "left")
     else:
-        every = F.percentile_approx("__k", F.array(*(F.lit(i / max_blocks) for i in range(1, max_blocks))), 10_000)
-        n = F.least(F.lit(max_blocks), F.ceil(F.col("__n") / block_rows)).cast("int")
-        large = work.select(*g, "__k").join(sizes, g).groupBy(*g).agg(F.max(n).alias("__n"), every.alias("__all"))
-        large = large.select(*g, F.expr(f"transform(sequence(1, __n - 1), i -> element_at(__all, CAST(i * {max_blocks} / __n AS INT)))").alias("__cuts"))
-        work = work.join(large, g, "left").withColumn("__b", _edge(F.col("__k"), F.col("__cuts")))
-        # one row per block: its first and last donors, carried over whole blocks
-        pos = F.struct("__k", *key)
-        ends = work.where(F.col("__cuts").isNotNull()).groupBy(*g, "__b").agg(*(f(donor[i], F.when(donor[i].isNotNull(), pos)).alias(f"__{s}{i}") for i in donor for f, s in ((F.max_by, "last"), (F.min_by, "first"))))
-        over = Window.partitionBy(*g).orderBy("__b")
-        before, after = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (over, Window.partitionBy(*g).orderBy(F.desc("__b"))))
-        carried = ends.select(*g, "__b", *(F.last(f"__last{i}", True).over(before).alias(f"__in{i}") for i in donor), *(F.last(f"__first{i}", True).over(after).alias(f"__out{i}") for i in donor))
-        work = work.join(carried, [*g, "__b"], "left").drop("__cuts")
+        work = work.withColumn("__b", F.lit(0)).withColumns({f"__{s}{i}": F.lit(None) for i in donor for s in ("in", "out")})
     w = Window.partitionBy(*g, "__b").orderBy("__k", *key)
     # a frame to the end would be computed anew for each row; the same rows before it in the opposite order are not
     back = Window.partitionBy(*g, "__b").orderBy(F.desc("__k"), *(F.desc(c) for c in key))
@@ -95,9 +100,11 @@ def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[
         work = work.withColumn(f"__d{i}", donor[i])
     work = work.select("*", *(F.coalesce(F.last(f"__d{i}", True).over(prev), F.col(f"__in{i}")).alias(f"__p{i}") for i in donor), *(F.coalesce(F.last(f"__d{i}", True).over(nxt), F.col(f"__out{i}")).alias(f"__q{i}") for i in donor))
     for i in donor:
-        a, b = F.abs(F.col("__ord") - F.col(f"__p{i}.o")), F.abs(F.col("__ord") - F.col(f"__q{i}.o"))
+        # the place of a record without sort key serves to choose the donor, not as a distance
+        a, b = (F.abs(F.coalesce("__ord", "__k") - F.col(f"__{s}{i}.o")) for s in "pq")
         first = F.col(f"__q{i}").isNull() | (a <= b)
         open_ = F.col(f"__fill{i}").isNull() & F.col(f"__app{i}") & ~F.col(f"__use{i}")
-        work = work.withColumn(f"__dist{i}", F.when(open_, F.when(first, a).otherwise(b)).otherwise(F.col(f"__dist{i}")))
+        far = F.when(F.col("__ord").isNotNull(), F.when(first, a).otherwise(b))
+        work = work.withColumn(f"__dist{i}", F.when(open_, far).otherwise(F.col(f"__dist{i}")))
         work = work.withColumn(f"__fill{i}", F.when(open_, F.when(first, F.col(f"__p{i}.v")).otherwise(F.col(f"__q{i}.v"))).otherwise(F.col(f"__fill{i}")))
     return work.drop(*g, "__b", *(f"__{s}{i}" for i in donor for s in ("in", "out", "p", "q", "d")))

@@ -13,6 +13,10 @@ from prumo.operators.spatial import EARTH_M, nearby
 from prumo.session import cut, table
 
 
+#: What becomes of a cell that had to be filled.
+OPEN = ("filled", "filled_unsorted", "no_donor")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference points whose reach covers a cache row, and regions that contain it."""
     return nearby(table(spark, sf_dir, "geocoding_cache"), "place_id", table(spark, sf_dir, "pontos_referencia"), table(spark, sf_dir, "regioes"))
@@ -44,17 +48,22 @@ def filled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells without a usable value where the kind of property has one: the cells that the hot deck filled or found no donor for."""
-    return p4_filled(spark, sf_dir).where(F.col("situacao").isin("filled", "no_donor")).select("id", "scraped_at", "campo").distinct()
+    return p4_filled(spark, sf_dir).select("id", "scraped_at", "campo").distinct()
 
 
 def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell the hot deck had to fill: stored and filled value as text, distance to the donor, status."""
     df = filled_listings(spark, sf_dir)
     cells = F.array(*(F.struct(F.lit(c).alias("campo"), F.col(c).cast("string").alias("valor"), F.col(f"{c}_preenchido").cast("string").alias("preenchido"), F.col(f"{c}_distancia").alias("distancia"), F.col(f"{c}_status").alias("situacao")) for c in ("condominio", "vagas", "banheiros", "bairro")))
-    out = df.select("id", "scraped_at", F.explode(F.filter(cells, lambda x: x["situacao"].isin("filled", "no_donor"))).alias("c"))
+    out = df.select("id", "scraped_at", F.explode(F.filter(cells, lambda x: x["situacao"].isin(*OPEN))).alias("c"))
     return out.select("id", "scraped_at", "c.*").distinct()
 
 
+def p4_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4_filled with the distance to the donor and the status only."""
+    return p4_filled(spark, sf_dir).select("id", "scraped_at", "campo", F.round("distancia", 4).alias("distancia"), "situacao").distinct()
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values packed in comodidades and fotos_urls, one per row with its position."""
     raw = table(spark, sf_dir, "zap_dataset").select("id", "scraped_at", "comodidades", "fotos_urls")
@@ -62,12 +71,33 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(raw.distinct(), ["id", "scraped_at"], {"comodidades": model, "fotos_urls": None})
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_filled": p4_filled, "p5_found": p5_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_filled": p4_filled, "p4_donors": p4_donors, "p5_found": p5_found}
 
 _FOLD = "lower(strip_accents({0}))"
 _KIND = "CASE regexp_extract(url, '/(?:venda|aluguel|compra|lancamento)-([a-z]+)-', 1) WHEN 'apartamento' THEN 'apartamento' WHEN 'casa' THEN 'casa' WHEN 'lote' THEN 'lote' WHEN 'sala' THEN 'sala' END"
 _STAND_IN = f"""(x IS NULL OR NOT regexp_matches(x, '[a-z0-9]') OR x IN ({", ".join(f"'{w}'" for w in STAND_INS)}) OR regexp_matches(x, '{STAND_IN_PATTERN}') OR regexp_replace(x, '\\s*[-/,]\\s*[a-z]{{2}}$', '') = coalesce(c, '') OR regexp_matches(x, '^goiania(\\s*[-/,]?\\s*go(ias)?)?$'))"""
+_LISTED = f"""z AS (SELECT *, {_KIND} AS k, regexp_matches({_FOLD.format("titulo")}, '\\bcond(\\b|ominio)') AS em_cond, trim(regexp_replace({_FOLD.format("bairro")}, '\\s+', ' ', 'g')) AS x, trim({_FOLD.format("cidade")}) AS c, regexp_extract(trim(regexp_replace(regexp_replace({_FOLD.format("replace(replace(rua, 'º', 'o'), 'ª', 'a')")}, '[^\\x00-\\x7F]', '', 'g'), '\\s+', ' ', 'g')), '^([a-z .''-]{{5,}}|[a-z. ]+ ?[a-z]{{0,2}}[ -]*\\d+)', 1) AS l FROM zap_dataset)"""
+
+
+def _donors(campo: str, usable: str, applies: str, narrow: str, wide: str) -> str:
+    """Distance to the nearest donor and status of each cell to fill: the donors of the narrow group, else of the wide one."""
+    near = ", ".join(
+        f"least(o - max(doa) OVER (PARTITION BY {g} ORDER BY o RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(doa) OVER (PARTITION BY {g} ORDER BY o RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - o) AS d{i}, max(doa) OVER (PARTITION BY {g}) AS a{i}"
+        for i, g in enumerate((narrow, wide))
+    )
+    return (
+        f"SELECT DISTINCT id, scraped_at, '{campo}' AS campo, CASE WHEN o IS NOT NULL THEN round(CASE WHEN a0 IS NOT NULL THEN d0 ELSE d1 END, 4) END AS distancia, CASE WHEN coalesce(a0, a1) IS NULL THEN 'no_donor' WHEN o IS NULL THEN 'filled_unsorted' ELSE 'filled' END AS situacao "
+        f"FROM (SELECT *, {near} FROM (SELECT *, CASE WHEN usa AND aplica THEN o END AS doa FROM (SELECT *, CASE WHEN isfinite(area_m2) THEN area_m2 END AS o, coalesce({usable}, false) AS usa, {applies} AS aplica FROM y))) WHERE aplica AND NOT usa"
+    )
+
+
+_HABITED = "(k IS NULL OR k <> 'lote')"
+_RANGES = (("condominio", "condominio BETWEEN 1.01 AND 99999.0", f"taxa AND {_HABITED}"), ("vagas", "vagas BETWEEN 0 AND 50", _HABITED), ("banheiros", "banheiros BETWEEN 1 AND 50", _HABITED))
 SQL = {
+    "p4_donors": f"WITH {_LISTED}, y AS MATERIALIZED (SELECT *, coalesce(k IN ('apartamento', 'sala') OR k = 'casa' AND em_cond, true) AS taxa, NOT {_STAND_IN} AS lugar, CASE WHEN NOT {_STAND_IN} THEN x END AS regiao FROM z) "
+    + " UNION ALL ".join(_donors(c, u, a, "k, taxa, regiao", "k, taxa") for c, u, a in _RANGES)
+    + " UNION ALL "
+    + _donors("bairro", "lugar", "true", "CASE WHEN length(l) > 5 THEN l ELSE '#' || coalesce(id, '') END", "k"),
     "p2_found": f"""WITH g AS (SELECT place_id, latitude AS lat, longitude AS lon FROM geocoding_cache WHERE isfinite(latitude) AND isfinite(longitude)),
 e AS (SELECT regiao_id, latitude AS y1, longitude AS x1, coalesce(lead(latitude) OVER w, first_value(latitude) OVER w) AS y2, coalesce(lead(longitude) OVER w, first_value(longitude) OVER w) AS x2 FROM regioes WINDOW w AS (PARTITION BY regiao_id, anel ORDER BY ordem))
 SELECT place_id, regiao_id AS alvo_id FROM g JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY ALL HAVING count(*) % 2 = 1
