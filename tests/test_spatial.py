@@ -100,3 +100,31 @@ def test_hierarchy_is_bounded_and_complete():
     t.fit(boxes)
     row, at = t.reach(c[:, 0], c[:, 1])
     assert set(zip(range(500), leaf)) <= set(zip(row.tolist(), at.tolist()))
+
+
+def test_discs_reach_across_the_date_line(spark):
+    rng = random.Random(8)
+    lon = lambda: rng.choice([-1, 1]) * rng.uniform(179.9, 180.0)
+    points = [(f"P{k}", "n", rng.uniform(-1, 1), lon(), rng.uniform(500, 20000)) for k in range(30)] + [("pole", "n", 89.999, 0.0, 5000.0)]
+    cache = [(f"c{k}", rng.uniform(-1, 1), lon(), "own", 1.0) for k in range(200)] + [("c", 0.0, -179.999, None, None), ("far", 89.99, 179.0, None, None)]
+    got = rows(nearby(spark.createDataFrame(cache, CACHE), "place_id", spark.createDataFrame([*points, ("Q", "n", 0.0, 179.999, 1000.0)], POINT)))
+    assert got == brute(dict.fromkeys(cache), [], [*points, ("Q", "n", 0.0, 179.999, 1000.0)])
+    assert ("c", "Q") in got
+
+
+def test_a_border_of_two_regions_belongs_to_the_first(spark):
+    box = lambda name, a, b: [(name, "n", 1, i, float(y), float(x)) for i, (x, y) in enumerate([(a, 0), (b, 0), (b, 1), (b, 2), (a, 2)])]
+    regions = spark.createDataFrame(box("B", 0, 2) + box("A", 2, 4) + box("C", 0, 4), REGION)
+    at = [("edge", 1.5, 2.0, None, None), ("corner", 1.0, 2.0, None, None), ("left", 1.0, 1.0, None, None), ("out", 1.0, 0.0, None, None)]
+    assert rows(nearby(spark.createDataFrame(at, CACHE), "place_id", regions=regions)) == [("corner", "A"), ("corner", "C"), ("edge", "A"), ("edge", "C"), ("left", "B"), ("left", "C"), ("out", "B")]
+
+
+def test_hot_leaves_are_dealt_to_several_tasks(spark, monkeypatch):
+    from prumo.operators import spatial
+
+    rng = random.Random(4)
+    points = [(f"P{k}", "n", rng.uniform(0, 0.01), rng.uniform(0, 0.01), rng.uniform(10, 300)) for k in range(300)] + [(f"S{k}", "n", 0.005, 0.005, 200.0) for k in range(100)]
+    cache = [(f"c{k}", rng.uniform(0, 0.01), rng.uniform(0, 0.01), "own", 1.0) for k in range(500)]
+    for name, v in (("TASK_TARGETS", 40), ("TASK_POINTS", 60), ("UPPER_ITEMS", 100)):
+        monkeypatch.setattr(spatial, name, v)
+    assert rows(nearby(spark.createDataFrame(cache, CACHE), "place_id", spark.createDataFrame(points, POINT))) == brute(dict.fromkeys(cache), [], points)
