@@ -53,10 +53,21 @@ def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[
     work = work.withColumn("__k", F.coalesce("__ord", drawn) + (hashed % F.lit(1 << 20) + F.lit(1 << 20)) / F.lit(float(1 << 21)) * 1e-6)
     for i, t in enumerate(targets):
         work = work.withColumn(f"__use{i}", F.coalesce(t.usable, F.lit(False))).withColumn(f"__app{i}", F.coalesce(t.applies, F.lit(False)))
-        work = work.withColumn(f"__fill{i}", F.lit(None).cast(df.schema[t.column].dataType)).withColumn(f"__dist{i}", F.lit(None).cast("double"))
+    work = work.withColumns({f"__g{p}_{i}": F.coalesce(e.cast("string"), F.lit("")) for p, group in enumerate(groups) for i, e in enumerate(group)})
+    donor = {i: F.when(F.col(f"__use{i}") & F.col(f"__app{i}") & F.col("__ord").isNotNull(), F.struct(F.col(c).alias("v"), F.col("__ord").alias("o"))) for i, c in enumerate(names)}
+    keys = [[f"__g{p}_{i}" for i in range(len(group))] for p, group in enumerate(groups)]
     blocks = -(-df.count() // block_rows)
-    for group in groups:
-        work = _one_pass(work, names, group, key, blocks)
+    if blocks > 1:
+        # the ranges of all passes are made first, since donors do not depend on what is filled; written, so that they stay
+        for p, g in enumerate(keys):
+            work = cut(work.repartitionByRange(blocks, *g, "__k", *key).withColumn(f"__b{p}", F.spark_partition_id()))
+    else:
+        work = work.withColumns({f"__b{p}": F.lit(0) for p in range(len(keys))})
+    carried = [_carried(work, g, f"__b{p}", key, donor) if blocks > 1 else None for p, g in enumerate(keys)]
+    for i, t in enumerate(targets):
+        work = work.withColumn(f"__fill{i}", F.lit(None).cast(df.schema[t.column].dataType)).withColumn(f"__dist{i}", F.lit(None).cast("double"))
+    for p, g in enumerate(keys):
+        work = _one_pass(work, [*g, f"__b{p}"], key, donor, carried[p])
     made = [f"{c}{s}" for c in names for s in ("_preenchido", "_distancia", "_status")]
     out = [c for c in df.columns if c not in made]
     for i, c in enumerate(names):
@@ -67,34 +78,28 @@ def hot_deck(df: DataFrame, key: list[str], targets: list[Target], groups: list[
     return work.select(*out, *made)
 
 
-def _carried(ranged: DataFrame, g: list[str], key: list[str], donor: dict[int, Column]) -> DataFrame:
-    """Rows (g, __b, __in{i}, __out{i}): for each range of the groups that lie in several, the donors before and after it."""
+def _carried(ranged: DataFrame, g: list[str], block: str, key: list[str], donor: dict[int, Column]) -> DataFrame:
+    """Rows (g, block, __in{i}, __out{i}): for each range of the groups that lie in several, the donors before and after it."""
     groups = F.struct(*g)
-    ends = ranged.groupBy("__b").agg(F.min(groups).alias("a"), F.max(groups).alias("z")).select("__b", F.explode(F.array_distinct(F.array("a", "z"))).alias("g"))
+    ends = ranged.groupBy(block).agg(F.min(groups).alias("a"), F.max(groups).alias("z")).select(block, F.explode(F.array_distinct(F.array("a", "z"))).alias("g"))
     wide = cut(ends.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g.*"))  # at most one per range
     pos = F.struct("__k", *key)
     last = [F.max_by(d, F.when(d.isNotNull(), pos)).alias(f"__last{i}") for i, d in donor.items()]
     first = [F.min_by(d, F.when(d.isNotNull(), pos)).alias(f"__first{i}") for i, d in donor.items()]
-    at = ranged.join(wide, g).groupBy(*g, "__b").agg(*last, *first)
-    before, after = (Window.partitionBy(*g).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__b"), F.desc("__b")))
-    return cut(at.select(*g, "__b", *(F.last(f"__last{i}", True).over(before).alias(f"__in{i}") for i in donor), *(F.last(f"__first{i}", True).over(after).alias(f"__out{i}") for i in donor)))
+    at = ranged.join(wide, g).groupBy(*g, block).agg(*last, *first)
+    before, after = (Window.partitionBy(*g).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(block), F.desc(block)))
+    return cut(at.select(*g, block, *(F.last(f"__last{i}", True).over(before).alias(f"__in{i}") for i in donor), *(F.last(f"__first{i}", True).over(after).alias(f"__out{i}") for i in donor)))
 
 
-def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[str], blocks: int) -> DataFrame:
-    """Fill what is still missing from donors of the same group."""
-    g = [f"__g{i}" for i in range(len(group))]
-    for name, expr in zip(g, group):
-        work = work.withColumn(name, F.coalesce(expr.cast("string"), F.lit("")))
-    donor = {i: F.when(F.col(f"__use{i}") & F.col(f"__app{i}") & F.col("__ord").isNotNull(), F.struct(F.col(c).alias("v"), F.col("__ord").alias("o"))) for i, c in enumerate(names)}
-    if blocks > 1:
-        # written, so that the ranges stay as they are, and read several times
-        work = cut(work.repartitionByRange(blocks, *g, "__k", *key).withColumn("__b", F.spark_partition_id()))
-        work = work.join(_carried(work, g, key, donor), [*g, "__b"], "left")
+def _one_pass(work: DataFrame, g: list[str], key: list[str], donor: dict[int, Column], carried: DataFrame | None) -> DataFrame:
+    """Fill what is still missing from donors of the same group; g: the group and its range."""
+    if carried is not None:
+        work = work.join(carried, g, "left")
     else:
-        work = work.withColumn("__b", F.lit(0)).withColumns({f"__{s}{i}": F.lit(None) for i in donor for s in ("in", "out")})
-    w = Window.partitionBy(*g, "__b").orderBy("__k", *key)
+        work = work.withColumns({f"__{s}{i}": F.lit(None) for i in donor for s in ("in", "out")})
+    w = Window.partitionBy(*g).orderBy("__k", *key)
     # a frame to the end would be computed anew for each row; the same rows before it in the opposite order are not
-    back = Window.partitionBy(*g, "__b").orderBy(F.desc("__k"), *(F.desc(c) for c in key))
+    back = Window.partitionBy(*g).orderBy(F.desc("__k"), *(F.desc(c) for c in key))
     prev, nxt = (x.rowsBetween(Window.unboundedPreceding, -1) for x in (w, back))
     for i in donor:
         work = work.withColumn(f"__d{i}", donor[i])
@@ -107,4 +112,4 @@ def _one_pass(work: DataFrame, names: list[str], group: list[Column], key: list[
         far = F.when(F.col("__ord").isNotNull(), F.when(first, a).otherwise(b))
         work = work.withColumn(f"__dist{i}", F.when(open_, far).otherwise(F.col(f"__dist{i}")))
         work = work.withColumn(f"__fill{i}", F.when(open_, F.when(first, F.col(f"__p{i}.v")).otherwise(F.col(f"__q{i}.v"))).otherwise(F.col(f"__fill{i}")))
-    return work.drop(*g, "__b", *(f"__{s}{i}" for i in donor for s in ("in", "out", "p", "q", "d")))
+    return work.drop(*g, *(f"__{s}{i}" for i in donor for s in ("in", "out", "p", "q", "d")))

@@ -32,6 +32,7 @@ def filled_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = df.withColumn("com_taxa", in_condominium(F.col("tipo"), F.col("titulo"))).withColumn("lugar", is_place_name(F.col("bairro"), F.col("cidade")))
     df = df.withColumn("logradouro", F.regexp_extract(squeeze(fold("rua")), r"^([a-z .'-]{5,}|[a-z. ]+ ?[a-z]{0,2}[ -]*\d+)", 1))
     df = df.withColumn("regiao", F.when(F.col("lugar"), squeeze(fold("bairro")))).drop("titulo", "tipo_imovel", "url", "cidade", "rua")
+    df = cut(df)  # read several times
     inhabited = F.col("tipo").isNull() | (F.col("tipo") != "lote")
     numbers = [
         Target("condominio", F.col("condominio").between(1.01, 99_999.0), F.col("com_taxa") & inhabited),
