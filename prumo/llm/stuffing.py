@@ -3,13 +3,19 @@
 Method: each page becomes a stream of symbols (words, marks, one symbol for any link and one for any tag); its suffix
 automaton gives, for every position, the longest substring ending there that occurs at least REPEATS times; the union of
 these repeated maximal substrings is the page's repeated text. The page is also cut into units (sentences, lines, list
-entries); a unit has clause structure if it has enough words of the closed classes that hold clauses together (articles,
-conjunctions, pronouns, auxiliaries) and does not say one phrase again and again. Text counts as stuffing where a unit
-without clause structure is repeated, linked or tagged. A page is stuffed if that is most of its text, or if it is
-more than a short note and nearly none of its text has clause structure.
+entries). A unit has clause structure if it has enough of the words that hold clauses together, or is written as a
+sentence (a capital, six words or more that hardly repeat, a full stop), and does not say one phrase again and again. Text
+counts as stuffing where a unit without clause structure is repeated, linked or tagged. A page is stuffed if that is most
+of its text, or if nearly none of its text has clause structure and part of it occurs twice at least. No page is stuffed
+without repeated substrings, links or tags.
+
+Which words hold clauses together is learned from all pages, whatever their language: those several times as frequent in
+units written as sentences as in all others. Nouns and adjectives of the trade, and the prepositions between them, stand
+in lists as well and drop out.
 
 Defined results: null, empty and blank texts are no stuffing; texts of any length are read whole in linear time; markup
-and invisible characters are left out of all measures; extra columns are ignored.
+and invisible characters are left out of all measures; without any sentence in the corpus only the shape of units counts;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,31 +23,46 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-REPEATS = 3
-#: Words that hold clauses together in Portuguese, English and Spanish (fixed values). Prepositions are left out: keyword
-#: phrases have them too.
-CLAUSE_WORDS = frozenset(
-    """
-    o a os as um uma uns umas e é são foi foram era está estão estou tem têm há que se não mas ou como quando onde quem porque pois já ele ela eles elas você nós
-    seus suas nosso nossa este esta esse essa isso isto aquele lhe nos mais muito também só até sem ser pode podem deve será ao aos pelo pela qual cada
-    the a an is are was were be been it its this that these those and but or not you we i he she they their has have had there so which who when where if does did can will
-    el la los las un una unos unas y es son fue era está están hay que se pero o como cuando donde porque su sus lo le les este esta ese esa más muy también ya al del
-    """.split()
-)
-_MARKUP = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>|<[a-zA-Z/!][^>]{0,2000}>")
-#: Symbols of a lower-case page by group: 1 and 4 words (most words end at white space or a comma: the first alternative
-#: takes them at once), 2 links, 3 tags, 5 ends of units, 6 other marks.
+from prumo.session import cut
+
+#: Occurrences from which a substring counts as repeated, and in pages that are nearly without clause structure.
+REPEATS, TWICE = 3, 2
+#: A word holds clauses together if it stands in one of 200 sentences, CONTRAST times as often as elsewhere.
+LEAST_SHARE, CONTRAST = 0.005, 4.0
+#: Shares: of stuffing in a stuffed page; of text without clause structure, and of it what occurs twice.
+STUFFED, BARE, TOLD_TWICE = 0.5, 0.85, 0.1
+_MARKUP = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>|<[a-zA-Z/!][^>]*>")
+_BLOCK = re.compile(r"</?(p|br|div|li|tr|h\d)\b", re.I)
+#: Symbols of a page by group: 1 and 4 words (most words end at white space or a comma: the first alternative takes them
+#: at once), 2 links, 3 tags, 5 ends of units, 6 other marks.
 _SYMBOL = re.compile(
     r"(\w+)(?![\w.\-:/'’@]|\s+:)"
-    r"|((?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+\.(?:example|com|net|org|br|html)(?:\.[a-z]{2})?\b)"
-    r"|(#\w+|\b(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s*[\w+%-]+)|(\w+(?:['’]\w+)?)|([.!?]+(?=\s|$)|\n+|[|•·;]|->)|([^\w\s])"
+    r"|((?:https?://|www\.)\S+|\b[\w-]+(?:\.[\w-]+)+/\S*|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b(?![\w@]))"
+    r"|(#\w+|\b(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s*[\w+%-]+)|(\w+(?:['’]\w+)?)|([.!?]+(?=\s|$)|\n+|[|•·;]|->)|([^\w\s])",
+    re.I,
 )
+#: Where a symbol may reach across white space.
+_ACROSS = re.compile(r"\s:|(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s", re.I)
+_UNIT = re.compile(r"([.!?]+(?=\s|$)|\n+|[|•·;]|->)")
+_WORDS = re.compile(r"\w+").findall
+
+Symbol = tuple[int, str, int, bool]  # group, text, size, whether a word with a capital
+
+
+class Clauses(NamedTuple):
+    """The words that hold clauses together, and the share of them from which a unit has clause structure."""
+
+    words: frozenset[str] = frozenset()
+    share: float = 1.0
 
 
 class Automaton:
@@ -55,9 +76,7 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len, self.count = [-1], [0], [0]
         nxt, link, length, count = self.next, self.link, self.len, self.count
-        often: dict[int, int] = {}
-        for c in seq:
-            often[c] = often.get(c, 0) + 1
+        often = Counter(seq)
         last = 0
         self.state = []
         note = self.state.append
@@ -137,7 +156,7 @@ def _invisible() -> frozenset[str]:
 def plain(text: str) -> str:
     """Text without markup, entities and invisible characters; addresses of links are kept."""
     if "<" in text:
-        text = _MARKUP.sub(lambda m: f" {m[1]} " if m[1] else "\n" if re.match(r"</?(p|br|div|li|tr|h\d)\b", m[0], re.I) else " ", text)
+        text = _MARKUP.sub(lambda m: f" {m[1]} " if m[1] else "\n" if _BLOCK.match(m[0]) else " ", text)
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
@@ -163,75 +182,158 @@ def echo(words: list[str]) -> float:
     return sum(hit) / len(words)
 
 
-def measures(text: str | None) -> tuple[int, float, float, float]:
-    """Characters of words, links and tags; shares of them repeated or linked, without clause structure, stuffing."""
-    if not text or text.isspace():
-        return 0, 0.0, 0.0, 0.0
-    ids: dict[str, int] = {"<link>": 0, "<tag>": 1}
-    seq: list[int] = []
-    size: list[int] = []
-    starts = [0]
-    words: list[list[str]] = [[]]
-    here = words[0]
-    for m in _SYMBOL.finditer(plain(text).lower()):
-        kind, s = m.lastindex, m[0]
-        if kind == 1 or kind == 4:
-            here.append(s)
-            size.append(len(s))
-        elif kind == 5:
-            s = s[0]
-            size.append(0)
-        elif kind == 6:
-            size.append(0)
-        else:
-            size.append(len(s))
-            s = "<link>" if kind == 2 else "<tag>"
-        seq.append(ids.setdefault(s, len(ids)))
-        if kind == 5:
-            starts.append(len(seq))
-            words.append(here := [])
-    total = sum(size)
-    if not total:
-        return 0, 0.0, 0.0, 0.0
-    far = Automaton(seq, REPEATS).repeated(REPEATS)
-    n = len(seq)
-    # size of what is covered or a link or tag: the widest substring reaches back from its end
-    hit = [0] * n
+_symbols: dict[Symbol, Symbol] = {}
+_tokens: dict[str, tuple[Symbol, ...]] = {}
+_NEW_LINE: Symbol = (5, "\n", 0, False)
+
+
+def _symbol(m: re.Match) -> Symbol:
+    kind, s = m.lastindex, m[0]
+    if kind == 1 or kind == 4:
+        made = (1, s.lower(), len(s), s[0].isupper())
+    else:
+        made = (kind, "<link>" if kind == 2 else "<tag>" if kind == 3 else s[0] if kind == 5 else s, len(s) if kind < 4 else 0, False)
+    return _symbols.setdefault(made, made)
+
+
+def symbols(text: str) -> list[Symbol]:
+    """The symbols of a plain text. Symbols end at white space, with few exceptions, so those of a token are kept."""
+    if len(_tokens) > 300_000:
+        _tokens.clear()
+        _symbols.clear()
+    if _ACROSS.search(text):
+        return [_symbol(m) for m in _SYMBOL.finditer(text)]
+    out: list[Symbol] = []
+    lines = text.split("\n")
+    for k, line in enumerate(lines):
+        if k and (k == 1 or lines[k - 1]):  # line ends in a row are one
+            out.append(_NEW_LINE)
+        for token in line.split():
+            got = _tokens.get(token)
+            if got is None:
+                got = tuple(map(_symbol, _SYMBOL.finditer(token)))
+                if len(token) < 64:
+                    _tokens[token] = got
+            out += got
+    return out
+
+
+def as_sentence(words: int, different: int, capital: bool, end: str) -> bool:
+    """Whether a unit is written as a sentence."""
+    return words >= 6 and capital and end in ".!?" and different >= 0.8 * words
+
+
+class Measures(NamedTuple):
+    """Characters of words, links and tags, and shares of them: repeated or linked, without clause structure, stuffing,
+    and, of pages nearly without clause structure, what occurs twice or is a link or tag."""
+
+    size: int = 0
+    repeated: float = 0.0
+    bare: float = 0.0
+    stuffing: float = 0.0
+    twice: float = 0.0
+
+    @property
+    def stuffed(self) -> bool:
+        """Whether most of the page is stuffing."""
+        return self.stuffing >= STUFFED or self.bare >= BARE and self.twice >= TOLD_TWICE
+
+
+def _covered(seq: list[int], size: list[int], times: int) -> list[int]:
+    """The sizes of the symbols that are covered, or a link or tag: the widest substring reaches back from its end."""
+    far = Automaton(seq, times).repeated(times)
+    hit = [0] * len(seq)
     reach = 0
-    for i in range(n - 1, -1, -1):
+    for i in range(len(seq) - 1, -1, -1):
         reach -= 1
         if far[i] > reach:
             reach = far[i]
         if reach > 0 or seq[i] < 2:
             hit[i] = size[i]
-    starts.append(n)
-    bare_size = stuffed = 0
-    for w, i, j in zip(words, starts, starts[1:]):
-        whole = sum(size[i:j])
-        if not whole:
+    return hit
+
+
+def measures(text: str | None, clauses: Clauses = Clauses()) -> Measures:
+    """The measures of a page."""
+    if not text or text.isspace():
+        return Measures()
+    page = symbols(plain(text))
+    size = [s[2] for s in page]
+    total = sum(size)
+    if not total:
+        return Measures()
+    ids: dict[str, int] = {"<link>": 0, "<tag>": 1}
+    seq = [ids.setdefault(s[1], len(ids)) for s in page]
+    hit = _covered(seq, size, REPEATS)
+    bare = stuffing = at = 0
+    ends = [i + 1 for i, s in enumerate(page) if s[0] == 5]
+    for end in [*ends, len(page)]:
+        whole = sum(size[at:end])
+        if whole:
+            unit = [s for s in page[at:end] if s[0] == 1]
+            words = [s[1] for s in unit]
+            held = len([w for w in words if w in clauses.words]) >= max(1, clauses.share * len(words))
+            held = held or bool(unit) and as_sentence(len(words), len(set(words)), unit[0][3], page[end - 1][1])
+            if not held or echo(words) >= 0.4:
+                bare += whole
+                if sum(hit[at:end]) > 0.25 * whole:
+                    stuffing += whole
+        at = end
+    twice = sum(_covered(seq, size, TWICE)) / total if bare >= BARE * total else 0.0
+    return Measures(total, sum(hit) / total, bare / total, stuffing / total, twice)
+
+
+def counted(texts: Iterable[str | None]) -> tuple[Counter[str], Counter[str], int]:
+    """How often each word stands in units written as sentences, and in others, and the number of those sentences."""
+    inside: Counter[str] = Counter()
+    outside: Counter[str] = Counter()
+    sentences = 0
+    for text in texts:
+        if not text or text.isspace():
             continue
-        if len([x for x in w if x in CLAUSE_WORDS]) < max(1, 0.07 * len(w)) or echo(w) >= 0.4:
-            bare_size += whole
-            if sum(hit[i:j]) > 0.25 * whole:
-                stuffed += whole
-    return total, sum(hit) / total, bare_size / total, stuffed / total
+        parts = _UNIT.split(plain(text))
+        for unit, end in zip(parts[::2], [*parts[1::2], "\n"]):
+            words = _WORDS(unit)
+            if words and as_sentence(len(words), len(set(words)), words[0][0].isupper(), end[0]):
+                inside.update(map(str.lower, words))
+                sentences += 1
+            else:
+                outside.update(map(str.lower, words))
+    return inside, outside, sentences
+
 
+def learn_clauses(df: DataFrame, text: str = "text") -> Clauses:
+    """The clause words of a corpus, counted over all its pages. The driver gets 200 words per word of a sentence at most."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            inside, outside, sentences = counted(b.column(0).to_pylist())
+            words = list(inside | outside)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*words, None], pa.string()), pa.array([*(inside[w] for w in words), sentences], pa.int64()), pa.array([*(outside[w] for w in words), 0], pa.int64())], names=["palavra", "dentro", "fora"]
+            )
 
-def is_stuffed(total: int, _hit: float, bare: float, stuffed: float) -> bool:
-    """Whether most of the page is stuffing."""
-    return stuffed >= 0.5 or total >= 40 and bare >= 0.85
+    counts = cut(df.select(text).mapInArrow(count, "palavra string, dentro long, fora long").groupBy("palavra").agg(F.sum("dentro").alias("dentro"), F.sum("fora").alias("fora")))
+    told = F.col("palavra").isNotNull()
+    all_ = counts.agg(F.sum(F.when(told, F.col("dentro"))).alias("dentro"), F.sum("fora").alias("fora"), F.max(F.when(~told, F.col("dentro"))).alias("frases")).first()
+    if not all_.frases:
+        return Clauses()
+    often = (F.col("dentro") >= LEAST_SHARE * all_.frases) & (F.col("dentro") / F.lit(float(all_.dentro)) >= CONTRAST * (F.col("fora") + 1) / F.lit(float(all_.fora + 1)))
+    rows = counts.where(told & often).collect()
+    return Clauses(frozenset(r.palavra for r in rows), sum(r.dentro for r in rows) / all_.dentro / 3)
 
 
-def page_measures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (key, caracteres, repetido, sem_oracao, recheio, palavras_chave) of every page."""
+def page_measures(df: DataFrame, key: str = "doc_id", text: str = "text", clauses: Clauses | None = None) -> DataFrame:
+    """Rows (key, caracteres, repetido, sem_oracao, recheio, duas_vezes, palavras_chave) of every page; clauses are learned from df unless given."""
     flat = df.select(key, text)
+    known = learn_clauses(flat, text) if clauses is None else clauses
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [measures(t) for t in b.column(1).to_pylist()]
+            got = [measures(t, known) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([g[0] for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2, 3)), pa.array([is_stuffed(*g) for g in got], pa.bool_())],
-                names=[key, "caracteres", "repetido", "sem_oracao", "recheio", "palavras_chave"],
+                [b.column(0), pa.array([g.size for g in got], pa.int64()), *(pa.array([g[k] for g in got], pa.float64()) for k in (1, 2, 3, 4)), pa.array([g.stuffed for g in got], pa.bool_())],
+                names=[key, "caracteres", "repetido", "sem_oracao", "recheio", "duas_vezes", "palavras_chave"],
             )
 
-    return flat.mapInArrow(run, f"`{key}` {flat.schema[0].dataType.simpleString()}, caracteres long, repetido double, sem_oracao double, recheio double, palavras_chave boolean")
+    return flat.mapInArrow(run, f"`{key}` {flat.schema[0].dataType.simpleString()}, caracteres long, repetido double, sem_oracao double, recheio double, duas_vezes double, palavras_chave boolean")

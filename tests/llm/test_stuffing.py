@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from prumo.llm.stuffing import Automaton, is_stuffed, measures, page_measures
+from prumo.llm.stuffing import Automaton, learn_clauses, measures, page_measures, symbols
 
 PROSE = "O piso laminado foi trocado em janeiro e ainda está na garantia. A visita foi marcada para março e o corretor leva as chaves. O contrato prevê multa de 34% em caso de desistência."
 
@@ -41,11 +41,44 @@ STUFFED = [
 FINE = [PROSE, PROSE + " " + PROSE, PROSE + "\nPool, Gym, Spa, Lake View, Garden", f"<p>{PROSE}</p>", "Vendido.", "ok", PROSE + " Mais em www.a.example/x.", "The kitchen is small but the balcony makes up for it. " * 4, "", "   ", None, "​", "!!!"]
 
 
+def stuffed(text):
+    return measures(text).stuffed
+
+
 def test_pages():
-    assert [is_stuffed(*measures(t)) for t in STUFFED] == [True] * len(STUFFED)
-    assert [is_stuffed(*measures(t)) for t in FINE] == [False] * len(FINE)
-    assert is_stuffed(*measures(PROSE + " " + " ".join(STUFFED[:1] * 10)))
-    assert not is_stuffed(*measures(STUFFED[0] + ". " + PROSE * 6))
+    assert [stuffed(t) for t in STUFFED] == [True] * len(STUFFED)
+    assert [stuffed(t) for t in FINE] == [False] * len(FINE)
+    assert stuffed(PROSE + " " + " ".join(STUFFED[:1] * 10))
+    assert not stuffed(STUFFED[0] + ". " + PROSE * 6)
+
+
+def test_no_page_is_stuffed_without_coverage():
+    # lists without repetition, links or tags, prose of a language nobody listed, and short notes
+    assert not stuffed("Pool, Gym, Spa, Lake View, Garden, Barbecue, Sauna, Playground, Garage, Balcony")
+    assert not stuffed("Die Wohnung liegt ruhig im dritten Stock und hat einen großen Balkon nach Süden. Der Vermieter möchte eine Kaution von zwei Monatsmieten.")
+    assert not stuffed("Asunto on hiljaisella kadulla ja sen parveke avautuu etelään päin. Vuokranantaja pyytää kahden kuukauden takuun.")
+    assert stuffed("casa casa casa") and not stuffed("casa nova")
+
+
+def test_a_long_tag_is_no_text():
+    assert measures(f"<div style='{'margin: casa casa casa; ' * 300}'>{PROSE}</div>").size == measures(PROSE).size
+
+
+def test_symbols_of_tokens_are_those_of_the_page():
+    from prumo.llm.stuffing import _SYMBOL, _symbol
+
+    for t in [*STUFFED, *FINE, "a.b\n\n c'd\r\n\r\n#x; http://a.b/c?d=e, 3.5 m2 -> fim!?", "\n\n\nx\n \ny"]:
+        assert not t or symbols(t) == [_symbol(m) for m in _SYMBOL.finditer(t)]
+
+
+def test_clause_words_are_learned_from_any_language(spark):
+    prose = [f"Die Wohnung Nummer {i} ist ruhig und hat einen Balkon, der nach Süden geht." for i in range(40)]
+    lists = ["Wohnung Balkon Süden Nummer; Wohnung Balkon; Balkon Süden"] * 20
+    df = spark.createDataFrame([(t,) for t in [*prose, *lists, None, ""]], "text string")
+    got = learn_clauses(df)
+    assert {"die", "ist", "und", "hat", "der"} <= got.words and not {"wohnung", "balkon", "süden"} & got.words
+    assert measures("die lage ist gut und der preis hat sich kaum bewegt", got).bare == 0
+    assert learn_clauses(df.limit(0)).words == frozenset()
 
 
 def test_table(spark):
