@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -64,6 +65,18 @@ _LAST = re.compile(r"(?<=[a-z]{3})\s+0*(\d+)$|(?<=\d)\s+0*(\d+)$")
 _MARK = re.compile(r"[,\s.]*\b(?:numero|num|nro|nr|no|n)(?:\b|(?=\d))[\s.:]*0*(\d+)\b")
 
 
+#: States (fixed values).
+STATES = "ac al ap am ba ce df es go ma mt ms mg pa pb pr pe pi rj rn rs ro rr sc sp se to"
+
+
+def region_pattern(cities: Iterable[str]) -> tuple[re.Pattern, re.Pattern]:
+    """What tells the city in a text of base(): a known name, with or without its state; else any name before a state at the end."""
+    known = sorted({b for c in cities for cut in (True, False) if (b := base(c, cut))}, key=lambda c: (-len(c), c))
+    state = f"(?:{STATES.replace(' ', '|')})"
+    names = "|".join(map(re.escape, known)) or "(?!)"
+    return re.compile(rf"[,/ ]*\b({names})\b(?: *[-/, ] *{state}\b)?"), re.compile(rf", *([a-z][a-z ]+?) *[-/,] *{state} *(?:, *brasil *)?$")
+
+
 class Address(NamedTuple):
     """Keys of an address; None where it doesn't tell."""
 
@@ -73,6 +86,7 @@ class Address(NamedTuple):
     block: str | None
     lot: str | None
     place: str | None
+    region: str | None = None
 
     @property
     def spot(self) -> str | None:
@@ -109,8 +123,8 @@ def _street_key(tokens: list[str]) -> tuple[str | None, str | None]:
     return (key if len(key) > 2 and not w.get(key, "").startswith("t:") else None), kind
 
 
-def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
-    """The parts of a street field, or, with_place, of a whole address; cut as in base()."""
+def read(s: str | None, with_place: bool = False, cut: bool = True, cities: tuple[re.Pattern, re.Pattern] | None = None) -> Address:
+    """The parts of a street field, or, with_place, of a whole address; cut as in base(). cities: a region_pattern()."""
     nothing = Address(None, None, None, None, None, None)
     if not s or s.isspace():
         return nothing
@@ -126,7 +140,11 @@ def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
         lot, block = m[1], m[2]
     if m:
         t = t[: m.start()] + "," + t[m.end() :]
+    region = None
     if with_place:
+        if cities and (m := cities[0].search(t) or cities[1].search(t)):
+            region = m[1]
+            t = t[: m.start()] + "," + t[m.end() :]
         t = _CITY.sub(",", t)
     t = _INNER.sub("", t)
     place = None
@@ -173,7 +191,7 @@ def read(s: str | None, with_place: bool = False, cut: bool = True) -> Address:
     if with_place and place is None:
         rest = [p for p in parts if p is not (typed[0] if typed else None) and any(len(x) > 3 and x.isalpha() for x in p)]
         place = " ".join(rest[0]) if rest else None
-    return Address(street, kind, number, block, lot, place)
+    return Address(street, kind, number, block, lot, place, region)
 
 
 def has_syllables(s: str | None) -> bool:

@@ -158,7 +158,8 @@ def _encoder(stamp: str, shared) -> Encoder:
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out evenly where the input has fewer splits than the cluster has cores; else df as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(2 * cores) if splits < cores else df
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, counts_only: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 import pytest
 from conftest import rows
 
-from prumo.llm.address import base, place_key, read
+from prumo.llm.address import base, place_key, read, region_pattern
 from prumo.llm.names import link_names
-from prumo.llm.places import read_addresses, same_places
+from prumo.llm.places import linked_sides, read_addresses, same_places
 
 
 @pytest.mark.parametrize(
@@ -56,3 +56,17 @@ def test_same_places(spark):
     got = rows(same_places(left, right))
     assert got == sorted([("l1", "c1"), ("l1", "c2"), ("l2", "c1"), ("l2", "c2"), ("l3", "c3")], key=repr)
     assert same_places(left.limit(0), right).count() == 0 and same_places(left, right.limit(0)).count() == 0
+
+
+def test_regions_part_equal_streets_and_missing_ones_are_inherited(spark):
+    listings = [("l1", "Rua das Flores, 10", "Setor Sul", "Goiânia"), ("l2", "Rua das Flores, 10", "Setor Sul", "Anápolis"), ("l3", "Rua T-9, 5", "Vila Nova", None), ("l4", "Rua das Flores, 10", "Setor Sul", None), ("l5", "Rua das Flores", "Setor Sul", "Goiânia"), ("l6", "R. Flores n 10", "Setor Sul", "GOIANIA")]
+    cache = [("c1", "Rua das Flores, 10, Setor Sul, Goiânia - GO"), ("c2", "Rua das Flores, 10, Setor Sul, Anápolis - GO"), ("c3", "rua t 9 5, vila nova, goiania/go"), ("c4", "Rua das Flores, 10, Setor Sul")]
+    cities = ["Goiânia", "Anápolis"]
+    left = read_addresses(spark.createDataFrame(listings, "id string, rua string, bairro string, cidade string"), "id", "rua", "bairro", "cidade")
+    right = read_addresses(spark.createDataFrame(cache, "place_id string, address string"), "place_id", "address", cities=cities)
+    assert rows(same_places(left, right)) == [("l1", "c1"), ("l2", "c2"), ("l3", "c3"), ("l6", "c1")]
+    status = {r.chave: r.situacao for x in linked_sides(left, right) for r in x.collect()}
+    assert status["l1"] == status["c3"] == "linked" and status["l4"] == status["c4"] == "ambiguous" and status["l5"] == "incomplete"
+    # a city that isn't known is read before its state
+    assert read("Rua X, 5, Vila Lobo, Anicuns/GO", True, cities=region_pattern([])).region == "anicuns"
+    assert read("Rua X, 5, Vila Lobo", True, cities=region_pattern(cities)).region is None

@@ -46,5 +46,7 @@ def test_corpus(spark, both):
     assert got.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
     for r in got.collect():
         assert r.ids == {1: both[1].encode_ordinary("Casa à venda"), 2: [], 3: [], 4: both[1].encode_ordinary(" "), None: both[1].encode_ordinary("a"), 5: both[1].encode_ordinary("casa " * 30_000)}[r.doc_id]
-    assert rows(encode_corpus(df.where("doc_id < 4"), counts_only=True)) == [(1, 5), (1, 5), (2, 0), (3, 0)] or encode_corpus(df, counts_only=True).count() == 7
+    n = len(both[1].encode_ordinary("Casa à venda"))
+    assert rows(encode_corpus(df.where("doc_id < 4"), counts_only=True)) == [(1, n), (1, n), (2, 0), (3, 0)]
+    assert encode_corpus(df, counts_only=True).count() == 7
     assert encode_corpus(df.limit(0)).count() == 0
