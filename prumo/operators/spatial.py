@@ -294,11 +294,11 @@ def locate(points: DataFrame, key: str, targets: DataFrame, lat: str = "latitude
                     )
 
     hits = both.repartition(*task).sortWithinPartitions(*task, "ordem").mapInArrow(meet, "x double, y double, alvo_id string, anel int, area boolean, borda boolean")
-    rings = hits.groupBy("x", "y", "alvo_id", "area", "anel").agg(F.max("borda").alias("borda"))
-    found = rings.groupBy("x", "y", "alvo_id", "area").agg(F.count("*").alias("n"), F.max("borda").alias("borda")).where("NOT area OR n % 2 = 1")
+    # one exchange by point serves the counts, the borders and the join
+    found = hits.repartition("x", "y").groupBy("x", "y", "alvo_id", "area").agg(F.size(F.collect_set("anel")).alias("n"), F.max("borda").alias("borda")).where("NOT area OR n % 2 = 1")
     # a point on borders belongs to the first of their regions
     first = F.min(F.when(F.col("borda"), F.col("alvo_id"))).over(Window.partitionBy("x", "y"))
-    found = found.withColumn("dono", first).where("NOT borda OR alvo_id = dono").select("x", "y", "alvo_id").distinct()
+    found = found.withColumn("dono", first).where("NOT borda OR alvo_id = dono").select("x", "y", "alvo_id")
     return finite.join(found, ["x", "y"]).select(F.col("__chave").alias(key), "alvo_id").distinct()
 
 
