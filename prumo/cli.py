@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +12,15 @@ from prumo.operators.dedup import dedup_counts, keep_best
 from prumo.operators.stats import coverage
 from prumo.plans import pipelines
 from prumo.schema import STORE_SCHEMA
-from prumo.session import make_session
+from prumo.session import cuts_dropped, make_session
 from prumo.sources import files, pages, store
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return files.scan_csv(spark, path) if path.rstrip("/").endswith(".csv") or os.path.isdir(path) and any(f.endswith(".csv") for f in os.listdir(path)) else spark.read.parquet(path)
+    """A CSV file or a folder with CSV files, else parquet; on any file system."""
+    parts = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*.csv")
+    found = parts.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(parts)
+    return files.scan_csv(spark, path) if path.rstrip("/").endswith(".csv") or found else spark.read.parquet(path)
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -37,18 +39,28 @@ def deduplicate(spark: SparkSession, a: argparse.Namespace) -> None:
     print(dedup_counts(df).first().asDict())
 
 
+def _insert(batch: DataFrame, where: str) -> int:
+    """Into a table folder, or, by an address of JDBC, a database."""
+    return (store.insert_if_absent_jdbc if where.startswith("jdbc:") else store.insert_if_absent)(batch, where)
+
+
 def load(spark: SparkSession, a: argparse.Namespace) -> None:
     """Add new listings of a file to the store."""
-    print({"inseridos": store.insert_if_absent(_read(spark, a.input), a.store)})
+    print({"inseridos": _insert(_read(spark, a.input), a.store)})
 
 
 def daily(spark: SparkSession, a: argparse.Namespace) -> None:
     """Add a day's new listings, deduplicated, to the store; with --dry-run only show how many there are."""
-    new = pipelines.daily(_read(spark, a.input), store.ensure_table(spark, a.store, STORE_SCHEMA))
+    if a.store.startswith("jdbc:"):
+        store.ensure_jdbc_table(spark, a.store)
+        stored = store.scan_jdbc(spark, a.store, "(SELECT listing_id FROM listings) k").toDF("listing_id")
+    else:
+        stored = store.ensure_table(spark, a.store, STORE_SCHEMA)
+    new = pipelines.daily(_read(spark, a.input), stored)
     if a.dry_run:
         print({"novos": new.count()})
     else:
-        print({"inseridos": store.insert_if_absent(new, a.store)})
+        print({"inseridos": _insert(new, a.store)})
 
 
 def preprocess(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -72,6 +84,7 @@ def parser() -> argparse.ArgumentParser:
     """The command line's parser."""
     p = argparse.ArgumentParser(prog="prumo")
     p.add_argument("--master", default=None)
+    p.add_argument("--shared", help="folder that all machines of the cluster share, where the session names none")
     sub = p.add_subparsers(dest="command", required=True)
     for name, f in COMMANDS.items():
         c = sub.add_parser(name, help=f.__doc__)
@@ -92,7 +105,10 @@ def parser() -> argparse.ArgumentParser:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     """Run one command."""
     a = parser().parse_args(args)
-    COMMANDS[a.command](spark or make_session("prumo", a.master), a)
+    conf = {"spark.checkpoint.dir": a.shared} if a.shared else {}
+    spark = spark or make_session("prumo", a.master, **conf)
+    with cuts_dropped():
+        COMMANDS[a.command](spark, a)
 
 
 if __name__ == "__main__":

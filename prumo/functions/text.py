@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 @lru_cache(1)
 def fold_table() -> tuple[str, str]:
-    """Characters of the basic plane whose compatibility decomposition leaves exactly one ASCII character, and that character."""
+    """Characters whose compatibility decomposition leaves exactly one ASCII character, and that character."""
     src, dst = [], []
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x20000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         plain = unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode()
@@ -27,7 +27,7 @@ def fold_table() -> tuple[str, str]:
 def wide_folds() -> tuple[tuple[str, str], ...]:
     """Characters whose decomposition leaves two or more ASCII characters (ligatures, fractions, squared units)."""
     out = []
-    for cp in range(0x80, 0x10000):
+    for cp in range(0x80, 0x20000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
         plain = unicodedata.normalize("NFKD", chr(cp)).encode("ascii", "ignore").decode()
@@ -36,17 +36,19 @@ def wide_folds() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
-#: Wide characters seen in addresses and titles; the rest of wide_folds() is left to fold_py.
-_COMMON_WIDE = "¼½¾ﬁﬂﬀﬃﬄ…№℃㎡㎢™"
+def _widened(c: Column) -> Column:
+    """c with the characters of wide_folds() written out; texts without any are left as they are."""
+    wide = wide_folds()
+    table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in wide)), F.lit("\x02"), F.lit("\x01"))
+    letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(c.rlike("[" + "".join(a for a, _ in wide) + "]"), F.array_join(letters, "")).otherwise(c)
 
 
 def ascii_only(c: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII, as Unicode NFKD + ASCII encoding does for Latin text."""
     src, dst = fold_table()
-    wide = {a: b for a, b in wide_folds() if a in _COMMON_WIDE}
-    for a, b in wide.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(c, src, dst), "[^\\x00-\\x7F]", "")
+    plain = F.regexp_replace(F.translate(_widened(c), src, dst), "[^\\x00-\\x7F]", "")
+    return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)
 
 
 def fold(c: Column) -> Column:

@@ -16,35 +16,35 @@ KINDS = {"House": "casa", "Apartment": "apartamento", "Place": "outro"}
 TITLE_KINDS = {"Casa": "casa", "Apartamento": "apartamento", "Flat": "flat", "Cobertura": "cobertura", "Sobrado": "sobrado", "Studio": "studio"}
 
 #: Amenity groups and their terms (fixed values). Terms are substrings, upper and lower case tell.
-AMENITIES = {
-    "piscina": "Pool|Adult Pool|Childrens Pool|Heated Pool|Private Pool|Covered Pool|Semi Olympic Pool|Reflecting Pool|Pool Bar",
-    "espaco_gourmet": "Barbecue Grill|Barbecue Balcony|Pizza Oven|Gourmet Space|Gourmet Balcony|Gourmet Kitchen",
-    "academia": "Gym|Fitness Room",
-    "spa_massagem": "Sauna|Spa|Whirlpool|Hot Tub|Massage Room",
-    "espaco_lazer": "Party Hall|Adult Game Room|Games Room|Cinema|Bar|Coffee Shop|Restaurant|Covention Hall|Zen Space",
-    "area_trabalho": "Coworking|Meeting Room|Library",
-    "espaco_infantil": "Playground|Toys Place|Sand Pit|Teen Space",
-    "area_esportiva": "Sports Court|Tennis Court|Football Field|Indoor Soccer|Squash|Skate Lane|Hiking Trail|Golf Field",
-    "portaria": "Gated Community|Concierge 24h|Reception",
-    "seguranca": "Watchman|Patrol|Alarm System|Safety Circuit|Electronic Gate|Intercom|Security Camera|Security Cabin|Armored Security Cabin|Fence|Security 24 Hours",
-    "servicos_garagem": "Garage|Parking|Guest Parking|Valet Parking|Bicycles Place",
-    "acessibilidade": "Elevator|Disabled Access",
-    "pets": "Pets Allowed|Pet Space",
-    "varanda": "Balcony|Wall Balcony|Deck",
-    "area_verde": "Garden|Backyard|Green Space|Grass|Fruit Trees|Pomar|Vegetable Garden|Tree Climbing",
-    "espaco_natural": "Exterior View|Lake|River|Lake View|Mountain View|Sea View|Panoramic View",
-    "acabamento_premium": "Porcelain|Blindex Box|Sanca|Aluminum Window|Laminated Floor|Wood Floor|Vinyl Floor|Carpet|Drywall|Glass Wall|Thermal Insulation|Cold Floor|Burnt Cement|Platibanda",
-    "moveis_embutidos": "Planned Furniture|Builtin Wardrobe|Bedroom Wardrobe|Bathroom Cabinets|Kitchen Cabinets|Closet|Dress Room2",
-    "layout_premium": "Lavabo|Reversible Room|Dividers|Integrated Environments|Large Room|Small Room|High Ceiling Height",
-    "cozinha": "Kitchen|American Kitchen|Large Kitchen|Pantry|Copa|Dinner Room|Lunch Room",
-    "servicos": "Laundry|Service Area|Service Bathroom|Service Room|Employee Dependency|Service Entrance",
-    "conforto_interno": "Air Conditioning|Heating|Natural Ventilation|Soundproofing|Large Window",
-    "mobiliado": "Furnished",
-    "casa_inteligente": "Smart Apartment|Smart Condominium|Digital Locker",
-    "servicos_conectividade": "Internet Access|Cable Tv|Full Cabling",
-    "infra_energetica": "Solar Energy|Electric Generator|Eletric Charger",
-    "infra_hidrica": "Water Tank|Artesian Well|Well",
-    "servicos_sustentaveis": "Eco Garbage Collector|Eco Condominium",
+AMENITIES: dict[str, tuple[str, ...]] = {
+    "piscina": ("Pool", "Adult Pool", "Childrens Pool", "Heated Pool", "Private Pool", "Covered Pool", "Semi Olympic Pool", "Reflecting Pool", "Pool Bar"),
+    "espaco_gourmet": ("Barbecue Grill", "Barbecue Balcony", "Pizza Oven", "Gourmet Space", "Gourmet Balcony", "Gourmet Kitchen"),
+    "academia": ("Gym", "Fitness Room"),
+    "spa_massagem": ("Sauna", "Spa", "Whirlpool", "Hot Tub", "Massage Room"),
+    "espaco_lazer": ("Party Hall", "Adult Game Room", "Games Room", "Cinema", "Bar", "Coffee Shop", "Restaurant", "Covention Hall", "Zen Space"),
+    "area_trabalho": ("Coworking", "Meeting Room", "Library"),
+    "espaco_infantil": ("Playground", "Toys Place", "Sand Pit", "Teen Space"),
+    "area_esportiva": ("Sports Court", "Tennis Court", "Football Field", "Indoor Soccer", "Squash", "Skate Lane", "Hiking Trail", "Golf Field"),
+    "portaria": ("Gated Community", "Concierge 24h", "Reception"),
+    "seguranca": ("Watchman", "Patrol", "Alarm System", "Safety Circuit", "Electronic Gate", "Intercom", "Security Camera", "Security Cabin", "Armored Security Cabin", "Fence", "Security 24 Hours"),
+    "servicos_garagem": ("Garage", "Parking", "Guest Parking", "Valet Parking", "Bicycles Place"),
+    "acessibilidade": ("Elevator", "Disabled Access"),
+    "pets": ("Pets Allowed", "Pet Space"),
+    "varanda": ("Balcony", "Wall Balcony", "Deck"),
+    "area_verde": ("Garden", "Backyard", "Green Space", "Grass", "Fruit Trees", "Pomar", "Vegetable Garden", "Tree Climbing"),
+    "espaco_natural": ("Exterior View", "Lake", "River", "Lake View", "Mountain View", "Sea View", "Panoramic View"),
+    "acabamento_premium": ("Porcelain", "Blindex Box", "Sanca", "Aluminum Window", "Laminated Floor", "Wood Floor", "Vinyl Floor", "Carpet", "Drywall", "Glass Wall", "Thermal Insulation", "Cold Floor", "Burnt Cement", "Platibanda"),
+    "moveis_embutidos": ("Planned Furniture", "Builtin Wardrobe", "Bedroom Wardrobe", "Bathroom Cabinets", "Kitchen Cabinets", "Closet", "Dress Room2"),
+    "layout_premium": ("Lavabo", "Reversible Room", "Dividers", "Integrated Environments", "Large Room", "Small Room", "High Ceiling Height"),
+    "cozinha": ("Kitchen", "American Kitchen", "Large Kitchen", "Pantry", "Copa", "Dinner Room", "Lunch Room"),
+    "servicos": ("Laundry", "Service Area", "Service Bathroom", "Service Room", "Employee Dependency", "Service Entrance"),
+    "conforto_interno": ("Air Conditioning", "Heating", "Natural Ventilation", "Soundproofing", "Large Window"),
+    "mobiliado": ("Furnished",),
+    "casa_inteligente": ("Smart Apartment", "Smart Condominium", "Digital Locker"),
+    "servicos_conectividade": ("Internet Access", "Cable Tv", "Full Cabling"),
+    "infra_energetica": ("Solar Energy", "Electric Generator", "Eletric Charger"),
+    "infra_hidrica": ("Water Tank", "Artesian Well", "Well"),
+    "servicos_sustentaveis": ("Eco Garbage Collector", "Eco Condominium"),
 }
 
 
@@ -92,9 +92,9 @@ def amenity_flags(df: DataFrame, source: str = "comodidades", exact: bool = Fals
     """
     if exact:
         entries = F.transform(F.split(F.coalesce(F.col(source), F.lit("")), ","), lambda x: F.trim(x))
-        flags = {k: F.arrays_overlap(entries, F.array(*(F.lit(t) for t in v.split("|")))) for k, v in AMENITIES.items()}
+        flags = {k: F.arrays_overlap(entries, F.array(*map(F.lit, v))) for k, v in AMENITIES.items()}
     else:
-        flags = {k: F.coalesce(F.col(source).rlike(v), F.lit(False)) for k, v in AMENITIES.items()}
+        flags = {k: F.coalesce(F.col(source).rlike("|".join(v)), F.lit(False)) for k, v in AMENITIES.items()}
     return df.withColumns(flags)
 
 

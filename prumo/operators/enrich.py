@@ -47,12 +47,15 @@ def split_by_cache(df: DataFrame, cache: DataFrame, key: str = "endereco") -> Da
     return asked.withColumn("__n", normalize_text(F.col(key))).join(known, "__n", "left").select(key, F.col("__k").isNotNull().alias("no_cache"))
 
 
-def cascade(addresses: DataFrame, gazetteer: DataFrame, key: str = "endereco") -> DataFrame:
+def cascade(addresses: DataFrame, gazetteer: DataFrame, key: str = "endereco", city: str | None = None) -> DataFrame:
     """Coordinates from a gazetteer (nome, latitude, longitude, place_id): street and neighbourhood, then neighbourhood, then street; the first hit counts.
 
     The three questions of an address are rows of one join; the first hit is an aggregate per address. Of several
-    gazetteer rows of one name the smallest place_id counts.
+    gazetteer rows of one name the smallest place_id counts. city: only gazetteer rows of this city (column cidade), or
+    of none, count.
     """
+    if city is not None:
+        gazetteer = gazetteer.where(F.coalesce(F.trim("cidade"), F.lit("")).isin("", city))
     street, place = split_address(F.col(key))
     asked = addresses.select(key).distinct().select(key, F.posexplode(F.array(F.concat(street, F.lit(", "), place), place, street)).alias("ordem", "nome"))
     asked = asked.withColumn("nome", normalize_text(F.col("nome"))).where("nome <> '' AND nome <> ','")

@@ -6,7 +6,6 @@ data problems.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +16,7 @@ from prumo.functions.text import address, contains_normalized, first_word, lower
 from prumo.ml import metrics as ml_metrics
 from prumo.ml import models as ml_models
 from prumo.ml import prep
-from prumo.ml.features import BINS, POINTS, RATIOS, BinsDiscretizer, ClusterModel, ClusterTransformer, GeodesicDistance, RatioTransformer, distance_km
+from prumo.ml.features import BINS, POINTS, RATIOS, SMOKE_POINTS, BinsDiscretizer, ClusterModel, ClusterTransformer, GeodesicDistance, RatioTransformer, distance_km
 from prumo.operators import clean as cl
 from prumo.operators import dedup as dd
 from prumo.operators import enrich as en
@@ -25,7 +24,7 @@ from prumo.operators import stats as st
 from prumo.plans import model_sql as ms
 from prumo.plans import pipelines as pl
 from prumo.schema import LISTING_SCHEMA, UNUSED, columns_by_type, keep_existing, nan_to_null, narrow
-from prumo.session import cut, shared_dir, table
+from prumo.session import cut, scratch, table
 from prumo.sources import files, pages, store
 from prumo.streaming import ingest
 
@@ -70,18 +69,14 @@ def _on_raw(name: str, sql: str, f: Callable[[DataFrame], DataFrame]) -> None:
     SQL[name] = f"WITH {Z} {sql}"
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/prumo-{uuid.uuid4().hex}"
-
-
 # --- sources and sinks
 
 _PLAIN = r"replace(replace({0}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
-_CSV_NULL = "CASE WHEN {0} NOT IN ('', 'NA', 'N/A', 'NaN', 'nan', 'null', 'NULL', 'None', 'n/a', '<NA>') THEN {0} END"
+_CSV_NULL = "CASE WHEN {0} NOT IN ('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null') THEN {0} END"
 
 
 def _through_csv(spark: SparkSession, d: str) -> str:
-    path = _folder(spark)
+    path = scratch(spark)
     files.write_csv(raw(spark, d), path)
     return path
 
@@ -117,38 +112,40 @@ def _(spark, d):
     return files.scan_parquet(spark, f"{d}/zap_dataset.parquet", ["bairro"]).groupBy("bairro").agg(F.count("*").alias("n"))
 
 
-@query("s7_csv_sink_overwrite", "SELECT count(*) AS n FROM zap_dataset")
+@query("s7_csv_sink_overwrite", f"SELECT id, {_CSV_NULL.format('titulo')} AS titulo, count(*) AS n FROM zap_dataset GROUP BY ALL")
 def _(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     for _ in range(2):
         files.write_csv(raw(spark, d).select("id", "titulo"), path)
-    return files.scan_csv(spark, path, LISTING_SCHEMA[:2]).agg(F.count("*").alias("n"))
+    return files.scan_csv(spark, path, LISTING_SCHEMA[:2], one_line=True).groupBy("id", "titulo").agg(F.count("*").alias("n"))
 
 
-@query("s8_csv_sink_append", "SELECT 2 * count(*) AS n FROM zap_dataset")
+@query("s8_csv_sink_append", f"SELECT id, {_CSV_NULL.format('titulo')} AS titulo, 2 * count(*) AS n FROM zap_dataset GROUP BY ALL")
 def _(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     for _ in range(2):
         files.write_csv(raw(spark, d).select("id", "titulo"), path, append=True)
-    return files.scan_csv(spark, path, LISTING_SCHEMA[:2]).agg(F.count("*").alias("n"))
+    return files.scan_csv(spark, path, LISTING_SCHEMA[:2]).groupBy("id", "titulo").agg(F.count("*").alias("n"))
 
 
 @query("s9_parquet_sink", "SELECT estado, count(*) AS n FROM zap_dataset GROUP BY estado")
 def _(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     files.write_parquet(raw(spark, d).select("id", "estado"), path)
     return files.scan_parquet(spark, path).groupBy("estado").agg(F.count("*").alias("n"))
 
 
-@query("s10_engine_url", "SELECT * FROM (VALUES ('', 'sqlite:///data/listings.db'), ('postgres://u:p@h/b', 'postgresql+psycopg://u:p@h/b'), ('postgresql://h/b', 'postgresql+psycopg://h/b'), ('sqlite:///x.db', 'sqlite:///x.db')) t(pedido, url)")
+@query("s10_engine_url", "SELECT pedido, CASE WHEN pedido = '' THEN 'sqlite:///data/listings.db' ELSE regexp_replace(pedido, '^postgres(ql)?://', 'postgresql+psycopg://') END AS url FROM (VALUES (''), ('postgres://u:p@h/b'), ('postgresql://h/b'), ('sqlite:///x.db')) t(pedido)")
 def _(spark, d):
     return spark.createDataFrame([(u, store.engine_url(u)) for u in ("", "postgres://u:p@h/b", "postgresql://h/b", "sqlite:///x.db")], "pedido string, url string")
 
 
-@query("s11_create_if_missing", "SELECT 0 AS antes, 0 AS depois")
+@query("s11_create_if_missing", "SELECT 0 AS antes, CAST((SELECT count(*) FROM listings) AS INTEGER) AS depois")
 def _(spark, d):
-    path = _folder(spark)
-    a, b = (store.ensure_table(spark, path).count() for _ in range(2))
+    path = scratch(spark)
+    a = store.ensure_table(spark, path).count()
+    store.insert_if_absent(stored(spark, d), path)
+    b = store.ensure_table(spark, path).count()
     return spark.createDataFrame([(a, b)], "antes int, depois int")
 
 
@@ -157,12 +154,12 @@ def _(spark, d):
     return stored(spark, d).select("listing_id").distinct()
 
 
-@query("s13_retry_waits", "SELECT * FROM (VALUES (0, CAST(8.0 AS DOUBLE)), (1, 12.0), (2, 18.0), (3, 27.0), (4, 40.5), (5, 45.0)) t(tentativa, segundos)")
+@query("s13_retry_waits", "SELECT CAST(i AS INTEGER) AS tentativa, least(45.0, 8.0 * pow(1.5, i)) AS segundos FROM range(6) r(i)")
 def _(spark, d):
     return spark.createDataFrame(list(enumerate(pages.retry_waits(6))), "tentativa int, segundos double")
 
 
-@query("s14_retry_waits_async", "SELECT * FROM (VALUES (0, CAST(5.0 AS DOUBLE)), (1, 7.5), (2, 11.25), (3, 16.875), (4, 25.3125), (5, 30.0)) t(tentativa, segundos)")
+@query("s14_retry_waits_async", "SELECT CAST(i AS INTEGER) AS tentativa, least(30.0, 5.0 * pow(1.5, i)) AS segundos FROM range(6) r(i)")
 def _(spark, d):
     return spark.createDataFrame(list(enumerate(pages.retry_waits(6, 5.0, 1.5, 30.0))), "tentativa int, segundos double")
 
@@ -232,14 +229,27 @@ def _(spark, d):
     return en.cascade(en.with_address(raw(spark, d)), cache(spark, d).withColumnRenamed("address", "nome"))
 
 
+_TOWN = "CASE CAST(right(place_id, 1) AS INTEGER) % 3 WHEN 0 THEN 'Goiânia' WHEN 1 THEN 'Anápolis' END"
+
+
+@query("q3_city_predicate", _CASCADE.replace("FROM g) WHERE r = 1", f"FROM g WHERE coalesce({_TOWN}, '') IN ('', 'Goiânia')) WHERE r = 1"))
+def _(spark, d):
+    """The fallback lookup over a gazetteer that names cities, for one of them."""
+    rest = F.substring("place_id", -1, 1).cast("int") % 3
+    gazetteer = cache(spark, d).withColumnRenamed("address", "nome").withColumn("cidade", F.when(rest == 0, "Goiânia").when(rest == 1, "Anápolis"))
+    return en.cascade(en.with_address(raw(spark, d)), gazetteer, city="Goiânia")
+
+
 _BBOX = "latitude BETWEEN -16.85 AND -16.55 AND longitude BETWEEN -49.45 AND -49.15"
 SQL["s19_gazetteer_bbox"] = SQL["sel5_bbox"] = f"WITH {G} SELECT place_id, latitude, longitude FROM g WHERE {_BBOX}"
 QUERIES["s19_gazetteer_bbox"] = QUERIES["sel5_bbox"] = lambda spark, d: en.inside_bounds(cache(spark, d)).select("place_id", "latitude", "longitude")
 
 
-@query("s20_from_records", "SELECT * FROM (VALUES ('1', 'Casa', CAST(2.5 AS DOUBLE)), ('2', NULL, NULL)) t(id, titulo, preco)")
+@query("s20_from_records", "SELECT CAST(n_nationkey AS VARCHAR) AS id, CASE WHEN n_regionkey <> 1 THEN n_name END AS titulo, CAST(n_regionkey AS DOUBLE) AS preco, CAST(NULL AS VARCHAR) AS rua FROM nation")
 def _(spark, d):
-    return files.from_records(spark, [{"id": "1", "titulo": "Casa", "preco": 2.5}, {"id": "2"}]).select("id", "titulo", "preco")
+    """The nations as records held in memory, some without a name."""
+    records = [{"id": str(r.n_nationkey), "preco": float(r.n_regionkey)} | ({"titulo": r.n_name} if r.n_regionkey != 1 else {}) for r in table(spark, d, "nation").collect()]
+    return files.from_records(spark, records).select("id", "titulo", "preco", "rua")
 
 
 # --- projection, filter, cast
@@ -278,7 +288,7 @@ _on_raw(
 _on_raw("sel20_later_copies", "SELECT id, scraped_at FROM (SELECT id, scraped_at, row_number() OVER (PARTITION BY ALL_COLS) AS r FROM z) WHERE r > 1".replace("ALL_COLS", ", ".join(LISTING_SCHEMA.names)), lambda df: dd.later_copies(df).select("id", "scraped_at"))
 
 
-@query("sel21_columns_by_type", "SELECT * FROM (VALUES ('number', 6), ('boolean', 1), ('string', 16)) t(tipo, n)")
+@query("sel21_columns_by_type", "SELECT tipo, CAST(count(*) AS INTEGER) AS n FROM (SELECT CASE WHEN column_type IN ('DOUBLE', 'INTEGER') THEN 'number' WHEN column_type = 'BOOLEAN' THEN 'boolean' ELSE 'string' END AS tipo FROM (DESCRIBE zap_dataset)) GROUP BY tipo")
 def _(spark, d):
     df = raw(spark, d)
     return spark.createDataFrame([(k, len(columns_by_type(df, k))) for k in ("number", "boolean", "string")], "tipo string, n int")
@@ -390,7 +400,8 @@ _on_raw(
     lambda df: st.density(df, "area_m2").select(F.round("x", 4).alias("x"), F.round("densidade", 6).alias("densidade")),
 )
 _on_raw("a14_null_patterns", "SELECT " + " || ".join(f"CASE WHEN {c} IS NULL THEN '0' ELSE '1' END" for c in _NULLS) + " AS padrao, count(*) AS n FROM z GROUP BY ALL", lambda df: st.null_patterns(df, list(_NULLS)))
-_FLAG = {k: f"coalesce(regexp_matches(comodidades, '{v}'), false)" for k, v in cl.AMENITIES.items()}
+_TERMS = {k: "|".join(t) for k, t in cl.AMENITIES.items()}
+_FLAG = {k: f"coalesce(regexp_matches(comodidades, '{v}'), false)" for k, v in _TERMS.items()}
 _on_raw("a15_any_true", f"SELECT id, scraped_at, {_FLAG['pets']} OR coalesce(aceita_pets, false) AS pets FROM z", lambda df: cl.pets_allowed(cl.amenity_flags(df)).select("id", "scraped_at", "pets"))
 SQL["a16_counters"] = f"WITH {Z} SELECT (SELECT count(*) FROM z) AS processados, (SELECT count(*) FROM ({_FIRSTID}) f WHERE NOT EXISTS (SELECT 1 FROM listings l WHERE l.listing_id = trim(f.id))) AS inseridos"
 
@@ -420,9 +431,9 @@ def _(spark, d):
     return en.pages_to_keep(_event_pages(spark, d), ["parte"], "pagina", "itens", known, 10).select("parte", "pagina")
 
 
-@query("w3_page_cap", f"WITH {_PAGES} SELECT parte, count(*) AS n FROM pg WHERE pagina <= 3 GROUP BY parte")
+@query("w3_page_cap", f"WITH {_PAGES}, s AS (SELECT *, min(CASE WHEN len(itens) = 0 THEN pagina END) OVER (PARTITION BY parte) AS para FROM pg) SELECT parte, count(*) AS n FROM s WHERE (para IS NULL OR pagina < para) AND pagina <= 3 GROUP BY parte")
 def _(spark, d):
-    return _event_pages(spark, d).where("pagina <= 3").groupBy("parte").agg(F.count("*").alias("n"))
+    return en.pages_to_keep(_event_pages(spark, d), ["parte"], "pagina", "itens", None, 3).groupBy("parte").agg(F.count("*").alias("n"))
 
 
 _on_raw("w4_average_rank", "SELECT id, scraped_at, area_m2, rank() OVER (ORDER BY area_m2) + (count(*) OVER (PARTITION BY area_m2) - 1) / 2.0 AS posto FROM z WHERE area_m2 IS NOT NULL", lambda df: st.with_average_rank(df, "area_m2", "posto").select("id", "scraped_at", "area_m2", "posto"))
@@ -443,7 +454,7 @@ _on_raw("f3_kind_of_item", f"SELECT url, titulo, coalesce(nullif(split_part(spli
 _on_raw("f4_join_list", "SELECT id, scraped_at, array_to_string(list_filter([rua, bairro, cidade], lambda x: x IS NOT NULL), ', ') AS texto FROM z", lambda df: df.select("id", "scraped_at", F.array_join(F.array("rua", "bairro", "cidade"), ", ").alias("texto")))
 _on_raw("f5_title_numbers", "SELECT titulo, " + ", ".join(f"{t} AS {c}" for c, t in _T.items()) + " FROM z", lambda df: df.select("titulo", *(title_number(F.col("titulo"), u).alias(c) for c, u in (("quartos", "quarto[s]"), ("banheiros", "banheiro[s]"), ("vagas", "vaga[s]"), ("area_m2", "m²")))))
 _on_raw("f6_amenity_flags", "SELECT id, scraped_at, " + ", ".join(f"{v} AS {k}" for k, v in _FLAG.items()) + " FROM z", lambda df: cl.amenity_flags(df).select("id", "scraped_at", *cl.AMENITIES))
-_on_raw("f6_amenity_flags_exact", "SELECT id, scraped_at, " + ", ".join(f"coalesce(list_has_any(list_transform(string_split(comodidades, ','), lambda x: trim(x, ' ')), {v.split('|')}), false) AS {k}" for k, v in cl.AMENITIES.items()) + " FROM z", lambda df: cl.amenity_flags(df, exact=True).select("id", "scraped_at", *cl.AMENITIES))
+_on_raw("f6_amenity_flags_exact", "SELECT id, scraped_at, " + ", ".join(f"coalesce(list_has_any(list_transform(string_split(comodidades, ','), lambda x: trim(x, ' ')), {list(v)}), false) AS {k}" for k, v in cl.AMENITIES.items()) + " FROM z", lambda df: cl.amenity_flags(df, exact=True).select("id", "scraped_at", *cl.AMENITIES))
 _on_raw("f7_first_word", f"SELECT titulo, {_FIRST} AS palavra FROM z", lambda df: df.select("titulo", first_word(F.col("titulo")).alias("palavra")))
 _on_raw("f8_address", f"SELECT id, scraped_at, {_ADDR} AS endereco FROM z", lambda df: df.select("id", "scraped_at", address(F.col("rua"), F.col("bairro")).alias("endereco")))
 SQL["f9_split_address"] = "SELECT address, trim(split_part(address, ',', 1)) AS rua, trim(split_part(address, ',', 2)) AS bairro FROM geocoding_cache"
@@ -465,6 +476,8 @@ def _hav(p: tuple[float, float]) -> str:
 
 
 SQL["m1_haversine"] = f"WITH {G} SELECT place_id, " + ", ".join(f"{_hav(p)} AS distancia_{n}_km" for n, p in POINTS.items()) + " FROM g"
+SQL["m1_smoke_points"] = f"WITH {G} SELECT place_id, " + ", ".join(f"{_hav(p)} AS distancia_{n}_km" for n, p in SMOKE_POINTS.items()) + " FROM g"
+QUERIES["m1_smoke_points"] = lambda spark, d: GeodesicDistance(SMOKE_POINTS).transform(cache(spark, d)).select("place_id", *(F.round(f"distancia_{n}_km", 6).alias(f"distancia_{n}_km") for n in SMOKE_POINTS))
 QUERIES["m1_haversine"] = lambda spark, d: GeodesicDistance().transform(cache(spark, d)).select("place_id", *(F.round(f"distancia_{n}_km", 6).alias(f"distancia_{n}_km") for n in POINTS))
 _on_raw("m2_ratios", "SELECT id, scraped_at, " + ", ".join(f"round(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 6) AS {n}" for n, a, b in RATIOS) + " FROM z", lambda df: RatioTransformer().transform(df).select("id", "scraped_at", *(F.round(n, 6).alias(n) for n, _, _ in RATIOS)))
 _on_raw("m3_price_per_m2", "SELECT id, scraped_at, round(preco / nullif(area_m2, 0), 6) AS preco_m2 FROM z", lambda df: df.select("id", "scraped_at", F.round(ratio(F.col("preco"), F.col("area_m2")), 6).alias("preco_m2")))
@@ -553,7 +566,7 @@ def _(spark, d):
     df = cl.rename_kinds(cl.with_target(raw(spark, d)))
     numbers = prep.Chain([("impute_median", ["area_m2", "quartos"]), ("robust_scale", ["area_m2", "quartos"])])
     made = prep.ColumnTransformer([numbers, prep.Chain([("one_hot", ["tipo_imovel"])])], keep=["id", "scraped_at"]).fit(df)
-    path = _folder(spark)
+    path = scratch(spark)
     made.save(spark, path)
     out = prep.Fitted.load(spark, path).transform(df)
     return out.select("id", "scraped_at", *(F.round(c, 6).alias(c) for c in ("area_m2", "quartos")), "tipo_imovel_casa", "tipo_imovel_outro")
@@ -708,7 +721,7 @@ QUERIES["c4_daily"] = lambda spark, d: pl.daily(raw(spark, d), stored(spark, d))
 
 @query("c5_bulk_load", f"WITH {Z} SELECT count(*) AS inseridos, 0 AS de_novo FROM ({_FIRSTID})")
 def _(spark, d):
-    path = _folder(spark)
+    path = scratch(spark)
     a, b = (pl.bulk_load(raw(spark, d), path) for _ in range(2))
     return spark.createDataFrame([(a, b)], "inseridos bigint, de_novo int")
 
@@ -731,14 +744,14 @@ def _(spark, d):
 
 def _stream_ids(spark: SparkSession, d: str) -> str:
     """Ids of the listings landed as files."""
-    path = _folder(spark)
+    path = scratch(spark)
     raw(spark, d).select("id", F.col("scraped_at").try_cast("timestamp").alias("quando"), "bairro").write.parquet(path)
     return path
 
 
 @query("st1_first_seen", "SELECT DISTINCT trim(id) AS id FROM zap_dataset WHERE trim(id) <> ''")
 def _(spark, d):
-    out, check = _folder(spark), _folder(spark)
+    out, check = scratch(spark), scratch(spark)
     stream = ingest.first_seen(ingest.read_listings(spark, _stream_ids(spark, d), spark.createDataFrame([], "id string, quando timestamp, bairro string").schema))
     stream.select("id").writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("id string").parquet(out)
@@ -746,7 +759,7 @@ def _(spark, d):
 
 @query("st2_insert_if_absent", f"WITH {Z} SELECT DISTINCT trim(id) AS listing_id FROM z WHERE trim(id) <> ''")
 def _(spark, d):
-    src, out, check = _folder(spark), _folder(spark), _folder(spark)
+    src, out, check = scratch(spark), scratch(spark), scratch(spark)
     raw(spark, d).write.parquet(src)
     ingest.append_new(ingest.read_listings(spark, src, LISTING_SCHEMA, files_per_batch=2), out, check).awaitTermination()
     return spark.read.parquet(out).select("listing_id")
@@ -754,7 +767,7 @@ def _(spark, d):
 
 @query("st3_window_counts", "SELECT CAST(epoch(time_bucket(INTERVAL '30 days', ts::TIMESTAMP, TIMESTAMP '1970-01-01')) AS BIGINT) AS inicio, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(spark, d):
-    src, out, check = _folder(spark), _folder(spark), _folder(spark)
+    src, out, check = scratch(spark), scratch(spark), scratch(spark)
     events = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     events.write.parquet(src)
     stream = ingest.counts_by_window(ingest.read_listings(spark, src, events.schema), "ts", "event_type", "30 days", "3650 days")
@@ -764,7 +777,7 @@ def _(spark, d):
     return spark.read.schema("inicio bigint, event_type string, n bigint").parquet(out)
 
 
-@query("q9_price_gaps", "SELECT 2400000 AS de, 2800000 AS ate")
+@query("q9_price_gaps", f"SELECT b AS de, c AS ate FROM (SELECT b, lead(a) OVER (ORDER BY a) AS c FROM (VALUES {_RANGES}) t(a, b)) WHERE b < c")
 def _(spark, d):
     return pages.range_gaps(spark)
 

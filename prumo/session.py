@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,10 +64,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _shared:
         _own_dirs.append(tempfile.mkdtemp(prefix="prumo-"))
@@ -74,7 +79,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def drop_cuts() -> None:
-    """Delete the tables that cut() wrote; frames that read them are spent. Runs by itself at the end of the process."""
+    """Delete the tables of cut() and scratch(); frames that read them are spent. Runs by itself at the end of the process."""
     while _cuts:
         spark, path = _cuts.pop()
         try:
@@ -91,13 +96,31 @@ def _remove_own_dirs() -> None:
         shutil.rmtree(d, ignore_errors=True)
 
 
+@contextmanager
+def cuts_dropped() -> Iterator[None]:
+    """Delete, at the end of the block, the tables that were cut in it; what the block made must be written by then."""
+    before = list(_cuts)
+    del _cuts[:]
+    try:
+        yield
+    finally:
+        drop_cuts()
+        _cuts.extend(before)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path for a table in the shared folder, deleted like those of cut()."""
+    path = os.path.join(shared_dir(spark), f"prumo-{uuid.uuid4().hex}")
+    _cuts.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: write once into the shared folder, read back.
 
     Columnar, computed once, and it survives the loss of executors; its file sizes give the planner true statistics.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"prumo-{uuid.uuid4().hex}")
+    path = scratch(spark)
     df.write.parquet(path)
-    _cuts.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

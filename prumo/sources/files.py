@@ -13,16 +13,18 @@ from prumo.functions.cast import safe_float, safe_int
 from prumo.schema import LISTING_SCHEMA
 
 #: Texts that a CSV of listings uses for a missing value (fixed values).
-CSV_NULLS = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "n/a", "<NA>")
+CSV_NULLS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
 
-def scan_csv(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA, columns: Iterable[str] | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType = LISTING_SCHEMA, columns: Iterable[str] | None = None, one_line: bool = False) -> DataFrame:
     """A CSV of listings: quoted line breaks, doubled quotes, declared types; what can't be read as its type is null.
 
+    one_line: no field holds a line break, so that a large file is split among the tasks; else a file is one task.
+
     The fields are read as text, so that one bad number costs a cell and not a row; columns prunes the scan.
     """
     texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(texts).csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    raw = spark.read.schema(texts).csv(path, header=True, multiLine=not one_line, quote='"', escape='"', encoding="UTF-8")
     wanted = [f for f in schema if columns is None or f.name in set(columns)]
 
     def typed(f: T.StructField):

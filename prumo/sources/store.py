@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from prumo.functions.cast import safe_float, safe_int, safe_str, timestamp_or
 from prumo.operators.dedup import first_per_id, only_new
 from prumo.schema import LISTING_SCHEMA, STORE_SCHEMA
+from prumo.session import cut
 
 
 def engine_url(database_url: str | None, folder: str = "data") -> str:
@@ -24,7 +25,9 @@ def engine_url(database_url: str | None, folder: str = "data") -> str:
 
 
 def jdbc_options(database_url: str) -> dict[str, str]:
-    """Options of Spark's JDBC source for a database address with its user and password."""
+    """Options of Spark's JDBC source for a database address with its user and password; an address of JDBC stays as it is."""
+    if database_url.startswith("jdbc:"):
+        return {"url": database_url}
     u = urlsplit(database_url.replace("+psycopg", "").replace("postgres://", "postgresql://"))
     kind = "sqlite" if u.scheme == "sqlite" else u.scheme
     if kind == "sqlite":
@@ -42,6 +45,29 @@ def scan_jdbc(spark: SparkSession, database_url: str, query_table: str, key: str
     return r.load()
 
 
+#: Texts that a database may compare or index need a length there.
+_COLUMN_TYPES = "listing_id VARCHAR(255)"
+
+
+def ensure_jdbc_table(spark: SparkSession, database_url: str, name: str = "listings") -> None:
+    """Make the store's table in a database if it has none. Needs the driver's jar."""
+    empty = spark.createDataFrame([], STORE_SCHEMA)
+    empty.write.format("jdbc").options(**jdbc_options(database_url)).option("dbtable", name).option("createTableColumnTypes", _COLUMN_TYPES).mode("ignore").save()
+
+
+def insert_if_absent_jdbc(batch: DataFrame, database_url: str, *order: str, name: str = "listings", connections: int = 8) -> int:
+    """insert_if_absent() for a table in a database: only keys are read, and new rows written by as many connections.
+
+    A batch that is run again adds nothing, so a load that was cut short is made good by running it again.
+    """
+    spark = batch.sparkSession
+    ensure_jdbc_table(spark, database_url, name)
+    keys = scan_jdbc(spark, database_url, f"(SELECT listing_id FROM {name}) k").toDF("listing_id")
+    new = cut(insertable(batch, keys, *order))
+    new.coalesce(connections).write.format("jdbc").options(**jdbc_options(database_url)).option("dbtable", name).mode("append").save()
+    return new.count()
+
+
 def ensure_table(spark: SparkSession, path: str, schema: T.StructType = STORE_SCHEMA) -> DataFrame:
     """The table in a folder; an empty one is made if the folder has none."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -75,8 +101,6 @@ def insert_if_absent(batch: DataFrame, path: str, *order: str) -> int:
     """Add a batch's new listings to the table in a folder; the number added. Stored rows are never changed."""
     spark = batch.sparkSession
     stored = ensure_table(spark, path).select("listing_id")
-    from prumo.session import cut
-
     new = cut(insertable(batch, stored, *order))
     new.write.mode("append").parquet(path)
     return new.count()
