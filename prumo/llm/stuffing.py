@@ -37,9 +37,9 @@ from prumo.session import cut
 #: Occurrences from which a substring counts as repeated, and in pages that are nearly without clause structure.
 REPEATS, TWICE = 3, 2
 #: A word holds clauses together if it stands in one of 200 sentences, CONTRAST times as often as elsewhere.
-LEAST_SHARE, CONTRAST = 0.005, 4.0
+LEAST_SHARE, CONTRAST = 0.005, 5.0
 #: Shares: of stuffing in a stuffed page; of text without clause structure, and of it what occurs twice.
-STUFFED, BARE, TOLD_TWICE = 0.5, 0.85, 0.1
+STUFFED, BARE, TOLD_TWICE = 0.5, 0.85, 0.05
 _MARKUP = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>|<[a-zA-Z/!][^>]*>")
 _BLOCK = re.compile(r"</?(p|br|div|li|tr|h\d)\b", re.I)
 #: Symbols of a page by group: 1 and 4 words (most words end at white space or a comma: the first alternative takes them
