@@ -53,7 +53,7 @@ def daily(spark: SparkSession, a: argparse.Namespace) -> None:
     """Add a day's new listings, deduplicated, to the store; with --dry-run only show how many there are."""
     if a.store.startswith("jdbc:"):
         store.ensure_jdbc_table(spark, a.store)
-        stored = store.scan_jdbc(spark, a.store, "(SELECT listing_id FROM listings) k").toDF("listing_id")
+        stored = store.jdbc_keys(spark, a.store)
     else:
         stored = store.ensure_table(spark, a.store, STORE_SCHEMA)
     new = pipelines.daily(_read(spark, a.input), stored)

@@ -55,7 +55,7 @@ def exact_quantiles(cells: DataFrame, keys: list[str], shares: Sequence[float],
     found = some.groupBy(*keys, "i").agg(F.max(at).alias("at"), pair[0].alias("a"), pair[1].alias("b"))
     made = found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", _between("at", "a", "b").alias("v")))), lambda s: s["v"]).alias("q"))
     whole = bounds.drop("__near")
-    return whole.join(made, keys, "left") if keys else whole.crossJoin(F.broadcast(made.groupBy().agg(F.first("q").alias("q"))))
+    return whole.join(made, keys, "left") if keys else whole.crossJoin(F.broadcast(made)).withColumn("q", F.when(F.col("n") > 0, F.col("q")))
 
 
 def _holds(first: Column, after: Column, rank: Column) -> Column:

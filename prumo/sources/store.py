@@ -55,6 +55,12 @@ def ensure_jdbc_table(spark: SparkSession, database_url: str, name: str = "listi
     empty.write.format("jdbc").options(**jdbc_options(database_url)).option("dbtable", name).option("createTableColumnTypes", _COLUMN_TYPES).mode("ignore").save()
 
 
+def jdbc_keys(spark: SparkSession, database_url: str, name: str = "listings") -> DataFrame:
+    """The stored ids (listing_id) of a database; no other column is read."""
+    whole = scan_jdbc(spark, database_url, name)
+    return whole.select(next(c for c in whole.columns if c.lower() == "listing_id")).toDF("listing_id")
+
+
 def insert_if_absent_jdbc(batch: DataFrame, database_url: str, *order: str, name: str = "listings", connections: int = 8) -> int:
     """insert_if_absent() for a table in a database: only keys are read, and new rows written by as many connections.
 
@@ -62,7 +68,7 @@ def insert_if_absent_jdbc(batch: DataFrame, database_url: str, *order: str, name
     """
     spark = batch.sparkSession
     ensure_jdbc_table(spark, database_url, name)
-    keys = scan_jdbc(spark, database_url, f"(SELECT listing_id FROM {name}) k").toDF("listing_id")
+    keys = jdbc_keys(spark, database_url, name)
     new = cut(insertable(batch, keys, *order))
     new.coalesce(connections).write.format("jdbc").options(**jdbc_options(database_url)).option("dbtable", name).mode("append").save()
     return new.count()

@@ -113,3 +113,37 @@ def test_tuning_query_runs_all_trials_over_all_folds(spark, monkeypatch):
     monkeypatch.setattr(q.ml_models, "tune", lambda df, key, x, y, make, grid, folds=5: seen.update(grid=grid, folds=folds) or (grid[0], [(g, 1.0) for g in grid]))
     assert q.QUERIES["l6_tuning"](spark, "").count() == 10
     assert len(seen["grid"]) == 10 and seen["folds"] == 5
+
+
+def test_fitted_steps_can_be_saved(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1.0, None), ("y", None, 2.0), ("x", 5.0, 4.0), (None, 9.0, 8.0)], "t string, a double, b double")
+    parts = [prep.Chain([("impute_median", ["a", "b"]), ("standard_scale", ["a", "b"])]), prep.Chain([("impute_mode", ["t"]), ("one_hot", ["t"])])]
+    made = prep.ColumnTransformer(parts, keep=["b"]).fit(df)
+    made.save(spark, str(tmp_path / "f"))
+    again = prep.Fitted.load(spark, str(tmp_path / "f"))
+    want = [tuple(r) for r in made.transform(df).collect()]
+    assert [tuple(r) for r in again.transform(df).collect()] == want and again.transform(df).columns == ["b", "a", "t", "t_y"]
+    assert sorted(r[3] for r in want) == [0, 0, 0, 1] and abs(sum(r[1] for r in want)) < 1e-9
+    points = spark.createDataFrame([(0.0, 0.0), (0.1, 0.0), (9.0, 9.0)], "latitude double, longitude double")
+    model = ClusterTransformer(2).fit(points)
+    model.save(spark, str(tmp_path / "c"))
+    same = type(model).load(spark, str(tmp_path / "c"))
+    assert same.transform(points).collect() == model.transform(points).collect()
+    with pytest.raises(Exception):
+        model.transform(spark.createDataFrame([(None, 1.0)], "latitude double, longitude double")).collect()
+
+
+def test_ridge_against_the_closed_form(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2)) * [1.0, 50.0]
+    y = x @ [4.0, -0.3] + 10 + rng.normal(size=200)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, y)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    for alpha in (0.0, 0.1, 30.0):
+        m = models.linear(["a", "b"], "y", alpha).fit(df)
+        c = x - x.mean(0)
+        want = np.linalg.solve(c.T @ c + alpha * np.eye(2), c.T @ (y - y.mean()))
+        assert np.allclose(m.coefficients, want) and np.isclose(m.intercept, y.mean() - x.mean(0) @ want)
+    assert m.transform(df).count() == 200
+    # features that follow from others do no harm
+    twice = df.withColumn("a2", F.col("a") * 2)
+    assert np.allclose([r.y_pred for r in models.linear(["a", "a2", "b"], "y").fit(twice).transform(twice).collect()], [r.y_pred for r in models.linear(["a", "b"], "y").fit(df).transform(df).collect()])
