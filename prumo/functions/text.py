@@ -36,19 +36,33 @@ def wide_folds() -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
+#: Wide characters of fold(); normalize_text() takes all of wide_folds().
+_COMMON_WIDE = "¼½¾ﬁﬂﬀﬃﬄ…№℃㎡㎢™"
+
+
 def _widened(c: Column) -> Column:
     """c with the characters of wide_folds() written out; texts without any are left as they are."""
     wide = wide_folds()
     table = F.str_to_map(F.lit("\x02".join(f"{a}\x01{b}" for a, b in wide)), F.lit("\x02"), F.lit("\x01"))
     letters = F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    return F.when(c.rlike("[" + "".join(a for a, _ in wide) + "]"), F.array_join(letters, "")).otherwise(c)
+    # all beyond the Latin blocks, and the few within them: a class of ranges is tested at once, one of all characters is not
+    some = "".join(a for a, _ in wide if a < "\u0250")
+    return F.when(c.rlike(f"[{some}\u0250-\U0010ffff]"), F.array_join(letters, "")).otherwise(c)
 
 
-def ascii_only(c: Column) -> Column:
-    """Compatibility-decompose and drop what is not ASCII, as Unicode NFKD + ASCII encoding does for Latin text."""
+def ascii_only(c: Column, whole: bool = False) -> Column:
+    """Compatibility-decompose and drop what is not ASCII, as Unicode NFKD + ASCII encoding does.
+
+    Without whole, of the characters that become several only the common ones are written out, in compiled code.
+    """
     src, dst = fold_table()
-    plain = F.regexp_replace(F.translate(_widened(c), src, dst), "[^\\x00-\\x7F]", "")
-    return F.when(c.rlike("[^\\x00-\\x7F]"), plain).otherwise(c)
+    if whole:
+        c = _widened(c)
+    else:
+        for a, b in wide_folds():
+            if a in _COMMON_WIDE:
+                c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(F.translate(c, src, dst), "[^\\x00-\\x7F]", "")
 
 
 def fold(c: Column) -> Column:
@@ -82,7 +96,7 @@ def normalize_text(c: Column) -> Column:
     ASCII, lower case, hyphens as blanks; the syllables da, do, de are taken out wherever they stand, then das and dos;
     the short forms r., av., pq., qd. are written out; white space is squeezed. Null and empty give the empty text.
     """
-    t = F.replace(fold(F.coalesce(c, F.lit(""))), F.lit("-"), F.lit(" "))
+    t = F.replace(F.lower(ascii_only(F.coalesce(c, F.lit("")), whole=True)), F.lit("-"), F.lit(" "))
     for syllable in ("da", "do", "de", "das", "dos"):
         t = F.replace(t, F.lit(syllable), F.lit(""))
     for short, full in (("r", "rua"), ("av", "avenida"), ("pq", "parque"), ("qd", "quadra")):

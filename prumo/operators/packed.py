@@ -1,9 +1,15 @@
 """Several values packed in one field: one row per value, with its position.
 
-Method: quoted spans are atomic; the text between sure separators is a chunk; inside a chunk, uncertain delimiters
-(slash and dash) open a lattice of possible splits. Expectation-maximisation over the chunks of the whole column learns
-how often each value occurs and how often each class of delimiter separates; the Viterbi path through a chunk's lattice
-is its split.
+Method: expectation-maximisation over the whole column learns how often each value occurs and how often each class of
+delimiter separates; the Viterbi path through the lattice of a text's possible splits is its split; quoted spans are
+atomic. Two models say how likely a value is:
+
+Model, for values that come again and again (amenities): by the frequency of the value. Commas, semicolons, bars, tabs,
+line ends and bullets outside quotes are sure separators; slash and dash, which also stand inside values, open the lattice.
+
+HeadModel, for values that are nearly all different (web addresses): by the head of the value, its first letters. Every
+delimiter opens the lattice, and what follows it either begins a value, with a head like those at the beginning of fields,
+or goes on with one. No head is known beforehand.
 
 Defined results: a null, empty or blank field gives no row; empty pieces are left out and not counted; repeated values
 are kept; an unclosed quote is an ordinary character; other columns of the input are ignored, whatever their names.
@@ -29,8 +35,11 @@ SOFT = "/–-"
 
 _TOKENS = {q: re.compile(rf"{q}(?:[^{q}\\]|\\.|{q}{q})*{q}|[{HARD}]|[^{q}{HARD}]+|{q}", re.S) for q in ("\"", "'")}
 _SOFT = re.compile(rf"\s*(?<!\S)[{SOFT}](?!\S)\s*|[{SOFT}]")
-_HTTP_HEAD = re.compile(r"(?:^|(?<=[\s,;|\"'\[{•]))(?=https?://)")
-_TAIL = " \t\r\n,;|•\"'"
+#: Runs of delimiters and quotes between the pieces of a field of different values; brackets count at a piece's beginning.
+_RUN = re.compile(r"[\s,;|•\"']+[\[{]*")
+_HEAD = re.compile(r"[A-Za-z]+:?|\d|.", re.S)
+#: EM stops when the likelihood of a character grows by less than this, or after so many rounds.
+LEAST_GAIN, MOST_ROUNDS = 1e-5, 30
 
 
 def unquote(s: str, q: str) -> str:
@@ -109,30 +118,41 @@ def pieces(atoms: list[tuple[str, bool]]) -> tuple[list[str], list[bool], list[s
     return texts, quoted, marks, kinds
 
 
+#: Pieces that a value of the lattice may always have; longer ones are tried whole, and wherever they are known.
+SHORT = 4
+
+
 class Model:
     """Value frequencies and separator rates; unknown values get a small share that shrinks with their pieces."""
 
-    def __init__(self, counts: dict[str, float], rates: dict[str, float], total: float, discount: float = 0.75, span: int = 4):
-        self.counts, self.rates, self.total, self.discount, self.span = counts, rates, max(total, 1.0), discount, span
+    def __init__(self, counts: dict[str, float], rates: dict[str, float], total: float, discount: float = 0.75):
+        self.counts, self.rates, self.total, self.discount = counts, rates, max(total, 1.0), discount
+        #: Numbers of pieces a value is tried with at any place: up to SHORT, and those of the known longer ones.
+        long = {1 + len(_SOFT.findall(v)) for v, c in counts.items() if c > discount}
+        self.lengths = [*range(1, SHORT + 1), *sorted(n for n in long if n > SHORT)]
 
     def log_value(self, v: str, n: int) -> float:
         c = max(self.counts.get(v, 0.0) - self.discount, 0.0)
-        return math.log((c + 0.05 * 0.05 ** (n - 1)) / (self.total + 1))
+        return (math.log(c + 0.05**n) if n < 100 or c else n * math.log(0.05)) - math.log(self.total + 1)
 
     def lattice(self, atoms: list[tuple[str, bool]]) -> tuple[list[str], list[bool], list[str], list[str], dict[tuple[int, int], float]]:
         texts, quoted, marks, kinds = pieces(atoms)
         n = len(texts)
+        # sums over the delimiters before each piece: sure cuts, and what it costs to cut nowhere
+        sure, kept = [0, 0], [0.0, 0.0]
+        for k in kinds:
+            sure.append(sure[-1] + (k == ""))
+            kept.append(kept[-1] + (math.log(1 - self.rates.get(k, 0.5)) if k else 0.0))
         edges = {}
         for i in range(n):
-            score = 0.0
-            for j in range(i + 1, min(n, i + self.span) + 1):
-                if j > i + 1:
-                    k = kinds[j - 2]
-                    if k == "":
-                        break
-                    score += math.log(1 - self.rates.get(k, 0.5))
+            for size in self.lengths if i or n in self.lengths else [*self.lengths, n]:
+                j = i + size
+                if j > n or sure[j] > sure[i + 1]:
+                    break
+                if size > n - i:
+                    break
                 out = math.log(self.rates.get(kinds[j - 1], 0.5)) if j < n and kinds[j - 1] else 0.0
-                edges[i, j] = self.log_value(self.join(texts, marks, i, j), j - i) + score + out
+                edges[i, j] = self.log_value(self.join(texts, marks, i, j), size) + kept[j] - kept[i + 1] + out
         return texts, quoted, marks, kinds, edges
 
     @staticmethod
@@ -159,8 +179,8 @@ class Model:
             j = back[j]
         return [self.join(texts, marks, i, j) for i, j in reversed(cuts)]
 
-    def expect(self, atoms: list[tuple[str, bool]]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
-        """Expected uses of each value and, of each delimiter class, expected cuts and occurrences (forward-backward)."""
+    def expect(self, atoms: list[tuple[str, bool]]) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
+        """Expected uses of each value, of each delimiter class expected cuts and occurrences, and the log-likelihood (forward-backward)."""
         texts, quoted, marks, kinds, edges = self.lattice(atoms)
         n = len(texts)
         fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
@@ -181,7 +201,7 @@ class Model:
             if kind:
                 classes[kind][0] += cut_at[k + 1]
                 classes[kind][1] += 1
-        return values, {k: (a, b) for k, (a, b) in classes.items()}
+        return values, {k: (a, b) for k, (a, b) in classes.items()}, fwd[n]
 
 
 def _add(a: float, b: float) -> float:
@@ -207,12 +227,12 @@ def _decode(s: str) -> list[tuple[str, bool]]:
     return [(x[1:], x[0] == "q") for x in s.split(_KEY)]
 
 
-def learn(df: DataFrame, column: str, rounds: int = 4, lexicon_limit: int = 200_000, span: int = 4) -> Model:
-    """Learn value frequencies and separator rates from the whole column.
+def learn(df: DataFrame, column: str, lexicon_limit: int = 200_000) -> Model:
+    """Learn value frequencies and separator rates from the whole column, until the likelihood stands still.
 
     Chunks are counted in the tasks before they are shuffled. The driver holds the lexicon of the lexicon_limit most
-    frequent values of the column (the proven bound of what is broadcast); rarer values keep the model's share for
-    unknown ones, so a larger column never makes it larger. No row is left out of the counts.
+    frequent values of the column (the proven bound of what is broadcast); rarer values have the model's share of unknown
+    ones. All values count in the total.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,18 +246,22 @@ def learn(df: DataFrame, column: str, rounds: int = 4, lexicon_limit: int = 200_
 
     counted = df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "chunk string, n long")
     counted = cut(counted.groupBy("chunk").agg(F.sum("n").alias("n")))
-    model = Model({}, {}, 1.0, span=span)
-    for _ in range(rounds):
-        now = model
+    model, last = Model({}, {}, 1.0), -math.inf
+    for _ in range(MOST_ROUNDS):
+        shared = df.sparkSession.sparkContext.broadcast(model)
 
-        def expect(batches: Iterator[pa.RecordBatch], m: Model = now) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = shared.value
             for b in batches:
                 values: dict[str, float] = defaultdict(float)
                 classes: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+                likely = [0.0, 0.0]
                 for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     atoms = _decode(s)
                     if _soft(atoms):
-                        got, sep = m.expect(atoms)
+                        got, sep, score = m.expect(atoms)
+                        likely[0] += score * n
+                        likely[1] += len(s) * n
                         for v, p in got.items():
                             values[v] += p * n
                         for k, (a, c) in sep.items():
@@ -246,35 +270,143 @@ def learn(df: DataFrame, column: str, rounds: int = 4, lexicon_limit: int = 200_
                     elif v := atoms[0][0].strip():
                         if not (atoms[0][1] and _SOFT.search(v)):
                             values[v] += n
-                rows = [("v", v, c, 0.0) for v, c in values.items()] + [("d", k, a, c) for k, (a, c) in classes.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)] if rows else [pa.array([], t) for t in (pa.string(), pa.string(), pa.float64(), pa.float64())], names=["kind", "key", "a", "b"])
-
-        stats = counted.mapInArrow(expect, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        # "d" sorts first: the few delimiter classes, then the values by count
-        # values at or under the discount count nothing in the model
-        rows = stats.where((F.col("kind") == "d") | (F.col("a") > model.discount)).orderBy(F.col("kind"), F.col("a").desc(), F.col("key")).limit(lexicon_limit).collect()
-        counts = {r.key: r.a for r in rows if r.kind == "v"}
+                rows = [("v", v, c, 0.0) for v, c in values.items()] + [("d", k, a, c) for k, (a, c) in classes.items()] + [("a", "", *likely)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["kind", "key", "a", "b"])
+
+        stats = cut(counted.mapInArrow(expect, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+        shared.unpersist()
+        # "a" and "d" sort first: the likelihood, the few delimiter classes, then the values by count; values at or under
+        # the discount count nothing in the model
+        rows = stats.where((F.col("kind") != "v") | (F.col("a") > model.discount)).orderBy(F.col("kind"), F.col("a").desc(), F.col("key")).limit(lexicon_limit).collect()
+        total = stats.where("kind = 'v'").agg(F.sum("a")).first()[0] or 0.0
         rates = {r.key: min(max(r.a / r.b, 0.005), 0.995) for r in rows if r.kind == "d" and r.b}
-        model = Model(counts, rates, sum(counts.values()), span=span)
+        model = Model({r.key: r.a for r in rows if r.kind == "v"}, rates, total)
+        now = next((r.a / r.b for r in rows if r.kind == "a" and r.b), 0.0)
+        if now - last < LEAST_GAIN:
+            break
+        last = now
     return model
 
 
-def split_anchored(s: str) -> list[str]:
-    """Split where a delimiter is followed by http; what precedes the first address counts as a value of its own."""
+#: What a head counts that was never seen: values begin in few ways, and go on in many.
+NEW_BEGIN, NEW_INSIDE = 1e-6, 1e-3
+
+
+class HeadModel:
+    """How often each head begins a value or goes on with one, and how often each class of delimiters separates."""
+
+    def __init__(self, begins: dict[str, float], goes_on: dict[str, float], rates: dict[str, float]):
+        self.begins, self.goes_on, self.rates = begins, goes_on, rates
+        self.sums = sum(begins.values()) + 1.0, sum(goes_on.values()) + 1.0
+        self.cuts: dict[tuple[str, str], bool] = {}
+
+    def odds(self, kind: str, head: str) -> tuple[float, float]:
+        """Likelihoods of a piece with this head after this delimiter: it begins a value, it goes on with one."""
+        rate = self.rates.get(kind, 0.5)
+        return rate * (self.begins.get(head, 0.0) + NEW_BEGIN) / self.sums[0], (1 - rate) * (self.goes_on.get(head, 0.0) + NEW_INSIDE) / self.sums[1]
+
+    def split(self, s: str) -> list[str]:
+        """The Viterbi path: what follows a delimiter depends on the two alone, so each step takes the likelier side."""
+        text = bare(s)
+        out: list[str] = []
+        start = end = 0
+        for a, z, kind, head in steps(text):
+            known = self.cuts.get((kind, head))
+            if known is None:
+                begin, on = self.odds(kind, head)
+                known = self.cuts[kind, head] = begin > on
+                if len(self.cuts) > 100_000:
+                    self.cuts.clear()
+            if end and known:
+                out.append(text[start:end])
+                start = a
+            elif not end:
+                start = a
+            end = z
+        return [*out, text[start:end]] if end else []
+
+
+def bare(s: str) -> str:
+    """A field without array brackets and escapes of slashes and quotes."""
     t = s.strip()
     if "\\" in t:
         t = t.replace("\\/", "/").replace('\\"', '"')
-    if len(t) >= 2 and (t[0], t[-1]) in (("[", "]"), ("{", "}")):
-        t = t[1:-1]
-    at = [m.start() for m in _HTTP_HEAD.finditer(t)]
-    out = [t[: at[0]] if at else t] + [t[i:j] for i, j in zip(at, [*at[1:], len(t)])]
-    return [v for v in (x.strip(_TAIL) for x in out) if v]
+    return t[1:-1] if len(t) >= 2 and (t[0], t[-1]) in (("[", "]"), ("{", "}")) else t
+
+
+def steps(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """Begin and end of each piece of a field, the class of the delimiters before it (empty for the first), and its head."""
+    at, kind, n = 0, "", len(text)
+    m = _RUN.match(text)
+    if m:
+        at = m.end()
+    while at < n:
+        m = _RUN.search(text, at)
+        end = m.start() if m else n
+        yield at, end, kind, _HEAD.match(text, at)[0].lower()
+        if not m:
+            return
+        at = m.end()
+        kind = "".join(sorted(set(m[0].replace("\r", "\n"))))
+
+
+#: Heads that are rarer than this share of a column's pieces count as one.
+HEAD_SHARE = 1e-5
+
+
+def learn_heads(df: DataFrame, column: str) -> HeadModel:
+    """Learn heads and separator rates from the whole column.
+
+    The pieces are counted by delimiter class and head in the tasks; these counts say all that EM needs, so its rounds run
+    over their table: 1 / HEAD_SHARE rows at most.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter[tuple[str, str]] = Counter()
+            for s in b.column(0).to_pylist():
+                if s:
+                    seen.update((k, h) for _, _, k, h in steps(bare(s)))
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen]), pa.array([h for _, h in seen]), pa.array(list(seen.values()), pa.int64())], names=["classe", "cabeca", "n"])
+
+    counted = cut(df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "classe string, cabeca string, n long").groupBy("classe", "cabeca").agg(F.sum("n").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") >= HEAD_SHARE * total
+    rows = counted.groupBy("classe", F.when(often, F.col("cabeca")).otherwise("").alias("cabeca")).agg(F.sum("n").alias("n")).collect()
+    first: dict[str, float] = {r.cabeca: float(r.n) for r in rows if r.classe == ""}
+    model = HeadModel(first, {}, {})
+    for _ in range(MOST_ROUNDS):
+        begins, goes_on = defaultdict(float, first), defaultdict(float)
+        classes: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+        for r in rows:
+            if r.classe:
+                a, b = model.odds(r.classe, r.cabeca)
+                p = a / (a + b)
+                begins[r.cabeca] += p * r.n
+                goes_on[r.cabeca] += (1 - p) * r.n
+                classes[r.classe][0] += p * r.n
+                classes[r.classe][1] += r.n
+        rates = {k: min(max(a / b, 0.005), 0.995) for k, (a, b) in classes.items()}
+        done = all(abs(rates[k] - model.rates.get(k, 0.5)) < LEAST_GAIN for k in rates)
+        model = HeadModel(dict(begins), dict(goes_on), rates)
+        if done:
+            break
+    return model
+
+
+def split_anchored(s: str) -> list[str]:
+    """The values of a field by a model that knows that web addresses begin with http."""
+    return _ADDRESSES.split(s)
+
+
+_ADDRESSES = HeadModel({"https:": 1e6, "http:": 1e6}, {}, {})
 
 
-def splitter(model: Model | None) -> Callable[[str], list[str]]:
-    """A function that splits one field; without a model, fields are lists of web addresses."""
-    if model is None:
-        return split_anchored
+def splitter(model: Model | HeadModel) -> Callable[[str], list[str]]:
+    """A function that splits one field."""
+    if isinstance(model, HeadModel):
+        return model.split
     known: dict[str, list[str]] = {}
 
     def split(s: str) -> list[str]:
@@ -295,17 +427,18 @@ def splitter(model: Model | None) -> Callable[[str], list[str]]:
     return split
 
 
-def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | None]) -> DataFrame:
+def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | HeadModel]) -> DataFrame:
     """One row (keys, campo, posicao, valor) per value packed in each of the fields.
 
-    fields maps a column to its model, or to None where every value starts with http. All fields are split in one pass.
+    fields maps a column to its model. All fields are split in one pass.
     """
+    shared = df.sparkSession.sparkContext.broadcast(fields)
     names = list(fields)
     flat = df.select(*keys, *names)
     schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys) + ", campo string, posicao int, valor string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits = {c: splitter(m) for c, m in fields.items()}
+        splits = {c: splitter(m) for c, m in shared.value.items()}
         for b in batches:
             take: list[int] = []
             campo: list[int] = []

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from prumo.functions.listing import STAND_IN_PATTERN, STAND_INS, in_condominium, is_place_name, kind
 from prumo.functions.text import fold, squeeze
 from prumo.operators.hotdeck import Target, hot_deck
-from prumo.operators.packed import learn, split_packed
+from prumo.operators.packed import learn, learn_heads, split_packed
 from prumo.operators.spatial import EARTH_M, nearby
 from prumo.session import cut, table
 
@@ -68,8 +68,7 @@ def p4_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values packed in comodidades and fotos_urls, one per row with its position."""
     raw = table(spark, sf_dir, "zap_dataset").select("id", "scraped_at", "comodidades", "fotos_urls")
-    model = learn(raw, "comodidades")
-    return split_packed(raw.distinct(), ["id", "scraped_at"], {"comodidades": model, "fotos_urls": None})
+    return split_packed(raw.distinct(), ["id", "scraped_at"], {"comodidades": learn(raw, "comodidades"), "fotos_urls": learn_heads(raw, "fotos_urls")})
 
 
 QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_filled": p4_filled, "p4_donors": p4_donors, "p5_found": p5_found}

@@ -163,3 +163,14 @@ def test_statistics_match_pandas(spark):
     assert rows(st.histogram(df, "a", 3)) == [(1, 3), (2, 1), (3, 1)]
     assert rows(st.null_patterns(df, ["a", "k"])) == [("00", 1), ("11", 5)]
     assert st.null_correlation(df, ["a", "k"]).first().r == 1.0
+
+
+def test_the_normal_form_of_every_character_is_that_of_unicode(spark):
+    import unicodedata
+
+    from prumo.functions.text import ascii_only
+
+    every = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c <= 0xDFFF]
+    df = spark.createDataFrame([(f"a{c}B",) for c in every], "t string")
+    for r in df.select("t", ascii_only(F.col("t"), whole=True).alias("f")).collect():
+        assert r.f == unicodedata.normalize("NFKD", r.t).encode("ascii", "ignore").decode()

@@ -2,7 +2,7 @@ from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from prumo.operators.packed import learn, split_anchored, split_packed, splitter
+from prumo.operators.packed import learn, learn_heads, split_anchored, split_packed, splitter
 
 WORDS = ["Pool", "Gym", "Spa", "Water/Gas Meter", "Semi-Covered Garage", "Wi-Fi/Internet", "Lake View", "Closet", "Garden"]
 
@@ -46,7 +46,7 @@ def test_rows_positions_and_edge_tables(spark):
     model = learn(df, "comodidades")
     long = ", ".join(["Pool"] * 30000)
     t = spark.createDataFrame([("a", None, "Pool, Pool", None, "x"), ("b", "s", None, "", "x"), (None, "s", "", "http://e.example/1.jpg", "x"), ("c", "s", long, None, "x")], "id string, scraped_at string, comodidades string, fotos_urls string, campo string")
-    out = split_packed(t, ["id", "scraped_at"], {"comodidades": model, "fotos_urls": None})
+    out = split_packed(t, ["id", "scraped_at"], {"comodidades": model, "fotos_urls": learn_heads(t, "fotos_urls")})
     assert out.columns == ["id", "scraped_at", "campo", "posicao", "valor"]
     got = rows(out.where("id IS NULL OR id <> 'c'"))
     assert got == sorted([("a", None, "comodidades", 1, "Pool"), ("a", None, "comodidades", 2, "Pool"), (None, "s", "fotos_urls", 1, "http://e.example/1.jpg")], key=repr)
@@ -61,3 +61,22 @@ def test_round_trip_of_plain_values(values, sep):
 
     assert splitter(Model({}, {}, 1.0))(sep.join(values)) == values
     assert splitter(Model({}, {}, 1.0))(sep.join(f'"{v}"' for v in values)) == values
+
+
+def test_heads_are_learned_from_the_column(spark):
+    # no scheme is known beforehand: values begin with file: or ftp:, and go on after commas and blanks
+    value = [f"file://h/{k},w{k % 3}/a b{k % 5}.png" if k % 2 else f"ftp://g/{k};v={k % 4}" for k in range(60)]
+    seps = (", ", ";", " ", "\n", ",")
+    data = [(seps[k % 5].join(value[k : k + 3]),) for k in range(57)] + [(str(value[:2]),), ("",), (None,)]
+    split = splitter(learn_heads(spark.createDataFrame(data, "f string"), "f"))
+    for k, (s,) in enumerate(data[:57]):
+        assert split(s) == value[k : k + 3]
+    assert split(str(value[:2])) == value[:2] and split(" ") == []
+    assert splitter(learn_heads(spark.createDataFrame([], "f string"), "f"))("ftp://a") == ["ftp://a"]
+
+
+def test_values_of_many_pieces_are_learned(spark):
+    data = [("A/B/C/D/E",)] * 300 + [("A/B/C/D/E, Pool",)] * 20 + [("Gym / A/B/C/D/E / Spa",)] * 3 + [("Pool, Gym",)] * 80 + [("Gym, Spa",)] * 80 + [("x" + "/x" * 30_000,)]
+    split = splitter(learn(spark.createDataFrame(data, "f string"), "f"))
+    assert split("A/B/C/D/E") == ["A/B/C/D/E"] and split("A/B/C/D/E; Pool / Gym") == ["A/B/C/D/E", "Pool", "Gym"]
+    assert split("Gym / A/B/C/D/E / Spa") == ["Gym", "A/B/C/D/E", "Spa"]
