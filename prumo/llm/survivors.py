@@ -108,13 +108,14 @@ def broken_off(texts: DataFrame) -> DataFrame:
 def survivors(raw: DataFrame) -> DataFrame:
     """Rows (id, campo, scraped_at, valor): per field with several values, the scrape and value that survive."""
     values = parts(distinct_values(raw))
-    # a text may be broken off inside a tag, so the mark goes first
-    text = F.regexp_replace(F.regexp_replace("valor", CUT_MARKS, ""), r"(?i)<br\s*/?>|</?(p|b|i|strong)>|<[a-z/]*\s*$", " ")
-    core = F.when(F.col("campo") == "descricao_completa", squeeze(text)).otherwise(squeeze(fold(F.regexp_replace("valor", CUT_MARKS, ""))))
-    v = values.withColumn("nucleo", F.coalesce(core, F.lit("")))
+    # the marks of a break are looked for once; a text may be broken off inside a tag, so they go first
+    v = values.withColumn("aparado", F.regexp_replace("valor", CUT_MARKS, ""))
+    text = F.regexp_replace("aparado", r"(?i)<br\s*/?>|</?(p|b|i|strong)>|<[a-z/]*\s*$", " ")
+    core = F.when(F.col("campo") == "descricao_completa", squeeze(text)).otherwise(squeeze(fold(F.col("aparado"))))
+    v = v.withColumn("nucleo", F.coalesce(core, F.lit("")))
     street_only = F.col("nucleo").rlike(r"^(rua|r|av|avenida|aven|alameda|al|travessa|trav|tv|praca|pca)\.?$")
     missing = F.when(F.col("campo") == "bairro", ~is_place_name(F.col("valor"), F.col("cidade"))).when(F.col("campo") == "fotos_urls", F.size("fotos") == 0).when(F.col("campo") == "rua", is_stand_in(F.col("valor")) | street_only).otherwise(is_stand_in(F.col("valor")) | (F.col("nucleo") == ""))
-    values = v = cut(v.withColumn("falta", F.coalesce(missing, F.lit(True))))
+    values = v = cut(v.withColumn("falta", F.coalesce(missing, F.lit(True))).drop("aparado"))
     v = v.join(broken_off(v.where("NOT falta AND nucleo <> ''").select("id", "campo", "nucleo").distinct()).withColumn("quebrado", F.lit(True)), ["id", "campo", "nucleo"], "left")
     fewer = contained(values.where("campo = 'fotos_urls' AND size(fotos) > 0")).select("id", F.col("valor").alias("valor"), F.lit("fotos_urls").alias("campo"), F.lit(True).alias("menos_fotos"))
     v = v.join(fewer, ["id", "campo", "valor"], "left")
