@@ -118,7 +118,7 @@ def pieces(atoms: list[tuple[str, bool]]) -> tuple[list[str], list[bool], list[s
     return texts, quoted, marks, kinds
 
 
-#: Pieces that a value of the lattice may always have; longer ones are tried whole, and wherever they are known.
+#: Pieces that a value of the lattice may always have; longer ones are tried where they fill a chunk, and wherever they are known.
 SHORT = 4
 
 
@@ -135,7 +135,7 @@ class Model:
         c = max(self.counts.get(v, 0.0) - self.discount, 0.0)
         return (math.log(c + 0.05**n) if n < 100 or c else n * math.log(0.05)) - math.log(self.total + 1)
 
-    def lattice(self, atoms: list[tuple[str, bool]]) -> tuple[list[str], list[bool], list[str], list[str], dict[tuple[int, int], float]]:
+    def lattice(self, atoms: list[tuple[str, bool]], seen: float = 0.0) -> tuple[list[str], list[bool], list[str], list[str], dict[tuple[int, int], float]]:
         texts, quoted, marks, kinds = pieces(atoms)
         n = len(texts)
         # sums over the delimiters before each piece: sure cuts, and what it costs to cut nowhere
@@ -145,14 +145,18 @@ class Model:
             kept.append(kept[-1] + (math.log(1 - self.rates.get(k, 0.5)) if k else 0.0))
         edges = {}
         for i in range(n):
-            for size in self.lengths if i or n in self.lengths else [*self.lengths, n]:
+            for size in self.lengths:
                 j = i + size
                 if j > n or sure[j] > sure[i + 1]:
                     break
-                if size > n - i:
-                    break
+                value = self.join(texts, marks, i, j)
+                if size > SHORT and value not in self.counts:
+                    continue
                 out = math.log(self.rates.get(kinds[j - 1], 0.5)) if j < n and kinds[j - 1] else 0.0
-                edges[i, j] = self.log_value(self.join(texts, marks, i, j), size) + kept[j] - kept[i + 1] + out
+                edges[i, j] = self.log_value(value, size) + kept[j] - kept[i + 1] + out
+        # a long chunk most of whose pieces are no values by themselves may be one: as often as it was seen
+        if seen and n > SHORT and not sure[n] and (0, n) not in edges and self.counts and 2 * sum(self.counts.get(t, 0.0) <= self.discount for t in texts) > n:
+            edges[0, n] = math.log((seen + 0.05**n) / (self.total + 1)) + kept[n] - kept[1]
         return texts, quoted, marks, kinds, edges
 
     @staticmethod
@@ -170,7 +174,7 @@ class Model:
         texts, _, marks, _, edges = self.lattice(atoms)
         n = len(texts)
         best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-        for (i, j), s in edges.items():  # i ascends
+        for (i, j), s in sorted(edges.items()):
             if best[i] + s > best[j]:
                 best[j], back[j] = best[i] + s, i
         cuts, j = [], n
@@ -179,14 +183,15 @@ class Model:
             j = back[j]
         return [self.join(texts, marks, i, j) for i, j in reversed(cuts)]
 
-    def expect(self, atoms: list[tuple[str, bool]]) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
+    def expect(self, atoms: list[tuple[str, bool]], seen: float = 0.0) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
         """Expected uses of each value, of each delimiter class expected cuts and occurrences, and the log-likelihood (forward-backward)."""
-        texts, quoted, marks, kinds, edges = self.lattice(atoms)
+        texts, quoted, marks, kinds, edges = self.lattice(atoms, seen)
         n = len(texts)
         fwd, bwd = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
-        for (i, j), s in edges.items():
+        steps_ = sorted(edges.items())
+        for (i, j), s in steps_:
             fwd[j] = _add(fwd[j], fwd[i] + s)
-        for (i, j), s in reversed(edges.items()):
+        for (i, j), s in reversed(steps_):
             bwd[i] = _add(bwd[i], bwd[j] + s)
         values: dict[str, float] = defaultdict(float)
         cut_at = [0.0] * (n + 1)
@@ -259,7 +264,7 @@ def learn(df: DataFrame, column: str, lexicon_limit: int = 200_000) -> Model:
                 for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     atoms = _decode(s)
                     if _soft(atoms):
-                        got, sep, score = m.expect(atoms)
+                        got, sep, score = m.expect(atoms, n)
                         likely[0] += score * n
                         likely[1] += len(s) * n
                         for v, p in got.items():
