@@ -52,7 +52,8 @@ _SYMBOL = re.compile(
 )
 #: Where a symbol may reach across white space.
 _ACROSS = re.compile(r"\s:|(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s", re.I)
-_UNIT = re.compile(r"([.!?]+(?=\s|$)|\n+|[|•·;]|->)")
+_BREAKS = ("|", "•", "·", ";", "->")
+_STOP = re.compile(r"[.!?]+(?=\s|$)")
 _WORDS = re.compile(r"\w+").findall
 
 Symbol = tuple[int, str, int, bool]  # group, text, size, whether a word with a capital
@@ -76,12 +77,12 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len, self.count = [-1], [0], [0]
         nxt, link, length, count = self.next, self.link, self.len, self.count
-        often = Counter(seq)
+        rare = {c for c, n in Counter(seq).items() if n < least}
         last = 0
         self.state = []
         note = self.state.append
         for c in seq:
-            if often[c] < least:
+            if c in rare:
                 last = 0
                 note(0)
                 continue
@@ -201,7 +202,7 @@ def symbols(text: str) -> list[Symbol]:
     if len(_tokens) > 300_000:
         _tokens.clear()
         _symbols.clear()
-    if _ACROSS.search(text):
+    if ":" in text and _ACROSS.search(text):
         return [_symbol(m) for m in _SYMBOL.finditer(text)]
     out: list[Symbol] = []
     lines = text.split("\n")
@@ -241,8 +242,10 @@ class Measures(NamedTuple):
 
 def _covered(seq: list[int], size: list[int], times: int) -> list[int]:
     """The sizes of the symbols that are covered, or a link or tag: the widest substring reaches back from its end."""
-    far = Automaton(seq, times).repeated(times)
     hit = [0] * len(seq)
+    if max(Counter(seq).values()) < times and min(seq) > 1:
+        return hit
+    far = Automaton(seq, times).repeated(times)
     reach = 0
     for i in range(len(seq) - 1, -1, -1):
         reach -= 1
@@ -283,6 +286,14 @@ def measures(text: str | None, clauses: Clauses = Clauses()) -> Measures:
     return Measures(total, sum(hit) / total, bare / total, stuffing / total, twice)
 
 
+_FIRST = re.compile(r"\w")
+
+
+def _first_capital(unit: str) -> bool:
+    m = _FIRST.search(unit)
+    return bool(m) and m[0].isupper()
+
+
 def counted(texts: Iterable[str | None]) -> tuple[Counter[str], Counter[str], int]:
     """How often each word stands in units written as sentences, and in others, and the number of those sentences."""
     inside: Counter[str] = Counter()
@@ -291,14 +302,23 @@ def counted(texts: Iterable[str | None]) -> tuple[Counter[str], Counter[str], in
     for text in texts:
         if not text or text.isspace():
             continue
-        parts = _UNIT.split(plain(text))
-        for unit, end in zip(parts[::2], [*parts[1::2], "\n"]):
-            words = _WORDS(unit)
-            if words and as_sentence(len(words), len(set(words)), words[0][0].isupper(), end[0]):
-                inside.update(map(str.lower, words))
-                sentences += 1
-            else:
-                outside.update(map(str.lower, words))
+        page = plain(text)
+        for mark in _BREAKS:
+            page = page.replace(mark, "\n")
+        held: list[str] = []
+        loose: list[str] = []
+        for line in page.split("\n"):
+            units = _STOP.split(line)
+            for unit in units[:-1]:  # those that end with a stop
+                words = _WORDS(unit.lower())
+                if len(words) >= 6 and _first_capital(unit) and as_sentence(len(words), len(set(words)), True, "."):
+                    held += words
+                    sentences += 1
+                else:
+                    loose += words
+            loose += _WORDS(units[-1].lower())
+        inside.update(held)
+        outside.update(loose)
     return inside, outside, sentences
 
 
