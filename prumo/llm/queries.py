@@ -9,7 +9,7 @@ from prumo.llm.bpe import encode_corpus, spread
 from prumo.llm.packing import pack
 from prumo.llm.places import known_cities, linked_sides, listing_addresses, read_addresses, same_places
 from prumo.llm.products import pairs, same_property
-from prumo.llm.stuffing import page_measures
+from prumo.llm.stuffing import stuffed_pages
 from prumo.llm.survivors import survivors
 from prumo.session import cut, table
 
@@ -77,7 +77,7 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are mostly repeated keywords, links or tags."""
     pages = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return page_measures(pages).where("palavras_chave").select("doc_id").distinct()
+    return stuffed_pages(pages).distinct()
 
 
 QUERIES = {"p1_found": p1_found, "p1_survivors": p1_survivors, "p3_found": p3_found, "p3_groups": p3_groups, "p6_found": p6_found, "p6_places": p6_places, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_waste": p8_waste, "p9_found": p9_found}

@@ -24,7 +24,7 @@ import html
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -37,7 +37,7 @@ from prumo.session import cut
 #: Occurrences from which a substring counts as repeated, and in pages that are nearly without clause structure.
 REPEATS, TWICE = 3, 2
 #: A word holds clauses together if it stands in one of 200 sentences, CONTRAST times as often as elsewhere.
-LEAST_SHARE, CONTRAST = 0.005, 5.0
+LEAST_SHARE, CONTRAST = 0.005, 4.0
 #: Shares: of stuffing in a stuffed page; of text without clause structure, and of it what occurs twice.
 STUFFED, BARE, TOLD_TWICE = 0.5, 0.85, 0.05
 _MARKUP = re.compile(r"<a\s[^>]*?href\s*=\s*[\"']?([^\"'>\s]*)[^>]*>|<[a-zA-Z/!][^>]*>")
@@ -52,10 +52,6 @@ _SYMBOL = re.compile(
 )
 #: Where a symbol may reach across white space.
 _ACROSS = re.compile(r"\s:|(?:tags?|keywords?|palavras?-chave|etiquetas?)\s*:\s", re.I)
-_BREAKS = ("|", "•", "·", ";", "->")
-_STOP = re.compile(r"[.!?]+(?=\s|$)")
-_WORDS = re.compile(r"\w+").findall
-
 Symbol = tuple[int, str, int, bool]  # group, text, size, whether a word with a capital
 
 
@@ -256,8 +252,17 @@ def _covered(seq: list[int], size: list[int], times: int) -> list[int]:
     return hit
 
 
-def measures(text: str | None, clauses: Clauses = Clauses()) -> Measures:
-    """The measures of a page."""
+class Tally:
+    """How often each word stands in units written as sentences, and in others, and the number of those sentences."""
+
+    def __init__(self) -> None:
+        self.inside: Counter[str] = Counter()
+        self.outside: Counter[str] = Counter()
+        self.sentences = 0
+
+
+def measures(text: str | None, clauses: Clauses = Clauses(), tally: Tally | None = None) -> Measures:
+    """The measures of a page; its words are added to the tally."""
     if not text or text.isspace():
         return Measures()
     page = symbols(plain(text))
@@ -270,70 +275,39 @@ def measures(text: str | None, clauses: Clauses = Clauses()) -> Measures:
     hit = _covered(seq, size, REPEATS)
     bare = stuffing = at = 0
     ends = [i + 1 for i, s in enumerate(page) if s[0] == 5]
+    told: list[str] = []
+    loose: list[str] = []
     for end in [*ends, len(page)]:
         whole = sum(size[at:end])
         if whole:
             unit = [s for s in page[at:end] if s[0] == 1]
             words = [s[1] for s in unit]
-            held = len([w for w in words if w in clauses.words]) >= max(1, clauses.share * len(words))
-            held = held or bool(unit) and as_sentence(len(words), len(set(words)), unit[0][3], page[end - 1][1])
+            written = bool(unit) and as_sentence(len(words), len(set(words)), unit[0][3], page[end - 1][1])
+            held = written or len([w for w in words if w in clauses.words]) >= max(1, clauses.share * len(words))
+            if tally is not None:
+                if written:
+                    told += words
+                    tally.sentences += 1
+                else:
+                    loose += words
             if not held or echo(words) >= 0.4:
                 bare += whole
                 if sum(hit[at:end]) > 0.25 * whole:
                     stuffing += whole
         at = end
+    if tally is not None:
+        tally.inside.update(told)
+        tally.outside.update(loose)
     twice = sum(_covered(seq, size, TWICE)) / total if bare >= BARE * total else 0.0
     return Measures(total, sum(hit) / total, bare / total, stuffing / total, twice)
 
 
-_FIRST = re.compile(r"\w")
-
-
-def _first_capital(unit: str) -> bool:
-    m = _FIRST.search(unit)
-    return bool(m) and m[0].isupper()
+def _learned(counts: DataFrame) -> Clauses:
+    """The clause words by rows (palavra, dentro, fora); the row without palavra has the number of sentences.
 
-
-def counted(texts: Iterable[str | None]) -> tuple[Counter[str], Counter[str], int]:
-    """How often each word stands in units written as sentences, and in others, and the number of those sentences."""
-    inside: Counter[str] = Counter()
-    outside: Counter[str] = Counter()
-    sentences = 0
-    for text in texts:
-        if not text or text.isspace():
-            continue
-        page = plain(text)
-        for mark in _BREAKS:
-            page = page.replace(mark, "\n")
-        held: list[str] = []
-        loose: list[str] = []
-        for line in page.split("\n"):
-            units = _STOP.split(line)
-            for unit in units[:-1]:  # those that end with a stop
-                words = _WORDS(unit.lower())
-                if len(words) >= 6 and _first_capital(unit) and as_sentence(len(words), len(set(words)), True, "."):
-                    held += words
-                    sentences += 1
-                else:
-                    loose += words
-            loose += _WORDS(units[-1].lower())
-        inside.update(held)
-        outside.update(loose)
-    return inside, outside, sentences
-
-
-def learn_clauses(df: DataFrame, text: str = "text") -> Clauses:
-    """The clause words of a corpus, counted over all its pages. The driver gets 200 words per word of a sentence at most."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            inside, outside, sentences = counted(b.column(0).to_pylist())
-            words = list(inside | outside)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*words, None], pa.string()), pa.array([*(inside[w] for w in words), sentences], pa.int64()), pa.array([*(outside[w] for w in words), 0], pa.int64())], names=["palavra", "dentro", "fora"]
-            )
-
-    counts = cut(df.select(text).mapInArrow(count, "palavra string, dentro long, fora long").groupBy("palavra").agg(F.sum("dentro").alias("dentro"), F.sum("fora").alias("fora")))
+    The driver gets 200 words per word of a sentence at most.
+    """
+    counts = cut(counts.groupBy("palavra").agg(F.sum("dentro").alias("dentro"), F.sum("fora").alias("fora")))
     told = F.col("palavra").isNotNull()
     all_ = counts.agg(F.sum(F.when(told, F.col("dentro"))).alias("dentro"), F.sum("fora").alias("fora"), F.max(F.when(~told, F.col("dentro"))).alias("frases")).first()
     if not all_.frases:
@@ -343,10 +317,44 @@ def learn_clauses(df: DataFrame, text: str = "text") -> Clauses:
     return Clauses(frozenset(r.palavra for r in rows), sum(r.dentro for r in rows) / all_.dentro / 3)
 
 
+def first_look(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Clauses, DataFrame]:
+    """The clause words of a corpus, and the rows (key, text) of the pages that are stuffed if no word holds clauses together.
+
+    Every page is measured, its automaton built, and its words counted, in one pass. Clause words can only give a unit
+    clause structure, so no other page can turn out to be stuffed.
+    """
+    flat = df.select(key, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tally = Tally()
+            found = [i for i, t in enumerate(b.column(1).to_pylist()) if measures(t, tally=tally).stuffed]
+            words: list[str | None] = [*(tally.inside | tally.outside), None]
+            n, m = len(found), len(words)
+            pages = [b.column(k).take(pa.array(found, pa.int64())) for k in (0, 1)]
+            inside = [*(tally.inside[w] for w in words[:-1]), tally.sentences]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([pages[0], pa.nulls(m, pages[0].type)]), pa.concat_arrays([pages[1].cast(pa.string()), pa.nulls(m, pa.string())]), pa.array([True] * n + [False] * m),
+                    pa.array([None] * n + words, pa.string()), pa.array([0] * n + inside, pa.int64()), pa.array([0] * n + [tally.outside[w] for w in words], pa.int64()),
+                ],
+                names=[key, text, "__pagina", "palavra", "dentro", "fora"],
+            )
+
+    noted = cut(flat.mapInArrow(run, f"`{key}` {flat.schema[0].dataType.simpleString()}, `{text}` string, __pagina boolean, palavra string, dentro long, fora long"))
+    return _learned(noted.where("NOT __pagina").select("palavra", "dentro", "fora")), noted.where("__pagina").select(key, text)
+
+
+def stuffed_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The keys of the stuffed pages: those of the first look that are so by the learned clause words as well."""
+    clauses, pages = first_look(df, key, text)
+    return page_measures(pages, key, text, clauses).where("palavras_chave").select(key)
+
+
 def page_measures(df: DataFrame, key: str = "doc_id", text: str = "text", clauses: Clauses | None = None) -> DataFrame:
     """Rows (key, caracteres, repetido, sem_oracao, recheio, duas_vezes, palavras_chave) of every page; clauses are learned from df unless given."""
     flat = df.select(key, text)
-    known = learn_clauses(flat, text) if clauses is None else clauses
+    known = first_look(flat, key, text)[0] if clauses is None else clauses
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

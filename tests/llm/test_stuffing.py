@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from prumo.llm.stuffing import Automaton, learn_clauses, measures, page_measures, symbols
+from prumo.llm.stuffing import Automaton, first_look, measures, page_measures, stuffed_pages, symbols
 
 PROSE = "O piso laminado foi trocado em janeiro e ainda está na garantia. A visita foi marcada para março e o corretor leva as chaves. O contrato prevê multa de 34% em caso de desistência."
 
@@ -74,14 +74,16 @@ def test_symbols_of_tokens_are_those_of_the_page():
 def test_clause_words_are_learned_from_any_language(spark):
     prose = [f"Die Wohnung Nummer {i} ist ruhig und hat einen Balkon, der nach Süden geht." for i in range(40)]
     lists = ["Wohnung Balkon Süden Nummer; Wohnung Balkon; Balkon Süden"] * 20
-    df = spark.createDataFrame([(t,) for t in [*prose, *lists, None, ""]], "text string")
-    got = learn_clauses(df)
+    df = spark.createDataFrame(list(enumerate([*prose, *lists, None, ""])), "doc_id int, text string")
+    got, pages = first_look(df)
+    assert {r.text for r in pages.collect()} == set(lists)
     assert {"die", "ist", "und", "hat", "der"} <= got.words and not {"wohnung", "balkon", "süden"} & got.words
     assert measures("die lage ist gut und der preis hat sich kaum bewegt", got).bare == 0
-    assert learn_clauses(df.limit(0)).words == frozenset()
+    assert first_look(df.limit(0))[0].words == frozenset()
 
 
 def test_table(spark):
     df = spark.createDataFrame([(1, STUFFED[0], "x"), (2, PROSE, "x"), (3, None, "x"), (1, STUFFED[0], "x"), (4, "lote novo | " * 20_000, None)], "doc_id bigint, text string, palavras_chave string")
     assert rows(page_measures(df).where("palavras_chave").select("doc_id")) == [(1,), (1,), (4,)]
     assert page_measures(df.limit(0)).count() == 0
+    assert rows(stuffed_pages(df)) == [(1,), (1,), (4,)] and stuffed_pages(df.limit(0)).count() == 0
