@@ -20,13 +20,14 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prumo.session import cut
+from prumo.session import cut, cuts_dropped, scratch
 
 #: Separators wherever they stand outside quotes.
 HARD = ",;|\n\r\t•"
@@ -122,40 +123,65 @@ def pieces(atoms: list[tuple[str, bool]]) -> tuple[list[str], list[bool], list[s
 SHORT = 4
 
 
+#: What is taken from the count of each value and left to the unknown ones.
+DISCOUNT = 0.75
+
+
 class Model:
     """Value frequencies and separator rates; unknown values get a small share that shrinks with their pieces."""
 
-    def __init__(self, counts: dict[str, float], rates: dict[str, float], total: float, discount: float = 0.75):
+    def __init__(self, counts: dict[str, float], rates: dict[str, float], total: float, discount: float = DISCOUNT):
         self.counts, self.rates, self.total, self.discount = counts, rates, max(total, 1.0), discount
         #: Numbers of pieces a value is tried with at any place: up to SHORT, and those of the known longer ones.
         long = {1 + len(_SOFT.findall(v)) for v, c in counts.items() if c > discount}
         self.lengths = [*range(1, SHORT + 1), *sorted(n for n in long if n > SHORT)]
+        #: Whether any value is known, here or in the table that the counts come from.
+        self.learned = bool(counts)
+
+    def knowing(self, counts: dict[str, float]) -> Model:
+        """The same model with other counts: those of the values of one chunk suffice for that chunk."""
+        out = copy(self)
+        out.counts = counts
+        return out
 
     def log_value(self, v: str, n: int) -> float:
         c = max(self.counts.get(v, 0.0) - self.discount, 0.0)
         return (math.log(c + 0.05**n) if n < 100 or c else n * math.log(0.05)) - math.log(self.total + 1)
 
-    def lattice(self, atoms: list[tuple[str, bool]], seen: float = 0.0) -> tuple[list[str], list[bool], list[str], list[str], dict[tuple[int, int], float]]:
-        texts, quoted, marks, kinds = pieces(atoms)
-        n = len(texts)
-        # sums over the delimiters before each piece: sure cuts, and what it costs to cut nowhere
-        sure, kept = [0, 0], [0.0, 0.0]
+    def spans(self, kinds: list[str]) -> Iterator[tuple[int, int]]:
+        """Begin and end of the pieces that may be one value: no sure cut among them, as many as a value may have."""
+        n = len(kinds) + 1
+        sure = [0, 0]
         for k in kinds:
             sure.append(sure[-1] + (k == ""))
-            kept.append(kept[-1] + (math.log(1 - self.rates.get(k, 0.5)) if k else 0.0))
-        edges = {}
         for i in range(n):
             for size in self.lengths:
                 j = i + size
                 if j > n or sure[j] > sure[i + 1]:
                     break
-                value = self.join(texts, marks, i, j)
-                if size > SHORT and value not in self.counts:
-                    continue
-                out = math.log(self.rates.get(kinds[j - 1], 0.5)) if j < n and kinds[j - 1] else 0.0
-                edges[i, j] = self.log_value(value, size) + kept[j] - kept[i + 1] + out
+                yield i, j
+
+    def candidates(self, atoms: list[tuple[str, bool]]) -> set[str]:
+        """The values whose counts the lattice of a chunk asks for."""
+        texts, _, marks, kinds = pieces(atoms)
+        return {self.join(texts, marks, i, j) for i, j in self.spans(kinds)} if texts else set()
+
+    def lattice(self, atoms: list[tuple[str, bool]], seen: float = 0.0) -> tuple[list[str], list[bool], list[str], list[str], dict[tuple[int, int], float]]:
+        texts, quoted, marks, kinds = pieces(atoms)
+        n = len(texts)
+        # sums over the delimiters before each piece: what it costs to cut nowhere
+        kept = [0.0, 0.0]
+        for k in kinds:
+            kept.append(kept[-1] + (math.log(1 - self.rates.get(k, 0.5)) if k else 0.0))
+        edges = {}
+        for i, j in self.spans(kinds) if n else ():
+            value = self.join(texts, marks, i, j)
+            if j - i > SHORT and value not in self.counts:
+                continue
+            out = math.log(self.rates.get(kinds[j - 1], 0.5)) if j < n and kinds[j - 1] else 0.0
+            edges[i, j] = self.log_value(value, j - i) + kept[j] - kept[i + 1] + out
         # a long chunk most of whose pieces are no values by themselves may be one: as often as it was seen
-        if seen and n > SHORT and not sure[n] and (0, n) not in edges and self.counts and 2 * sum(self.counts.get(t, 0.0) <= self.discount for t in texts) > n:
+        if seen and n > SHORT and "" not in kinds and (0, n) not in edges and self.learned and 2 * sum(self.counts.get(t, 0.0) <= self.discount for t in texts) > n:
             edges[0, n] = math.log((seen + 0.05**n) / (self.total + 1)) + kept[n] - kept[1]
         return texts, quoted, marks, kinds, edges
 
@@ -197,7 +223,7 @@ class Model:
         cut_at = [0.0] * (n + 1)
         for (i, j), s in edges.items():
             p = math.exp(fwd[i] + s + bwd[j] - fwd[n])
-            if p > 1e-6:
+            if p:
                 if not (quoted[i] and j == i + 1 and _SOFT.search(texts[i])):
                     values[self.join(texts, marks, i, j)] += p
                 cut_at[j] += p
@@ -232,12 +258,86 @@ def _decode(s: str) -> list[tuple[str, bool]]:
     return [(x[1:], x[0] == "q") for x in s.split(_KEY)]
 
 
-def learn(df: DataFrame, column: str, lexicon_limit: int = 200_000) -> Model:
+#: Characters of the values that are held at once, beside their number.
+LEXICON_CHARS = 1 << 25
+#: Characters of the candidates in one Arrow batch.
+BATCH_CHARS = 1 << 22
+
+
+class WideModel:
+    """A model whose lexicon is a table (valor, a): the counts of a chunk's candidates are looked up by a join."""
+
+    def __init__(self, lexicon: DataFrame, rates: dict[str, float], total: float, lengths: list[int]):
+        self.lexicon = lexicon
+        self.bare = Model({}, rates, total)
+        self.bare.lengths, self.bare.learned = lengths, True
+
+    def with_counts(self, counted: DataFrame) -> DataFrame:
+        """A table with the columns id, each row's own, and chunk, and the counts of the chunk's candidates (null: none is known)."""
+        bare = self.bare
+
+        def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.string())], names=["id", "valor"])
+
+            for b in batches:
+                ids: list[int] = []
+                values: list[str] = []
+                size = 0
+                for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    atoms = _decode(s)
+                    for v in bare.candidates(atoms) if _soft(atoms) else ():
+                        ids.append(i)
+                        values.append(v)
+                        size += len(v)
+                        if size > BATCH_CHARS:
+                            yield batch()
+                            ids, values, size = [], [], 0
+                if ids:
+                    yield batch()
+
+        known = counted.select("id", "chunk").mapInArrow(candidates, "id long, valor string").join(self.lexicon, "valor")
+        return counted.join(known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("valor", "a"))).alias("known")), "id", "left")
+
+    def splits(self, found: DataFrame) -> DataFrame:
+        """The split of each chunk of a table (id, chunk)."""
+        bare = self.bare
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                values = [bare.knowing(dict(k or ())).split(_decode(s)) for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.string()))], names=["chunk", "valores"])
+
+        return self.with_counts(found).select("chunk", "known").mapInArrow(run, "chunk string, valores array<string>")
+
+    def split(self, atoms: list[tuple[str, bool]]) -> list[str]:
+        """The split of one chunk, for the driver alone."""
+        asked = self.lexicon.sparkSession.createDataFrame([(v,) for v in sorted(self.bare.candidates(atoms))], "valor string")
+        return self.bare.knowing({r.valor: r.a for r in asked.join(self.lexicon, "valor").collect()}).split(atoms)
+
+
+def _forget_shuffles(df: DataFrame) -> None:
+    """Let Spark delete the shuffles of plans that are not used any more: it does when the driver collects its garbage."""
+    df.sparkSession._jvm.System.gc()
+
+
+def _lengths(lexicon: DataFrame) -> list[int]:
+    """Numbers of pieces a value is tried with, as in Model, for a lexicon in a table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array({1 + len(_SOFT.findall(v)) for v in b.column(0).to_pylist()}, pa.int32())], names=["n"])
+
+    long = lexicon.select("valor").mapInArrow(run, "n int").where(F.col("n") > SHORT).distinct().collect()
+    return [*range(1, SHORT + 1), *sorted(r.n for r in long)]
+
+
+def learn(df: DataFrame, column: str, lexicon_limit: int = 200_000) -> Model | WideModel:
     """Learn value frequencies and separator rates from the whole column, until the likelihood stands still.
 
-    Chunks are counted in the tasks before they are shuffled. The driver holds the lexicon of the lexicon_limit most
-    frequent values of the column (the proven bound of what is broadcast); rarer values have the model's share of unknown
-    ones. All values count in the total.
+    Chunks are counted in the tasks before they are shuffled. A lexicon of up to lexicon_limit values and LEXICON_CHARS
+    characters (the proven bound of what is broadcast) is held by the driver and the tasks; a larger one stays a table, and
+    each round joins it with the values the chunks may hold. Both give the same model: no value loses its count.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,47 +349,68 @@ def learn(df: DataFrame, column: str, lexicon_limit: int = 200_000) -> Model:
             if seen:
                 yield pa.RecordBatch.from_pydict({"chunk": list(seen), "n": list(seen.values())}, schema=pa.schema([("chunk", pa.string()), ("n", pa.int64())]))
 
-    counted = df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "chunk string, n long")
-    counted = cut(counted.groupBy("chunk").agg(F.sum("n").alias("n")))
-    model, last = Model({}, {}, 1.0), -math.inf
-    for _ in range(MOST_ROUNDS):
-        shared = df.sparkSession.sparkContext.broadcast(model)
-
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m = shared.value
-            for b in batches:
-                values: dict[str, float] = defaultdict(float)
-                classes: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
-                likely = [0.0, 0.0]
-                for s, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    atoms = _decode(s)
-                    if _soft(atoms):
-                        got, sep, score = m.expect(atoms, n)
-                        likely[0] += score * n
-                        likely[1] += len(s) * n
-                        for v, p in got.items():
-                            values[v] += p * n
-                        for k, (a, c) in sep.items():
-                            classes[k][0] += a * n
-                            classes[k][1] += c * n
-                    elif v := atoms[0][0].strip():
-                        if not (atoms[0][1] and _SOFT.search(v)):
-                            values[v] += n
-                rows = [("v", v, c, 0.0) for v, c in values.items()] + [("d", k, a, c) for k, (a, c) in classes.items()] + [("a", "", *likely)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["kind", "key", "a", "b"])
-
-        stats = cut(counted.mapInArrow(expect, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
-        shared.unpersist()
-        # "a" and "d" sort first: the likelihood, the few delimiter classes, then the values by count; values at or under
-        # the discount count nothing in the model
-        rows = stats.where((F.col("kind") != "v") | (F.col("a") > model.discount)).orderBy(F.col("kind"), F.col("a").desc(), F.col("key")).limit(lexicon_limit).collect()
-        total = stats.where("kind = 'v'").agg(F.sum("a")).first()[0] or 0.0
-        rates = {r.key: min(max(r.a / r.b, 0.005), 0.995) for r in rows if r.kind == "d" and r.b}
-        model = Model({r.key: r.a for r in rows if r.kind == "v"}, rates, total)
-        now = next((r.a / r.b for r in rows if r.kind == "a" and r.b), 0.0)
-        if now - last < LEAST_GAIN:
-            break
-        last = now
+    spark = df.sparkSession
+    kept = scratch(spark)
+    with cuts_dropped():
+        counted = df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "chunk string, n long")
+        counted = cut(counted.groupBy("chunk").agg(F.sum("n").alias("n")).withColumn("id", F.monotonically_increasing_id()))
+        model, last = Model({}, {}, 1.0), -math.inf
+        # two tables in turns: a round reads the values of the last one only
+        paths = scratch(spark), scratch(spark)
+        for turn in range(MOST_ROUNDS):
+            wide = isinstance(model, WideModel)
+            shared = spark.sparkContext.broadcast(model.bare if wide else model)
+
+            def expect(batches: Iterator[pa.RecordBatch], shared=shared, wide=wide) -> Iterator[pa.RecordBatch]:
+                m = shared.value
+                for b in batches:
+                    values: dict[str, float] = defaultdict(float)
+                    classes: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0])
+                    likely = [0.0, 0.0]
+                    known = b.column(2).to_pylist() if wide else [None] * b.num_rows
+                    for s, n, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), known):
+                        atoms = _decode(s)
+                        if _soft(atoms):
+                            got, sep, score = (m.knowing(dict(counts or ())) if wide else m).expect(atoms, n)
+                            likely[0] += score * n
+                            likely[1] += len(s) * n
+                            for v, p in got.items():
+                                values[v] += p * n
+                            for k, (a, c) in sep.items():
+                                classes[k][0] += a * n
+                                classes[k][1] += c * n
+                        elif v := atoms[0][0].strip():
+                            if not (atoms[0][1] and _SOFT.search(v)):
+                                values[v] += n
+                    rows = [("v", v, c, 0.0) for v, c in values.items()] + [("d", k, a, c) for k, (a, c) in classes.items()] + [("a", "", *likely)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["kind", "key", "a", "b"])
+
+            given = model.with_counts(counted).select("chunk", "n", "known") if wide else counted.select("chunk", "n")
+            made = given.mapInArrow(expect, "kind string, key string, a double, b double").groupBy("kind", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+            made.write.mode("overwrite").parquet(paths[turn % 2])
+            stats = spark.read.schema(made.schema).parquet(paths[turn % 2])
+            shared.unpersist()
+            # values at or under the discount count nothing in the model, but in the total
+            value = F.col("kind") == "v"
+            counts = value & (F.col("a") > DISCOUNT)
+            total, number, chars = stats.agg(F.sum(F.when(value, F.col("a"))), F.count(F.when(counts, 1)), F.sum(F.when(counts, F.length("key")))).first()
+            fits = number <= lexicon_limit and (chars or 0) <= LEXICON_CHARS
+            rows = stats.where(~value | counts if fits else ~value).collect()
+            rates = {r.key: min(max(r.a / r.b, 0.005), 0.995) for r in rows if r.kind == "d" and r.b}
+            if fits:
+                model = Model({r.key: r.a for r in rows if r.kind == "v"}, rates, total or 0.0)
+            else:
+                lexicon = stats.where(counts).select(F.col("key").alias("valor"), "a")
+                model = WideModel(lexicon, rates, total, _lengths(lexicon))
+                made = given = None
+                _forget_shuffles(df)
+            now = next((r.a / r.b for r in rows if r.kind == "a" and r.b), 0.0)
+            if now - last < LEAST_GAIN:
+                break
+            last = now
+        if isinstance(model, WideModel):
+            model.lexicon.write.parquet(kept)
+            model.lexicon = spark.read.schema(model.lexicon.schema).parquet(kept)
     return model
 
 
@@ -408,39 +529,74 @@ def split_anchored(s: str) -> list[str]:
 _ADDRESSES = HeadModel({"https:": 1e6, "http:": 1e6}, {}, {})
 
 
-def splitter(model: Model | HeadModel) -> Callable[[str], list[str]]:
-    """A function that splits one field."""
+def _split_field(s: str, split: Callable[[list[tuple[str, bool]]], list[str]]) -> list[str]:
+    """The values of a field; split divides the chunks with delimiters that may stand inside values."""
+    out: list[str] = []
+    for atoms in chunks(s):
+        if _soft(atoms):
+            out += split(atoms)
+        elif v := atoms[0][0].strip():
+            out.append(v)
+    return out
+
+
+def splitter(model: Model | WideModel | HeadModel) -> Callable[[str], list[str]]:
+    """A function that splits one field; with a WideModel on the driver only."""
     if isinstance(model, HeadModel):
         return model.split
     known: dict[str, list[str]] = {}
 
-    def split(s: str) -> list[str]:
-        out: list[str] = []
-        for atoms in chunks(s):
-            if not _soft(atoms):
-                if v := atoms[0][0].strip():
-                    out.append(v)
-                continue
-            key = _encode(atoms)
-            if key not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[key] = model.split(atoms)
-            out += known[key]
-        return out
+    def split(atoms: list[tuple[str, bool]]) -> list[str]:
+        key = _encode(atoms)
+        if key not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[key] = model.split(atoms)
+        return known[key]
+
+    return lambda s: _split_field(s, split)
 
-    return split
 
+def _with_splits(flat: DataFrame, wide: Mapping[str, WideModel]) -> DataFrame:
+    """The rows with a map of the splits of their chunks for each column of a WideModel, after the other columns."""
+    columns = flat.columns
+    row = max(columns, key=len) + "_"
+    flat = cut(flat.withColumn(row, F.monotonically_increasing_id()))
 
-def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | HeadModel]) -> DataFrame:
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids: list[int] = []
+            found: list[str] = []
+            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                own = {_encode(atoms) for atoms in chunks(s) if _soft(atoms)} if s else ()
+                ids += [i] * len(own)
+                found += own
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["linha", "chunk"])
+
+    out = flat
+    for k, (c, m) in enumerate(wide.items()):
+        held = cut(flat.select(row, c).mapInArrow(inside, "linha long, chunk string"))
+        splits = cut(m.splits(cut(held.select("chunk").distinct().withColumn("id", F.monotonically_increasing_id()))))
+        _forget_shuffles(flat)
+        held = held.join(splits, "chunk").groupBy("linha").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "valores"))).alias(f"{row}{k}"))
+        out = out.join(held.withColumnRenamed("linha", row), row, "left")
+    return out.select(*columns, *(f"{row}{k}" for k in range(len(wide))))
+
+
+def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | WideModel | HeadModel]) -> DataFrame:
     """One row (keys, campo, posicao, valor) per value packed in each of the fields.
 
-    fields maps a column to its model. All fields are split in one pass.
+    fields maps a column to its model. All fields are split in one pass; the chunks of a WideModel's column are split before.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fields)
+    wide = {c: m for c, m in fields.items() if isinstance(m, WideModel)}
+    shared = df.sparkSession.sparkContext.broadcast({c: m for c, m in fields.items() if c not in wide})
     names = list(fields)
     flat = df.select(*keys, *names)
     schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys) + ", campo string, posicao int, valor string"
+    if wide:
+        flat = _with_splits(flat, wide)
+    at = {c: len(keys) + len(names) + k for k, c in enumerate(wide)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splits = {c: splitter(m) for c, m in shared.value.items()}
@@ -450,10 +606,14 @@ def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | HeadM
             pos: list[int] = []
             val: list[str] = []
             for f, c in enumerate(names):
-                split = splits[c]
+                known = b.column(at[c]).to_pylist() if c in at else None
                 for i, s in enumerate(b.column(len(keys) + f).to_pylist()):
                     if s:
-                        vs = split(s)
+                        if known is None:
+                            vs = splits[c](s)
+                        else:
+                            own = dict(known[i] or ())
+                            vs = _split_field(s, lambda atoms, own=own: own[_encode(atoms)])
                         n = len(vs)
                         take += [i] * n
                         campo += [f] * n

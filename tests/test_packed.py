@@ -1,6 +1,7 @@
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from prumo.operators.packed import learn, learn_heads, split_anchored, split_packed, splitter
 
@@ -80,3 +81,26 @@ def test_values_of_many_pieces_are_learned(spark):
     split = splitter(learn(spark.createDataFrame(data, "f string"), "f"))
     assert split("A/B/C/D/E") == ["A/B/C/D/E"] and split("A/B/C/D/E; Pool / Gym") == ["A/B/C/D/E", "Pool", "Gym"]
     assert split("Gym / A/B/C/D/E / Spa") == ["Gym", "A/B/C/D/E", "Spa"]
+
+
+def test_a_lexicon_above_the_limit_gives_the_same_model(spark):
+    data, _ = sample(spark)
+    data += [(f"n{k}", None, v) for k, v in enumerate(["A/B/C/D/E", "Gym / A/B/C/D/E / Spa", 'Pool / "Gym / Spa" / Wi-Fi/Internet', "A/B/C/D/E, Pool", "Lake/View", "", None] * 20)]
+    df = spark.createDataFrame(data, "id string, scraped_at string, f string").selectExpr("*", "f AS g", "'file://a, file://b' AS h")
+    held, wide = learn(df, "f"), learn(df, "f", lexicon_limit=3)
+    split = splitter(held)
+    got = {(r.id, r.campo): r.valores for r in split_packed(df, ["id"], {"f": wide, "g": held, "h": learn_heads(df, "h")}).groupBy("id", "campo").agg(F.array_sort(F.collect_list(F.struct("posicao", "valor"))).alias("valores")).collect()}
+    for i, _, s in data:
+        want = list(enumerate(split(s or ""), 1))
+        assert [tuple(v) for v in got.get((i, "f"), [])] == want == [tuple(v) for v in got.get((i, "g"), [])], s
+    assert splitter(wide)("A/B/C/D/E; Pool / Gym") == split("A/B/C/D/E; Pool / Gym") == ["A/B/C/D/E", "Pool", "Gym"] and wide.lexicon.count() == len(held.counts) > 3
+    # values never seen are split like before, in another table as well
+    new = spark.createDataFrame([("a", "Pool / Sauna/Steam"), ("a", "Pool / Wi-Fi/Internet")], "k string, f string")
+    assert rows(split_packed(new, ["k"], {"f": wide})) == rows(split_packed(new, ["k"], {"f": held}))
+
+
+def test_no_expected_use_is_dropped():
+    from prumo.operators.packed import Model
+
+    values, _, _ = Model({"A/B": 1e9}, {"/": 0.005}, 1e9).expect([("A/B", False)])
+    assert set(values) == {"A/B", "A", "B"} and 0 < values["A"] < 1e-6
