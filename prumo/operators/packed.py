@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator, Mapping
 from copy import copy
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prumo.session import cut, cuts_dropped, scratch
@@ -209,6 +209,16 @@ class Model:
             j = back[j]
         return [self.join(texts, marks, i, j) for i, j in reversed(cuts)]
 
+    @staticmethod
+    def asked(s: str) -> set[str]:
+        """The chunks of a field that are looked up: those with delimiters that may stand inside values."""
+        return {_encode(atoms) for atoms in chunks(s) if _soft(atoms)}
+
+    @staticmethod
+    def split_with(s: str, splits: dict[str, list[str]]) -> list[str]:
+        """The values of a field by the splits of its chunks."""
+        return _split_field(s, lambda atoms: splits[_encode(atoms)])
+
     def expect(self, atoms: list[tuple[str, bool]], seen: float = 0.0) -> tuple[dict[str, float], dict[str, tuple[float, float]], float]:
         """Expected uses of each value, of each delimiter class expected cuts and occurrences, and the log-likelihood (forward-backward)."""
         texts, quoted, marks, kinds, edges = self.lattice(atoms, seen)
@@ -299,16 +309,17 @@ class WideModel:
         known = counted.select("id", "chunk").mapInArrow(candidates, "id long, valor string").join(self.lexicon, "valor")
         return counted.join(known.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("valor", "a"))).alias("known")), "id", "left")
 
-    def splits(self, found: DataFrame) -> DataFrame:
-        """The split of each chunk of a table (id, chunk)."""
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """The split (resposta) of each chunk of a table of different ones (chave)."""
         bare = self.bare
+        found = cut(asked.select(F.col("chave").alias("chunk"), F.monotonically_increasing_id().alias("id")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 values = [bare.knowing(dict(k or ())).split(_decode(s)) for s, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.string()))], names=["chunk", "valores"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.list_(pa.string()))], names=["chave", "resposta"])
 
-        return self.with_counts(found).select("chunk", "known").mapInArrow(run, "chunk string, valores array<string>")
+        return self.with_counts(found).select("chunk", "known").mapInArrow(run, "chave string, resposta array<string>")
 
     def split(self, atoms: list[tuple[str, bool]]) -> list[str]:
         """The split of one chunk, for the driver alone."""
@@ -426,6 +437,17 @@ class HeadModel:
         self.sums = sum(begins.values()) + 1.0, sum(goes_on.values()) + 1.0
         self.cuts: dict[tuple[str, str], bool] = {}
 
+    @staticmethod
+    def asked(s: str) -> set[str]:
+        """The heads of a field, whose counts are looked up."""
+        return {head for _, _, _, head in steps(bare(s))}
+
+    def split_with(self, s: str, heads: dict[str, dict[str, float]]) -> list[str]:
+        """The values of a field by the counts of its heads, with the sums and rates of this model."""
+        own = copy(self)
+        own.begins, own.goes_on, own.cuts = {h: x["comeca"] for h, x in heads.items()}, {h: x["segue"] for h, x in heads.items()}, {}
+        return own.split(s)
+
     def odds(self, kind: str, head: str) -> tuple[float, float]:
         """Likelihoods of a piece with this head after this delimiter: it begins a value, it goes on with one."""
         rate = self.rates.get(kind, 0.5)
@@ -476,15 +498,30 @@ def steps(text: str) -> Iterator[tuple[int, int, str, str]]:
         kind = "".join(sorted(set(m[0].replace("\r", "\n"))))
 
 
-#: Heads that are rarer than this share of a column's pieces count as one.
-HEAD_SHARE = 1e-5
+class WideHeadModel:
+    """A HeadModel whose heads are a table (chave, resposta): the counts of a field's heads are looked up by a join."""
 
+    def __init__(self, heads: DataFrame, rates: dict[str, float], sums: tuple[float, float]):
+        self.heads = heads
+        self.bare = HeadModel({}, {}, rates)
+        self.bare.sums = sums
 
-def learn_heads(df: DataFrame, column: str) -> HeadModel:
+    def answers(self, asked: DataFrame) -> DataFrame:
+        """How often each head of a table of different ones (chave) begins a value or goes on with one (resposta)."""
+        return asked.join(self.heads, "chave")
+
+    def split(self, s: str) -> list[str]:
+        """The split of one field, for the driver alone."""
+        asked = self.heads.sparkSession.createDataFrame([(h,) for h in sorted(self.bare.asked(s))], "chave string")
+        return self.bare.split_with(s, {r.chave: r.resposta.asDict() for r in self.answers(asked).collect()})
+
+
+def learn_heads(df: DataFrame, column: str, heads_limit: int = 100_000) -> HeadModel | WideHeadModel:
     """Learn heads and separator rates from the whole column.
 
     The pieces are counted by delimiter class and head in the tasks; these counts say all that EM needs, so its rounds run
-    over their table: 1 / HEAD_SHARE rows at most.
+    over their table: on the driver up to heads_limit rows (and LEXICON_CHARS characters), else where the table is, with the
+    same result.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -496,10 +533,13 @@ def learn_heads(df: DataFrame, column: str) -> HeadModel:
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen]), pa.array([h for _, h in seen]), pa.array(list(seen.values()), pa.int64())], names=["classe", "cabeca", "n"])
 
-    counted = cut(df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "classe string, cabeca string, n long").groupBy("classe", "cabeca").agg(F.sum("n").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    often = F.col("n") >= HEAD_SHARE * total
-    rows = counted.groupBy("classe", F.when(often, F.col("cabeca")).otherwise("").alias("cabeca")).agg(F.sum("n").alias("n")).collect()
+    kept = scratch(df.sparkSession)
+    with cuts_dropped():
+        counted = cut(df.select(F.col(column)).where(F.col(column).isNotNull()).mapInArrow(count, "classe string, cabeca string, n long").groupBy("classe", "cabeca").agg(F.sum("n").alias("n")))
+        number, chars = counted.agg(F.count("*"), F.sum(F.length("classe") + F.length("cabeca"))).first()
+        if number > heads_limit or (chars or 0) > LEXICON_CHARS:
+            return _learn_wide_heads(counted, kept)
+        rows = counted.collect()
     first: dict[str, float] = {r.cabeca: float(r.n) for r in rows if r.classe == ""}
     model = HeadModel(first, {}, {})
     for _ in range(MOST_ROUNDS):
@@ -521,6 +561,48 @@ def learn_heads(df: DataFrame, column: str) -> HeadModel:
     return model
 
 
+def _learn_wide_heads(counted: DataFrame, path: str) -> WideHeadModel:
+    """The rounds of learn_heads over a table of heads, each with its counts by delimiter class; the model's table goes to path."""
+    spark = counted.sparkSession
+    # n and p, the share of it that begins values, by class; those without delimiters before them always do
+    pair = F.when(F.col("classe") != "", F.struct("classe", "n", F.lit(0.0).alias("p")))
+    state = cut(
+        counted.groupBy("cabeca")
+        .agg(F.coalesce(F.sum(F.when(F.col("classe") == "", F.col("n"))), F.lit(0)).cast("double").alias("primeiro"), F.collect_list(pair).alias("pares"))
+        .select("cabeca", "primeiro", "pares", F.col("primeiro").alias("comeca"), F.lit(0.0).alias("segue"))
+    )
+    paths = scratch(spark), scratch(spark)
+    rates: dict[str, float] = {}
+    sums = state.agg(F.sum("comeca")).first()[0] + 1.0, 1.0
+    for turn in range(MOST_ROUNDS):
+        known = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv]) if rates else None
+
+        def share(x: Column, known: Column | None = known, sums: tuple[float, float] = sums) -> Column:
+            rate = F.lit(0.5) if known is None else F.coalesce(F.try_element_at(known, x["classe"]), F.lit(0.5))
+            a = rate * (F.col("comeca") + NEW_BEGIN) / sums[0]
+            b = (1 - rate) * (F.col("segue") + NEW_INSIDE) / sums[1]
+            return F.struct(x["classe"].alias("classe"), x["n"].alias("n"), (a / (a + b)).alias("p"))
+
+        made = state.withColumn("pares", F.transform("pares", lambda x: share(x))).select(
+            "cabeca",
+            "primeiro",
+            "pares",
+            F.aggregate("pares", F.col("primeiro"), lambda acc, x: acc + x["p"] * x["n"]).alias("comeca"),
+            F.aggregate("pares", F.lit(0.0), lambda acc, x: acc + (1 - x["p"]) * x["n"]).alias("segue"),
+        )
+        made.write.mode("overwrite").parquet(paths[turn % 2])
+        state = spark.read.schema(made.schema).parquet(paths[turn % 2])
+        begun, gone = state.agg(F.sum("comeca"), F.sum("segue")).first()
+        sums = begun + 1.0, gone + 1.0
+        classes = state.select(F.explode("pares").alias("x")).groupBy("x.classe").agg(F.sum(F.col("x.p") * F.col("x.n")).alias("a"), F.sum("x.n").alias("b")).collect()
+        last, rates = rates, {r.classe: min(max(r.a / r.b, 0.005), 0.995) for r in classes}
+        if all(abs(rates[k] - last.get(k, 0.5)) < LEAST_GAIN for k in rates):
+            break
+    heads = state.select(F.col("cabeca").alias("chave"), F.struct("comeca", "segue").alias("resposta"))
+    heads.write.parquet(path)
+    return WideHeadModel(spark.read.schema(heads.schema).parquet(path), rates, sums)
+
+
 def split_anchored(s: str) -> list[str]:
     """The values of a field by a model that knows that web addresses begin with http."""
     return _ADDRESSES.split(s)
@@ -529,6 +611,9 @@ def split_anchored(s: str) -> list[str]:
 _ADDRESSES = HeadModel({"https:": 1e6, "http:": 1e6}, {}, {})
 
 
+AnyModel = Model | WideModel | HeadModel | WideHeadModel
+
+
 def _split_field(s: str, split: Callable[[list[tuple[str, bool]]], list[str]]) -> list[str]:
     """The values of a field; split divides the chunks with delimiters that may stand inside values."""
     out: list[str] = []
@@ -540,9 +625,9 @@ def _split_field(s: str, split: Callable[[list[tuple[str, bool]]], list[str]]) -
     return out
 
 
-def splitter(model: Model | WideModel | HeadModel) -> Callable[[str], list[str]]:
-    """A function that splits one field; with a WideModel on the driver only."""
-    if isinstance(model, HeadModel):
+def splitter(model: AnyModel) -> Callable[[str], list[str]]:
+    """A function that splits one field; with a WideModel or WideHeadModel on the driver only."""
+    if isinstance(model, HeadModel | WideHeadModel):
         return model.split
     known: dict[str, list[str]] = {}
 
@@ -557,49 +642,48 @@ def splitter(model: Model | WideModel | HeadModel) -> Callable[[str], list[str]]
     return lambda s: _split_field(s, split)
 
 
-def _with_splits(flat: DataFrame, wide: Mapping[str, WideModel]) -> DataFrame:
-    """The rows with a map of the splits of their chunks for each column of a WideModel, after the other columns."""
+def _with_answers(flat: DataFrame, wide: Mapping[str, WideModel | WideHeadModel]) -> DataFrame:
+    """The rows with a map of what they ask the tables of the models for, one for each column of wide, after the other columns."""
     columns = flat.columns
     row = max(columns, key=len) + "_"
-    flat = cut(flat.withColumn(row, F.monotonically_increasing_id()))
-
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids: list[int] = []
-            found: list[str] = []
-            for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = {_encode(atoms) for atoms in chunks(s) if _soft(atoms)} if s else ()
-                ids += [i] * len(own)
-                found += own
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["linha", "chunk"])
-
-    out = flat
+    flat = out = cut(flat.withColumn(row, F.monotonically_increasing_id()))
     for k, (c, m) in enumerate(wide.items()):
-        held = cut(flat.select(row, c).mapInArrow(inside, "linha long, chunk string"))
-        splits = cut(m.splits(cut(held.select("chunk").distinct().withColumn("id", F.monotonically_increasing_id()))))
+
+        def ask(batches: Iterator[pa.RecordBatch], asked=m.bare.asked) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids: list[int] = []
+                keys: list[str] = []
+                for i, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    own = asked(s) if s else ()
+                    ids += [i] * len(own)
+                    keys += own
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], names=["linha", "chave"])
+
+        held = cut(flat.select(row, c).mapInArrow(ask, "linha long, chave string"))
+        answers = cut(m.answers(held.select("chave").distinct()))
         _forget_shuffles(flat)
-        held = held.join(splits, "chunk").groupBy("linha").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "valores"))).alias(f"{row}{k}"))
+        held = held.join(answers, "chave").groupBy("linha").agg(F.map_from_entries(F.collect_list(F.struct("chave", "resposta"))).alias(f"{row}{k}"))
         out = out.join(held.withColumnRenamed("linha", row), row, "left")
     return out.select(*columns, *(f"{row}{k}" for k in range(len(wide))))
 
 
-def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | WideModel | HeadModel]) -> DataFrame:
+def split_packed(df: DataFrame, keys: list[str], fields: dict[str, AnyModel]) -> DataFrame:
     """One row (keys, campo, posicao, valor) per value packed in each of the fields.
 
-    fields maps a column to its model. All fields are split in one pass; the chunks of a WideModel's column are split before.
+    fields maps a column to its model. All fields are split in one pass; what they need of models that are tables is joined before.
     """
-    wide = {c: m for c, m in fields.items() if isinstance(m, WideModel)}
-    shared = df.sparkSession.sparkContext.broadcast({c: m for c, m in fields.items() if c not in wide})
+    wide = {c: m for c, m in fields.items() if isinstance(m, WideModel | WideHeadModel)}
+    shared = df.sparkSession.sparkContext.broadcast({c: wide[c].bare if c in wide else m for c, m in fields.items()})
     names = list(fields)
     flat = df.select(*keys, *names)
     schema = ", ".join(f"`{k}` {flat.schema[k].dataType.simpleString()}" for k in keys) + ", campo string, posicao int, valor string"
     if wide:
-        flat = _with_splits(flat, wide)
+        flat = _with_answers(flat, wide)
     at = {c: len(keys) + len(names) + k for k, c in enumerate(wide)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splits = {c: splitter(m) for c, m in shared.value.items()}
+        splits = {c: shared.value[c].split_with if c in at else splitter(m) for c, m in shared.value.items()}
         for b in batches:
             take: list[int] = []
             campo: list[int] = []
@@ -609,11 +693,7 @@ def split_packed(df: DataFrame, keys: list[str], fields: dict[str, Model | WideM
                 known = b.column(at[c]).to_pylist() if c in at else None
                 for i, s in enumerate(b.column(len(keys) + f).to_pylist()):
                     if s:
-                        if known is None:
-                            vs = splits[c](s)
-                        else:
-                            own = dict(known[i] or ())
-                            vs = _split_field(s, lambda atoms, own=own: own[_encode(atoms)])
+                        vs = splits[c](s) if known is None else splits[c](s, dict(known[i] or ()))
                         n = len(vs)
                         take += [i] * n
                         campo += [f] * n

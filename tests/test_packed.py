@@ -1,3 +1,4 @@
+import pytest
 from conftest import rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +105,26 @@ def test_no_expected_use_is_dropped():
 
     values, _, _ = Model({"A/B": 1e9}, {"/": 0.005}, 1e9).expect([("A/B", False)])
     assert set(values) == {"A/B", "A", "B"} and 0 < values["A"] < 1e-6
+
+
+def test_rare_heads_keep_their_counts(spark):
+    # one field in 60 000 begins with ftp:, another one goes on with it
+    often = spark.range(60_000).selectExpr("concat('file://h/', id, ', file://g/a b', id % 7) AS f")
+    df = often.unionByName(spark.createDataFrame([("ftp://x",), ("file://h/1, ftp://y",)], "f string"))
+    for limit in (100_000, 2):
+        split = splitter(learn_heads(df, "f", heads_limit=limit))
+        assert split("file://h/1, ftp://y") == ["file://h/1", "ftp://y"] and split("file://h/1, file://g/a b3") == ["file://h/1", "file://g/a b3"]
+
+
+def test_heads_above_the_limit_give_the_same_model(spark):
+    value = [f"file://h/{k},w{k % 3}/a b{k % 5}.png" if k % 2 else f"ftp://g/{k};v={k % 4}" for k in range(60)]
+    seps = (", ", ";", " ", "\n", ",")
+    data = [(k, seps[k % 5].join(value[k : k + 3])) for k in range(57)] + [(57, str(value[:2])), (58, ""), (59, None), (60, " , ")]
+    df = spark.createDataFrame(data, "k int, f string").selectExpr("*", "f AS g")
+    held, wide = learn_heads(df, "f"), learn_heads(df, "f", heads_limit=3)
+    assert wide.heads.count() > 3 and wide.bare.sums == pytest.approx(held.sums) and wide.bare.rates == pytest.approx(held.rates)
+    out = split_packed(df, ["k"], {"f": wide, "g": held}).cache()
+    assert rows(out.where("campo = 'f'").drop("campo")) == rows(out.where("campo = 'g'").drop("campo"))
+    assert [r.valor for r in out.where("k = 7 AND campo = 'f'").orderBy("posicao").collect()] == value[7:10] == splitter(wide)(data[7][1])
+    new = spark.createDataFrame([(1, "x://1; file://2,y://3")], "k int, f string")
+    assert rows(split_packed(new, ["k"], {"f": wide})) == rows(split_packed(new, ["k"], {"f": held}))
